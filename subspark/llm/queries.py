@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from subspark.llm import line_dedup, quality_rules
+from subspark.llm import decontaminate, line_dedup, quality_rules
 from subspark.llm.common import table
 
 
 def queries() -> dict:
     return {
+        "op3_decontaminate": lambda s, d: decontaminate.op3(table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_quality_rules": lambda s, d: quality_rules.op8(table(s, d, "documents")).drop("rejected_by"),
         "op10_line_dedup": lambda s, d: line_dedup.op10(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
