@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from subspark.llm import decontaminate, line_dedup, quality_rules
+from subspark.llm import decontaminate, line_dedup, quality_rules, simhash
 from subspark.llm.common import table
 
 
 def queries() -> dict:
     return {
+        "op2_simhash": lambda s, d: simhash.op2(table(s, d, "documents")),
         "op3_decontaminate": lambda s, d: decontaminate.op3(table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_quality_rules": lambda s, d: quality_rules.op8(table(s, d, "documents")).drop("rejected_by"),
         "op10_line_dedup": lambda s, d: line_dedup.op10(table(s, d, "documents")),

@@ -1,0 +1,94 @@
+import random
+from itertools import combinations
+
+import numpy as np
+import xxhash
+
+from subspark.llm import simhash
+
+
+def slow_fingerprint(text, size=3):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words, at = [], ""
+    for c in low + " ":
+        if c in " \t\n\x0b\x0c\r":
+            if at:
+                words.append(at)
+            at = ""
+        else:
+            at += c
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(n, links):
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def near(rng, value, most):
+    for b in rng.sample(range(64), rng.randint(0, most)):
+        value ^= 1 << b
+    return value
+
+
+def test_trie_links_join_what_all_pairs_join():
+    rng = random.Random(1)
+    seeds = [rng.getrandbits(64) for _ in range(30)]
+    values = sorted({near(rng, s, 5) for s in seeds for _ in range(12)})
+    links = [(i, j) for i, j in combinations(range(len(values)), 2) if bin(values[i] ^ values[j]).count("1") <= 3]
+    a, b = simhash.trie_links(np.array(values, np.uint64), np.zeros(len(values), np.int64))
+    assert len(a) < len(values)
+    assert slow_components(len(values), list(zip(a.tolist(), b.tolist()))) == slow_components(len(values), links)
+
+
+def texts():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    out = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(1, 90))]
+        for _ in range(rng.randint(1, 4)):
+            some = list(base)
+            some[rng.randrange(len(some))] = rng.choice(words)
+            out.append(" ".join(some))
+    return [*out, out[0], out[0].upper(), "", None, "  \n", "Éa É", "one", "two words", "x " * 5000, "x " * 5001]
+
+
+def test_components_are_those_of_all_pairs(spark, monkeypatch):
+    rows = [(100 - i, t) for i, t in enumerate(texts())] + [(None, "null id"), (7000, None), (7000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fps = [slow_fingerprint(t) for _, t in rows]
+    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if bin(fps[i] ^ fps[j]).count("1") <= 3]
+    label = slow_components(len(rows), links)
+    expected = []
+    for k, (doc_id, _) in enumerate(rows):
+        ids = [rows[m][0] for m in range(len(rows)) if label[m] == label[k] and rows[m][0] is not None]
+        expected.append((doc_id, f"{fps[k]:016x}", min(ids, default=None)))
+    key = str
+    assert sorted(map(tuple, simhash.op2(docs).collect()), key=key) == sorted(expected, key=key)
+    monkeypatch.setattr(simhash, "SUBTREE", 4)  # groups of over four fingerprints are dealt out again
+    assert sorted(map(tuple, simhash.op2(docs).collect()), key=key) == sorted(expected, key=key)
+
+
+def test_empty_table(spark):
+    assert simhash.op2(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_of_each_keeps_columns_and_unlike_texts(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    base = [[rng.choice(words) for _ in range(200)] for _ in range(20)]
+    rows = [(i, " ".join(b), "a") for i, b in enumerate(base)]
+    rows += [(100 + i, " ".join([*b[:100], "changed", *b[101:]]), "b") for i, b in enumerate(base)]
+    rows += [(3, " ".join(base[3]), "a"), (None, "alone here", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in range(20)] + ["None"])
