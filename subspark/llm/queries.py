@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from subspark.llm import decontaminate, line_dedup, quality_rules, simhash
+from subspark.llm import decontaminate, line_dedup, packing, quality_rules, simhash, token_counts
 from subspark.llm.common import table
 
 
 def queries() -> dict:
     return {
+        "op1_packing": lambda s, d: packing.op1(table(s, d, "documents")),
         "op2_simhash": lambda s, d: simhash.op2(table(s, d, "documents")),
         "op3_decontaminate": lambda s, d: decontaminate.op3(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op7_token_counts": lambda s, d: token_counts.op7(table(s, d, "documents")),
         "op8_quality_rules": lambda s, d: quality_rules.op8(table(s, d, "documents")).drop("rejected_by"),
         "op10_line_dedup": lambda s, d: line_dedup.op10(table(s, d, "documents")),
     }
