@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from subspark.llm import decontaminate, line_dedup, packing, quality_rules, simhash, token_counts
+from subspark.llm import chat_format, decontaminate, line_dedup, packing, quality_rules, simhash, token_counts
 from subspark.llm.common import table
 
 
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_packing": lambda s, d: packing.op1(table(s, d, "documents")),
         "op2_simhash": lambda s, d: simhash.op2(table(s, d, "documents")),
         "op3_decontaminate": lambda s, d: decontaminate.op3(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op6_chat_format": lambda s, d: chat_format.op6(table(s, d, "conversations")),
         "op7_token_counts": lambda s, d: token_counts.op7(table(s, d, "documents")),
         "op8_quality_rules": lambda s, d: quality_rules.op8(table(s, d, "documents")).drop("rejected_by"),
         "op10_line_dedup": lambda s, d: line_dedup.op10(table(s, d, "documents")),
@@ -18,4 +19,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    return {
+        "op3_decontaminate": decontaminate.ORACLE,
+        "op6_chat_format": chat_format.ORACLE,
+        "op8_quality_rules": quality_rules.ORACLE,
+        "op10_line_dedup": line_dedup.ORACLE,
+    }
