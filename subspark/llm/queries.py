@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from subspark.llm import chat_format, decontaminate, line_dedup, packing, quality_rules, simhash, token_counts
+from subspark.llm import chat_format, decontaminate, line_dedup, packing, quality_rules, simhash, suffix_dedup, token_counts
 from subspark.llm.common import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_chat_format": lambda s, d: chat_format.op6(table(s, d, "conversations")),
         "op7_token_counts": lambda s, d: token_counts.op7(table(s, d, "documents")),
         "op8_quality_rules": lambda s, d: quality_rules.op8(table(s, d, "documents")).drop("rejected_by"),
+        "op9_suffix_dedup": lambda s, d: suffix_dedup.op9(table(s, d, "documents")),
         "op10_line_dedup": lambda s, d: line_dedup.op10(table(s, d, "documents")),
     }
 
