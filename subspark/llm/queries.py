@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from subspark.llm import chat_format, decontaminate, line_dedup, packing, quality_rules, simhash, suffix_dedup, token_counts
+from subspark.llm import chat_format, chunk_dedup, decontaminate, line_dedup, packing, quality_rules, resample, simhash, suffix_dedup, token_counts
 from subspark.llm.common import table
 
 
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op1_packing": lambda s, d: packing.op1(table(s, d, "documents")),
         "op2_simhash": lambda s, d: simhash.op2(table(s, d, "documents")),
         "op3_decontaminate": lambda s, d: decontaminate.op3(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op4_resample": lambda s, d: resample.op4(table(s, d, "documents"), table(s, d, "labels")),
+        "op5_chunk_dedup": lambda s, d: chunk_dedup.op5(table(s, d, "documents")),
         "op6_chat_format": lambda s, d: chat_format.op6(table(s, d, "conversations")),
         "op7_token_counts": lambda s, d: token_counts.op7(table(s, d, "documents")),
         "op8_quality_rules": lambda s, d: quality_rules.op8(table(s, d, "documents")).drop("rejected_by"),
