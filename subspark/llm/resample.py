@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from subspark.llm.common import binary_texts, doc_key, stored
 
-BUCKETS, STRENGTH, FIT_ROWS, SMOOTHING, SEED = 1 << 18, 200.0, 100_000, 1.0, 11
+BUCKETS, STRENGTH, FIT_ROWS, SEED = 1 << 16, 200.0, 100_000, 11
+#: Counts that smooth a bucket of the raw model, and of the target model in the mean.
+SMOOTHING, PRIOR = 1.0, 1.0
 _PAIR = np.uint32(0x9E3779B1)
 
 
@@ -59,8 +61,7 @@ def _counts(docs: DataFrame, target_ids: np.ndarray) -> DataFrame:
         grams, raw, target = Grams(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         wanted = shared.value
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            good = np.isin(ids, wanted) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            good = _wanted(batch.column(0), wanted)
             held, chosen, n = [], [], 0
             for text, is_target in zip(binary_texts(batch.column(1)), good, strict=True):
                 found = grams(text)
@@ -85,31 +86,50 @@ def _counts(docs: DataFrame, target_ids: np.ndarray) -> DataFrame:
     return rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(docs: DataFrame, target_ids: np.ndarray) -> np.ndarray:
-    """For each bucket, log of its share in target texts over its share in all texts."""
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+class Models:
+    """Counts of the two models. Target counts are smoothed towards the raw share: a bucket with little text has a
+    ratio of about 1."""
+
+    def __init__(self, raw: np.ndarray, target: np.ndarray):
+        self.raw, self.target = raw, target
+        self.share = ((raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)).astype(np.float64)
+        self.total = float(target.sum())
+        self.ratios = self._log(target, self.share, self.total) if self.total else np.zeros(BUCKETS)
+
+    @staticmethod
+    def _log(target: np.ndarray, share: np.ndarray, total: float) -> np.ndarray:
+        return np.log((target + PRIOR * BUCKETS * share) / (total + PRIOR * BUCKETS) / share)
+
+    def mean_ratio(self, found: np.ndarray, in_target: bool) -> float:
+        """Mean log ratio of a document's buckets; its own part of the target model is left out."""
+        if not len(found) or not self.total:
+            return 0.0
+        if not in_target:
+            return float(self.ratios[found].mean())
+        at, times = np.unique(found, return_counts=True)
+        own = self._log(self.target[at] - times, self.share[at], self.total - len(found))
+        return float((own * times).sum() / len(found))
+
+
+def fit(docs: DataFrame, target_ids: np.ndarray) -> Models:
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for row in _counts(docs, target_ids).toLocalIterator():
         raw[row.bucket], target[row.bucket] = row.raw, row.target
-    if not target.sum():
-        return np.zeros(BUCKETS, np.float32)
-    # target counts are smoothed towards the raw share, so that a bucket with little text has a ratio of about 1
-    share = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
-    weight = 20.0
-    return np.log((target + weight * share * BUCKETS) / (target.sum() + weight * BUCKETS) / share).astype(np.float32)
+    return Models(raw, target)
 
 
-def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+def weights(docs: DataFrame, models: Models, target_ids: np.ndarray) -> DataFrame:
     """(doc_id, k1, k2, n_grams, log_weight) for each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    shared = docs.sparkSession.sparkContext.broadcast((models, target_ids))
 
     def run(batches):
-        grams, ratios = Grams(), shared.value
+        grams, (models, wanted) = Grams(), shared.value
         for batch in batches:
             counts, logs = [], []
-            for text in binary_texts(batch.column(1)):
+            for text, good in zip(binary_texts(batch.column(1)), _wanted(batch.column(4), wanted), strict=True):
                 found = grams(text)
                 counts.append(len(found))
-                logs.append(float(ratios[found].mean(dtype=np.float64)) * STRENGTH if len(found) else 0.0)
+                logs.append(models.mean_ratio(found, good) * STRENGTH)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(counts, pa.int64()), pa.array(logs, pa.float64())],
                 names=["doc_id", "k1", "k2", "n_grams", "log_weight"],
@@ -117,11 +137,16 @@ def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 
     k1, k2 = doc_key(F.col("doc_id"), F.col("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2")).mapInArrow(
+    return docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long").alias("id")).mapInArrow(
         run, f"doc_id {kind}, k1 long, k2 long, n_grams long, log_weight double"
     )
 
 
+def _wanted(ids: pa.Array, wanted: np.ndarray) -> np.ndarray:
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    return np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), wanted) & known
+
+
 def gumbel(seed: int = SEED) -> Column:
     """Noise that depends on a row's key and the seed alone."""
     uniform = (F.shiftrightunsigned(F.xxhash64("k1", "k2", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
@@ -156,7 +181,8 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     share = labels.agg(F.avg(F.coalesce(good, F.lit(False)).cast("double"))).first()[0] or 0.0
     chosen = labels.filter(good & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     ids = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).collect()
-    scored = weights(docs, log_ratios(docs, np.array(sorted(r.doc_id for r in ids), np.int64)))
+    wanted = np.array(sorted(r.doc_id for r in ids), np.int64)
+    scored = weights(docs, fit(docs, wanted), wanted)
     scored = stored(scored.withColumn("sampling_key", F.col("log_weight") + gumbel(seed)), "weights")
     least = kth_largest(scored, "sampling_key", round(share * scored.count()))
     kept = F.lit(False) if least is None else F.col("sampling_key") >= F.lit(least)
