@@ -1,0 +1,71 @@
+import random
+
+import numpy as np
+
+from subspark.llm import resample
+
+
+def corpus():
+    rng = random.Random(8)
+    good = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(200)]
+    bad = [w.upper() + "!!" for w in good]
+    rows, labels = [], []
+    for i in range(120):
+        junk = i % 4 == 0
+        rows.append((i, " ".join(rng.choice(bad if junk else good) for _ in range(60))))
+        if i % 2 == 0:
+            labels.append((i, 0 if junk else 1, 0))
+    return rows + [(None, "no id"), (500, None), (501, ""), (1, rows[1][1])], labels + [(None, 1, 0), (900, None, 0), (2, 1, 0)]
+
+
+def slow_weights(rows, labels):
+    target = {i for i, q, t in labels if i is not None and q == 1 and t == 0}
+    grams = [resample.Grams()((t or "").encode()) for _, t in rows]
+    raw, wanted = np.zeros(resample.BUCKETS), np.zeros(resample.BUCKETS)
+    for (i, _), found in zip(rows, grams):
+        for b in found:
+            raw[b] += 1
+            wanted[b] += i in target
+    share = (raw + resample.SMOOTHING) / (raw.sum() + resample.SMOOTHING * resample.BUCKETS)
+    out = []
+    for (i, _), found in zip(rows, grams):
+        own = np.zeros(resample.BUCKETS)
+        if i in target:
+            np.add.at(own, found, 1)
+        mine = wanted - own
+        ratio = (mine + resample.PRIOR * resample.BUCKETS * share) / (mine.sum() + resample.PRIOR * resample.BUCKETS) / share
+        out.append((str(i), round(float(np.log(ratio[found]).mean() * resample.STRENGTH) if len(found) else 0.0, 6)))
+    return out
+
+
+def test_weights_are_those_of_brute_force_and_junk_goes(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = resample.op4(docs, marks).collect()
+    assert sorted((str(r.doc_id), round(r.log_weight, 6) + 0.0) for r in got) == sorted(slow_weights(rows, labels))
+    share = sum(q == 1 and t == 0 for _, q, t in labels) / len(labels)
+    keys = sorted((r.sampling_key for r in got), reverse=True)
+    least = keys[round(share * len(rows)) - 1]
+    assert all(r.kept == (r.sampling_key >= least) for r in got)
+    held = [r for r in got if r.doc_id is not None and r.doc_id < 120 and r.doc_id % 4 == 0]
+    assert sum(r.kept for r in held) < len(held) / 4
+    again = {(r.doc_id, r.sampling_key, r.kept) for r in resample.op4(docs.repartition(5), marks).collect()}
+    assert again == {(r.doc_id, r.sampling_key, r.kept) for r in got}
+
+
+def test_kth_largest_is_exact(spark):
+    rng = random.Random(1)
+    values = [rng.gauss(0, 1) ** 5 for _ in range(500)] + [1.5] * 50
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (1, 2, 77, 300, 550, 600):
+        assert resample.kth_largest(rows, "v", k) == sorted(values, reverse=True)[min(k, 550) - 1]
+    assert resample.kth_largest(rows, "v", 0) is None
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert resample.op4(none, marks).collect() == []
+    one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert [r.kept for r in resample.op4(one, marks).collect()] == [False]
