@@ -1,8 +1,8 @@
 """Word pieces by the `tokenizers` library, each distinct pre-token once.
 
-A pre-token here is what stands between white space, without a last full stop or comma that follows a
-letter, and in lower case if it is ASCII. For tokenizers that drop white space and lower-case texts, as
-word_bpe_49k.json does, the ids of a text are those of its pre-tokens and stops in order. Strings that
+A pre-token here is what stands between white space, apart from punctuation behind its last letter, and
+in lower case if it is Latin. For tokenizers that drop white space and lower-case texts, as
+word_bpe_49k.json does, the ids of a text are those of its pre-tokens and punctuation in order. Strings that
 hold a special token's mark are left as they are; the library treats them by its default.
 """
 
@@ -14,14 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Pre-tokens that a worker remembers; it starts anew beyond that.
+#: Pre-tokens, and words with their stops and capitals, that a worker remembers: the first that it meets.
 CACHE = 400_000
+#: Pre-tokens that are encoded as one string.
+JOINED = 100
 #: Characters of a text that are split at once.
 SLICE = 1 << 20
 #: Python splits here, the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile("[ \t\n\x0b\x0c\r]+")
 MARK = "<|"
+#: ASCII punctuation.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_path() -> str:
@@ -50,11 +54,16 @@ def words(text: str) -> Iterator[list[str]]:
 
 
 def core(word: str) -> tuple[str, str]:
-    """The pre-token and the stop after it, if any."""
-    stop = ""
-    if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-        word, stop = word[:-1], word[-1]
-    return (word.lower() if word.isascii() and MARK not in word else word), stop
+    """The pre-token, and the signs after its last letter, if any; those are a pre-token of their own."""
+    if MARK in word:
+        return word, ""
+    base = word.rstrip(SIGNS)
+    signs = word[len(base) :]
+    if not base or signs and not base[-1].isalpha():
+        base, signs = word, ""
+    if base.isascii() or max(base) < "\u0250" and "\u0130" not in base:
+        base = base.lower()
+    return base, signs
 
 
 class Pieces:
@@ -70,30 +79,52 @@ class Pieces:
         self.raw: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
-    def encode(self, tokens: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each."""
-        found = self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
-    def _learn(self, unknown: set[str]) -> None:
+    def encode(self, tokens: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each. Tokens of letters only are one pre-token each for the library too, so that
+        they can be encoded together: an id that ends a word ends each of them."""
+        plain = [t for t in tokens if t.isalpha()] if self.ends.any() else []
+        found: dict[str, bytes] = {}
+        parts = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                continue
+            raw, stops = ids.tobytes(), (4 * stops).tolist()
+            found.update((t, raw[x:y]) for t, x, y in zip(part, [0, *stops], stops, strict=False))
+        rest = [t for t in tokens if t not in found]
+        if rest:
+            single = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+            found.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(rest, single, strict=True))
+        return [found[t] for t in tokens]
+
+    def _learn(self, unknown: set[str]) -> dict[str, bytes]:
+        """Ids of words; remembered while there is room."""
         parts = {w: core(w) for w in unknown}
-        new = list({p for pair in parts.values() for p in pair if p}.difference(self.cores))
-        if len(self.cores) + len(new) > CACHE:
-            self.cores = {}
-            new = list({p for pair in parts.values() for p in pair if p})
-        self.cores.update(zip(new, self.encode(new), strict=True))
-        if len(self.raw) + len(parts) > CACHE:
-            # what this text needs and isn't in parts is learnt again by the caller
-            self.raw = {}
-        self.raw.update((w, self.cores[a] + (self.cores[b] if b else b"")) for w, (a, b) in parts.items())
+        wanted = {p for pair in parts.values() for p in pair if p}
+        new = list(wanted.difference(self.cores))
+        coded = dict(zip(new, self.encode(new), strict=True))
+        if len(self.cores) < CACHE:
+            self.cores.update(coded)
+        ids = {p: coded[p] if p in coded else self.cores[p] for p in wanted}
+        out = {w: ids[a] + (ids[b] if b else b"") for w, (a, b) in parts.items()}
+        if len(self.raw) < CACHE:
+            self.raw.update(out)
+        return out
 
     def ids(self, text: str) -> bytes:
-        out = []
+        out, raw = [], self.raw
         for some in words(text):
-            need = set(some)
-            while unknown := need.difference(self.raw):
-                self._learn(need if len(self.raw) + len(unknown) > CACHE else unknown)
-            out.append(b"".join(map(self.raw.__getitem__, some)))
+            unknown = set(some).difference(raw)
+            if unknown:
+                more = self._learn(unknown)
+                out.append(b"".join([more[w] if w in more else raw[w] for w in some]))
+            else:
+                out.append(b"".join(map(raw.__getitem__, some)))
         return b"".join(out)
 
 
