@@ -49,9 +49,21 @@ SEGMENTED = {
     "w": _dp("SELECT e.word, s, s + length(e.piece) AS e, CASE WHEN s > 0 THEN round(score - 0.5, 9) ELSE score END AS score FROM edges e JOIN sc ON e.piece = sc.piece", "d.c[s.s + 1] + s.score", "0", "w"),
     "c": _dp("SELECT e.word, s, s + length(e.piece) AS e, coalesce(score, CASE WHEN length(e.piece) = 1 THEN -2 END) AS score FROM edges e LEFT JOIN cos ON e.word = cos.word AND e.piece = cos.piece WHERE score IS NOT NULL OR length(e.piece) = 1", "d.c[s.s + 1] + s.score", "0", "c"),
 }
+#: Each piece cut by its own vector, without itself; a position that no piece reaches counts as before.
+CTES |= {
+    "rspans": "SELECT a.piece AS word, s, s + l AS e, list_cosine_similarity(a.vec, b.vec) - 1 AS score FROM (SELECT piece, vec, l, unnest(range(length(piece) - l + 1)) AS s FROM (SELECT piece, vec, unnest(range(1, length(piece) + 1)) AS l FROM pv)) a JOIN pv b ON b.piece = substr(a.piece, s + 1, l) AND b.piece <> a.piece",
+    "rdp": "SELECT piece AS word, 0 AS i, [0.0::DOUBLE] AS c, [0] AS p FROM pv UNION ALL SELECT d.word, d.i + 1, list_append(d.c, coalesce(max(b).c, -1000)), list_append(d.p, coalesce(-max(b).p, d.i)) FROM (SELECT d.word, d.i, d.c, d.p, CASE WHEN s.s IS NULL THEN NULL ELSE {'c': round(d.c[s.s + 1] + s.score, 9), 'p': -s.s::INT} END AS b FROM rdp d LEFT JOIN rspans s ON s.word = d.word AND s.e = d.i + 1 WHERE d.i < length(d.word)) d GROUP BY d.word, d.i, d.c, d.p",
+    "rback": "SELECT word, i AS loc, p, []::VARCHAR[] AS out FROM rdp WHERE i = length(word) UNION ALL SELECT word, p[loc + 1], p, list_prepend(substr(word, p[loc + 1] + 1, loc - p[loc + 1]), out) FROM rback WHERE loc > 0",
+    "rparts": "SELECT word, out, unnest(out) AS piece FROM rback WHERE loc = 0 AND len(out) > 1",
+    "rmean": "SELECT word, out, list(x ORDER BY dim) AS mean FROM (SELECT word, out, dim, avg(x) AS x FROM (SELECT word, out, unnest(range(len(vec))) AS dim, unnest(vec) AS x FROM rparts JOIN pv ON rparts.piece = pv.piece) GROUP BY ALL) GROUP BY ALL",
+}
+NEEDS |= {"rspans": ["pv"], "rdp": ["pv", "rspans"], "rback": ["rdp"], "rparts": ["rback"], "rmean": ["rparts", "pv"]}
+SEGMENTED["e"] = _dp("SELECT e.word, s, s + length(e.piece) AS e, list_cosine_similarity(e.vec, v.vec) - 1 AS score FROM edges e JOIN evec v ON e.piece = v.piece", "d.c[s.s + 1] + s.score", "0", "e")
+CTES["evec"] = "SELECT subword AS piece, list(x ORDER BY dim) AS vec FROM emb GROUP BY subword"
+NEEDS["evec"] = ["emb"]
 for prefix, made in SEGMENTED.items():
     CTES |= made
-    NEEDS |= {f"{prefix}spans": ["edges", "cos" if prefix == "c" else "sc"], f"{prefix}dp": ["words", f"{prefix}spans"], f"{prefix}back": [f"{prefix}dp"], f"{prefix}seg": [f"{prefix}back", "words"]}
+    NEEDS |= {f"{prefix}spans": ["edges", {"c": "cos", "e": "evec"}.get(prefix, "sc")], f"{prefix}dp": ["words", f"{prefix}spans"], f"{prefix}back": [f"{prefix}dp"], f"{prefix}seg": [f"{prefix}back", "words"]}
 CTES |= {
     "uni": "SELECT token, sum(n)::BIGINT AS n FROM (SELECT unnest(pieces) AS token, n FROM seg UNION ALL SELECT '<w>', n FROM seg) GROUP BY token",
     "pairs": "SELECT list_prepend('<w>', pieces) AS a, n FROM seg",
@@ -127,6 +139,7 @@ ORACLES = {
     "viterbi_maxmin": with_("mseg", SEG + "mseg"),
     "viterbi_wordpiece": with_("wseg", "SELECT word, array_to_string(list_prepend(pieces[1], list_transform(pieces[2:], lambda x: '##' || x)), ' ') AS pieces, round(score, 6) + 0.0 AS score FROM wseg"),
     "viterbi_cosine": with_("cseg", "SELECT word, array_to_string(pieces, ' ') AS pieces, round(score, 6) + 0.0 AS score FROM cseg"),
+    "subword_redundancy": with_("rmean pv", "SELECT word AS piece, array_to_string(out, ' ') AS pieces, round(1 - list_cosine_similarity(vec, mean), 6) + 0.0 AS score FROM rmean JOIN pv ON word = piece"),
     "subword_frequency": with_("seg", "SELECT piece, sum(n)::BIGINT AS n FROM (SELECT unnest(list_distinct(pieces)) AS piece, n FROM seg) GROUP BY piece"),
     "subword_remove_bottom_k": with_("seg", "SELECT piece, sum(n)::BIGINT AS n FROM (SELECT unnest(list_distinct(pieces)) AS piece, n FROM seg) WHERE length(piece) > 1 GROUP BY piece ORDER BY n, piece LIMIT 50"),
     "unigram_stats": with_("uni subs", "SELECT subword AS token, coalesce(n, 0)::BIGINT AS n FROM subs LEFT JOIN uni ON subword = token"),
@@ -135,10 +148,11 @@ ORACLES = {
     "pruned_vocab": with_("seg subs", "SELECT subword FROM subs WHERE subword IN (SELECT unnest(pieces) FROM seg)"),
     "bigram_lm_mle": with_("lm0", "SELECT prev, token, round(logp, 6) + 0.0 AS logp, round(default_logp, 6) + 0.0 AS default_logp FROM lm0"),
     "bigram_lm_addone": with_("lm1", "SELECT prev, token, round(logp, 6) + 0.0 AS logp, round(default_logp, 6) + 0.0 AS default_logp FROM lm1"),
-    "bigram_score_backoff": with_("uni bi", "SELECT prev, token, round(CASE WHEN a.n IS NOT NULL THEN ln((coalesce(bi.n, 0) + 1) / a.n) WHEN b.n IS NOT NULL THEN ln(b.n / t) ELSE -ln(t) END, 6) + 0.0 AS score FROM (SELECT prev, token FROM bi UNION SELECT prev || '?', token FROM bi UNION SELECT prev, token || '?' FROM bi UNION SELECT 'no', 'none') q LEFT JOIN uni a ON a.token = q.prev LEFT JOIN uni b ON b.token = q.token LEFT JOIN bi USING (prev, token), (SELECT sum(n) AS t FROM uni)"),
+    "bigram_score_backoff": with_("uni bi", "SELECT q.prev, q.token, round(CASE WHEN a.n IS NOT NULL THEN ln((coalesce(bi.n, 0) + 1) / a.n) WHEN b.n IS NOT NULL THEN ln(b.n / t) ELSE -ln(t) END, 6) + 0.0 AS score FROM (SELECT prev, token FROM bi UNION SELECT prev || '?', token FROM bi UNION SELECT prev, token || '?' FROM bi UNION SELECT 'no', 'none') q LEFT JOIN uni a ON a.token = q.prev LEFT JOIN uni b ON b.token = q.token LEFT JOIN bi ON bi.prev = q.prev AND bi.token = q.token, (SELECT sum(n) AS t FROM uni)"),
     "posterior_scores": with_("lm1", "SELECT token, round(ln(sum(exp(logp))), 6) + 0.0 AS score FROM lm1 GROUP BY token"),
     "reduced_vocab": with_("lmr subs", "SELECT id, subword AS token FROM subs WHERE subword NOT IN (SELECT subword FROM subs LEFT JOIN (SELECT token, max(logp) + ln(sum(exp(logp - m))) AS score FROM (SELECT *, max(logp) OVER (PARTITION BY token) AS m FROM lmr) GROUP BY token) ON token = subword WHERE length(subword) > 1 AND subword <> '###' ORDER BY round(coalesce(score, -1e300), 9), subword LIMIT 300)"),
     "expected_counts": with_("all7", "SELECT word, piece, round(sum(w) / any_value(t), 6) + 0.0 AS share FROM (SELECT word, unnest(out) AS piece, exp(x) AS w FROM all7 WHERE loc = length(word)) JOIN (SELECT word, sum(exp(x) * len(out)) AS t FROM all7 WHERE loc = length(word) GROUP BY word) USING (word) GROUP BY word, piece"),
+    "em_epoch_segmentations": with_("eseg", SEG + "eseg"),
     "bigram_viterbi_words": with_("best", "SELECT word, array_to_string(pieces, ' ') AS pieces, round(score, 6) + 0.0 AS score FROM best"),
     "bigram_beam_words": with_("best", "SELECT word, round(score, 6) + 0.0 AS score FROM best"),
 }
