@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from subspark.functions import text as T
 from subspark.operators import cooc, counts, linalg, lm, viterbi
+from subspark.plans.store import stored
 
 LONGEST = 4
 #: Words of up to so many code points go to the bigram decoders.
@@ -21,6 +22,12 @@ SHORT = 9
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._made: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = stored(make(), name)
+        return self._made[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -36,9 +43,13 @@ class Inputs:
         return e.select(F.col("vec_id").cast("int").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
     def words(self) -> DataFrame:
-        """(id, word, n, vec)"""
-        top = counts.top_words(self.word_counts(), self.table("embeddings").count())
-        return top.join(self.vectors(), "id").select("id", "word", "n", "vec")
+        """(id, word, n, vec), counted once: all else starts from it."""
+
+        def make():
+            top = counts.top_words(self.word_counts(), self.table("embeddings").count())
+            return top.join(self.vectors(), "id").select("id", "word", "n", "vec")
+
+        return self._once("words", make)
 
     def edges(self) -> DataFrame:
         """(subword, word, weight)"""
@@ -46,8 +57,12 @@ class Inputs:
 
     def subwords(self) -> DataFrame:
         """(subword, id): the distinct substrings in order."""
-        found = self.edges().select("subword").distinct()
-        return counts.top_words(found.select(F.col("subword").alias("word"), F.lit(0).alias("n")), 10_000_000).select(F.col("word").alias("subword"), "id")
+
+        def make():
+            found = self.edges().select(F.col("subword").alias("word"), F.lit(0).alias("n")).distinct()
+            return counts.top_words(found, 10_000_000).select(F.col("word").alias("subword"), "id")
+
+        return self._once("subwords", make)
 
     def projection(self) -> DataFrame:
         return linalg.long_form(self.vectors())
@@ -72,9 +87,13 @@ class Inputs:
         return sums.crossJoin(F.broadcast(total)).select("piece", F.round(F.log(F.col("n") / F.col("total")), 9).alias("score"))
 
     def segmented(self, mode: str = "sum") -> DataFrame:
-        """(word, n, pieces, score)"""
-        words = viterbi.scored_words(self.words().select("word", "n"), self.piece_scores(), LONGEST)
-        return viterbi.segment(words, mode, False, LONGEST)
+        """(word, n, pieces, score), decoded once."""
+
+        def make():
+            words = viterbi.scored_words(self.words().select("word", "n"), self.piece_scores(), LONGEST)
+            return viterbi.segment(words, mode, False, LONGEST)
+
+        return self._once(f"segmented-{mode}", make)
 
     def unigrams(self) -> DataFrame:
         return lm.unigrams(self.segmented())
