@@ -159,11 +159,12 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
                         clear = made.unescape(text)
                         loss_chars += len(clear)
                         loss.update(clear.encode())
-                    if text == made.end and kind == "mark":
-                        for role, said in made.turns(iter(parts)):
-                            n_turns += 1
-                            turns.update(f"{role}\n{said}\n".encode())
-                        parts = []
+                if kind == "end" or text == made.end and kind == "mark":
+                    for role, said in made.turns(iter(parts)):
+                        n_turns += 1
+                        turns.update(f"{role}\n{said}\n".encode())
+                    parts = []
+                if kind != "end":
                     continue
                 out.append((conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, valid))
                 turns, loss = hashlib.sha256(), hashlib.sha256()
