@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from subspark.llm.common import binary_texts, doc_key, stored
 
-BUCKETS, STRENGTH, FIT_ROWS, SEED = 1 << 16, 200.0, 100_000, 11
+BUCKETS, STRENGTH, FIT_ROWS, SEED = 1 << 18, 200.0, 100_000, 11
 #: Counts that smooth a bucket of the raw model, and of the target model in the mean.
 SMOOTHING, PRIOR = 1.0, 1.0
 _PAIR = np.uint32(0x9E3779B1)
