@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Pre-tokens, and words with their stops and capitals, that a worker remembers: the first that it meets.
-CACHE = 400_000
+CACHE = 150_000
 #: Pre-tokens that are encoded as one string.
 JOINED = 100
 #: Characters of a text that are split at once.

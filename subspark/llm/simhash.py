@@ -33,9 +33,9 @@ SEED, BUDGET, BITS = 42, 3, 64
 SUBTREE = 50_000
 LEVELS = 4
 #: Node pairs that a walk holds at once.
-WALK = 1_000_000
+WALK = 100_000
 #: Rows of subtrees that a task walks together.
-TOGETHER = 200_000
+TOGETHER = 50_000
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
