@@ -20,15 +20,22 @@ def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, starts
 
 
-def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted suffixes, and the rank of each suffix. Groups of equal beginnings are refined by the rank of what
-    follows, over twice the length each time; suffixes alone in a group are left as they are."""
+def first_keys(codes: np.ndarray) -> np.ndarray:
+    """FIRST codes from each position as one number; beyond the end there is 0."""
     n = len(codes)
     padded = np.concatenate((codes, np.zeros(FIRST, np.uint16))).astype(np.int64)
     key = np.zeros(n, np.int64)
     for k in range(FIRST):
         key = (key << 9) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    return key
+
+
+def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted suffixes, and the rank of each suffix. Groups of equal beginnings are refined by the rank of what
+    follows, over twice the length each time; suffixes alone in a group are left as they are."""
+    n = len(codes)
+    key = first_keys(codes)
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
     heads = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -43,7 +50,7 @@ def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inside = after < n
         follow = np.where(inside, rank[np.where(inside, after, 0)] + 1, 0)
         key = rank[some] * (n + 1) + follow
-        sort = np.argsort(key, kind="stable")
+        sort = np.argsort(key)
         order[open_] = some = some[sort]
         key = key[sort]
         new = np.concatenate(([True], key[1:] != key[:-1]))
@@ -61,12 +68,20 @@ def common_prefixes(codes: np.ndarray, starts: np.ndarray, order: np.ndarray, ra
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     padded = np.concatenate((codes, [0]))
+    keys = np.concatenate((first_keys(codes), [0]))
     ends = np.concatenate((starts[1:], [n]))
     lanes = np.arange(len(starts))
     at, length = starts.copy(), np.zeros(len(starts), np.int64)
     while len(lanes):
         other = before[at]
         length[other < 0] = 0
+        # as long as FIRST codes of the lane's own text are left, so many are compared at once
+        last = np.minimum(ends[lanes] - 1 - at, most) - FIRST
+        grow = np.flatnonzero((other >= 0) & (length <= last))
+        while len(grow):
+            grow = grow[keys[at[grow] + length[grow]] == keys[np.minimum(other[grow] + length[grow], n)]]
+            length[grow] += FIRST
+            grow = grow[length[grow] <= last[grow]]
         grow = np.flatnonzero((other >= 0) & (length < most))
         while len(grow):
             a = padded[at[grow] + length[grow]]
@@ -92,35 +107,34 @@ def repeats_inside(codes: np.ndarray, starts: np.ndarray, order: np.ndarray, ran
 
 
 def found_in(codes: np.ndarray, at: np.ndarray, others: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
-    """Which of the `size`-code strings at the positions `at` occur in `others`, by binary search in its suffix array."""
-    low, high = np.zeros(len(at), np.int64), np.full(len(at), len(order), np.int64)
-    while (open_ := low < high).any():
-        middle = (low + high) // 2
-        suffix = order[np.where(open_, middle, 0)]
-        less = open_ & (_compare(others, suffix, codes, at, size) < 0)
-        high = np.where(open_ & ~less, middle, high)
-        low = np.where(less, middle + 1, low)
-    inside = low < len(order)
+    """Which of the `size`-code strings at the positions `at` occur in `others`, by binary search in its suffix array:
+    first by the first FIRST codes, then, between the suffixes that have those, by the rest."""
+    mine, theirs = first_keys(codes), first_keys(others)
+    heads = theirs[order]
+    low, high = np.searchsorted(heads, mine[at], "left"), np.searchsorted(heads, mine[at], "right")
+    end = high.copy()
+    while len(live := np.flatnonzero(low < high)):
+        middle = (low[live] + high[live]) // 2
+        less = _compare(theirs, order[middle], mine, at[live], size) < 0
+        low[live[less]] = middle[less] + 1
+        high[live[~less]] = middle[~less]
     out = np.zeros(len(at), bool)
-    out[inside] = _compare(others, order[low[inside]], codes, at[inside], size) == 0
+    inside = np.flatnonzero(low < end)
+    out[inside] = _compare(theirs, order[low[inside]], mine, at[inside], size) == 0
     return out
 
 
 def _compare(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
-    """Sign of the comparison of `size` codes; beyond an array's end there is 0."""
+    """Sign of the comparison of `size` codes of which the first FIRST are equal. a, b: first_keys of the codes."""
     sign = np.zeros(len(i), np.int8)
     live = np.arange(len(i))
-    for k in range(0, size, 8):
+    for k in [*range(FIRST, size - FIRST, FIRST), max(0, size - FIRST)]:
+        ia, jb = i[live] + k, j[live] + k
+        x = np.where(ia < len(a), a[np.minimum(ia, len(a) - 1)], 0)
+        y = np.where(jb < len(b), b[np.minimum(jb, len(b) - 1)], 0)
+        differ = x != y
+        sign[live[differ]] = np.where(x[differ] < y[differ], -1, 1)
+        live = live[~differ]
         if not len(live):
             break
-        step = np.arange(k, min(k + 8, size))
-        ia, jb = i[live, None] + step, j[live, None] + step
-        x = np.where(ia < len(a), a[np.minimum(ia, len(a) - 1)], 0).astype(np.int32)
-        y = np.where(jb < len(b), b[np.minimum(jb, len(b) - 1)], 0).astype(np.int32)
-        differ = x != y
-        some = differ.any(1)
-        first = differ[some].argmax(1)
-        rows = np.flatnonzero(some)
-        sign[live[some]] = np.where(x[rows, first] < y[rows, first], -1, 1)
-        live = live[~some]
     return sign

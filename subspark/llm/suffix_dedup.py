@@ -30,7 +30,8 @@ from subspark.llm.common import arrow_schema, binary_texts, doc_key, fresh, stor
 from subspark.llm.suffix_arrays import found_in, join_texts, repeats_inside, suffix_array
 
 SIZE, GRAM = 200, 32
-SHARD = 1_000_000
+#: Bytes of text of a shard, and of a part of a bucket that is larger than LARGE shards.
+SHARD, PART, LARGE = 1_000_000, 2_000_000, 3
 #: Bytes of texts that are hashed together.
 TOGETHER = 1 << 20
 TWICE = 1 << 62
@@ -189,13 +190,13 @@ def shard_repeats(rows: DataFrame, size: int = SIZE) -> DataFrame:
     by_bucket = rows.groupBy("bucket").agg(F.sum(F.length("text")).alias("bytes"))
     total = by_bucket.agg(F.sum("bytes")).first()[0] or 0
     shards = total // SHARD + 1
-    large = stored(by_bucket.filter(F.col("bytes") > 2 * SHARD), "large")
+    large = stored(by_bucket.filter(F.col("bytes") > LARGE * SHARD), "large")
     if large.isEmpty():
         small, wide = rows, None
     else:
         # what stands in a large bucket: few buckets, but many rows; each row meets all parts
         small = rows.join(large, "bucket", "left_anti")
-        parts = F.ceil(F.col("bytes") / SHARD).cast("int")
+        parts = F.ceil(F.col("bytes") / PART).cast("int")
         own = F.pmod(F.xxhash64("digest"), parts).cast("int")
         wide = rows.join(large, "bucket").withColumns({"parts": parts, "own": own})
         wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -237,7 +238,8 @@ def shard_repeats(rows: DataFrame, size: int = SIZE) -> DataFrame:
             made = [arrays(left), arrays(right)]
             for me, it, side in ((made[0], made[1], left), (made[1], made[0], right)):
                 texts, codes, starts = me[:3]
-                at = np.concatenate([s + np.arange(len(t) - size + 1) for s, t in zip(starts.tolist(), texts, strict=True)])
+                once = [(s, len(t)) for s, t, n in zip(starts.tolist(), texts, side.column("n").to_pylist(), strict=True) if n == 1]
+                at = np.concatenate([np.zeros(0, np.int64), *(s + np.arange(n - size + 1) for s, n in once)])
                 flags = np.zeros(len(codes), bool)
                 flags[at] = found_in(codes, at, it[1], it[3], size)
                 out += rows_of(side, texts, starts, flags)

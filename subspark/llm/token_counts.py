@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subspark.llm import pieces as P
-from subspark.llm.common import arrow_schema, doc_key
+from subspark.llm.common import arrow_schema, doc_key, stored
 
 SAMPLE = 0.05
 HEAD, HEAD_CHARS = 200_000, 32
@@ -47,8 +47,15 @@ def head_of(docs: DataFrame, spec) -> dict[str, int]:
         yield from _batches(list(seen.items()), ["word", "n"])
 
     sample = docs.select("text").sample(SAMPLE, seed=7).mapInArrow(count, "word string, n long")
-    best = sample.filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(HEAD)
-    found = [r.word for r in best.select("word").collect()]
+    words = stored(sample.filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # the least number of times of which at most HEAD pre-tokens have as many: there are few such numbers
+    most, taken = None, 0
+    for row in words.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        taken += row["count"]
+        if taken > HEAD:
+            break
+        most = row.n
+    found = [] if most is None else [r.word for r in words.filter(F.col("n") >= most).select("word").collect()]
     return dict(zip(found, (len(x) // 4 for x in P.pieces(spec).encode(found)), strict=True))
 
 
@@ -65,7 +72,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
         """One row for each document, with n the tokens of frequent pre-tokens, and one for each other pre-token.
         A document's own row has a word with a space in front, which is no pre-token: it joins nothing."""
         spec, head = shared.value
-        stop = {s: len(x) // 4 for s, x in zip(".,", P.pieces(spec).encode([".", ","]), strict=True)} | {"": 0}
+        signs = {"": 0}
         for batch in batches:
             rows = []
             ids, texts, a, b = (batch.column(k).to_pylist() for k in range(4))
@@ -77,7 +84,11 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
                     count = head.get(word)
                     if count is None:
                         word, after = P.core(word)
-                        total += n * stop[after]
+                        if after not in signs:
+                            signs[after] = len(P.pieces(spec).encode([after])[0]) // 4
+                        total += n * signs[after]
+                        if len(signs) > FLUSH:
+                            signs = {"": 0}
                         count = head.get(word)
                     if count is None:
                         rare[word] += n

@@ -23,10 +23,10 @@ def test_suffix_array_and_prefixes():
             assert flags[s + i] == (grams[t[i : i + 5]] > 1)
     half, at = suffix_arrays.join_texts(texts[:15])
     order, _ = suffix_arrays.suffix_array(half)
-    have = {t[i : i + 5] for t in texts[:15] for i in range(len(t) - 4)}
-    here = [s + i for t, s in zip(texts, starts.tolist()) for i in range(len(t) - 4)]
-    got = suffix_arrays.found_in(codes, np.array(here), half, order, 5)
-    assert got.tolist() == [bytes((codes[p : p + 5] - 1).astype(np.uint8)) in have for p in here]
+    here = [s + i for t, s in zip(texts, starts.tolist()) for i in range(len(t) - 8)]
+    have = {t[i : i + 9] for t in texts[:15] for i in range(len(t) - 8)}
+    got = suffix_arrays.found_in(codes, np.array(here), half, order, 9)
+    assert got.tolist() == [bytes((codes[p : p + 9] - 1).astype(np.uint8)) in have for p in here]
 
 
 def slow(texts, size):
@@ -59,6 +59,7 @@ def passages():
 @pytest.mark.parametrize("shard", [1_000_000, 3_000])
 def test_same_as_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "PART", shard)
     texts = passages()
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id " * 50), (0, texts[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
