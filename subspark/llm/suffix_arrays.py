@@ -6,6 +6,8 @@ import numpy as np
 
 #: Characters in a first key, of nine bits each.
 FIRST = 7
+#: Positions of a text that one lane of Kasai's algorithm goes through.
+LANE = 256
 
 
 def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +63,8 @@ def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_prefixes(codes: np.ndarray, starts: np.ndarray, order: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
-    """Kasai's algorithm, one lane a text: the length, up to `most`, that the suffix at each position has in common
-    with the one before it in sorted order. No common part goes beyond a text's end."""
+    """Kasai's algorithm, in lanes of LANE positions of a text, side by side: the length, up to `most`, that the suffix
+    at each position has in common with the one before it in sorted order. No common part goes beyond a text's end."""
     n = len(codes)
     out = np.zeros(n, np.int32)
     before = np.full(n, -1, np.int64)
@@ -70,13 +72,15 @@ def common_prefixes(codes: np.ndarray, starts: np.ndarray, order: np.ndarray, ra
     padded = np.concatenate((codes, [0]))
     keys = np.concatenate((first_keys(codes), [0]))
     ends = np.concatenate((starts[1:], [n]))
-    lanes = np.arange(len(starts))
-    at, length = starts.copy(), np.zeros(len(starts), np.int64)
-    while len(lanes):
+    times = -(-(ends - starts) // LANE)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    at, end = np.repeat(starts, times) + LANE * nth, np.repeat(ends, times)
+    stop, length = np.minimum(at + LANE, end), np.zeros(len(at), np.int64)
+    while len(at):
         other = before[at]
         length[other < 0] = 0
         # as long as FIRST codes of the lane's own text are left, so many are compared at once
-        last = np.minimum(ends[lanes] - 1 - at, most) - FIRST
+        last = np.minimum(end - 1 - at, most) - FIRST
         grow = np.flatnonzero((other >= 0) & (length <= last))
         while len(grow):
             grow = grow[keys[at[grow] + length[grow]] == keys[np.minimum(other[grow] + length[grow], n)]]
@@ -92,8 +96,9 @@ def common_prefixes(codes: np.ndarray, starts: np.ndarray, order: np.ndarray, ra
         out[at] = length
         length = np.maximum(length - 1, 0)
         at = at + 1
-        left = at < ends[lanes]
-        lanes, at, length = lanes[left], at[left], length[left]
+        left = at < stop
+        if not left.all():
+            at, end, stop, length = at[left], end[left], stop[left], length[left]
     return out
 
 
