@@ -18,7 +18,7 @@ takes part, and is never the smallest of a component unless all are null. Repeat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,18 +68,29 @@ def ones_of(hashes: np.ndarray, words: int) -> np.ndarray:
 
 def fingerprint(text: bytes, size: int = 3, words: int = 1) -> bytes:
     """Little-endian 64-bit words. A bit is 1 if it is set in over half the hashes of the text's shingles."""
-    hashes = shingle_hashes(text, size)
+    return bits_of(shingle_hashes(text, size), words)
+
+
+def bits_of(hashes: np.ndarray, words: int) -> bytes:
     return np.packbits(2 * ones_of(hashes, words) > len(hashes), bitorder="little").tobytes()
 
 
 def fingerprints(docs: DataFrame, size: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, k1, k2, fp long, wide binary): fp is the fingerprint itself if it has one word, else its hash;
-    wide is null if it has one word."""
+    """(doc_id, k1, k2, fp long, wide binary): fp is the fingerprint itself if it has one word, else a hash of the
+    set of shingles; wide is null if it has one word."""
 
     def run(batches):
         for batch in batches:
-            wide = [fingerprint(t, size, words) for t in binary_texts(batch.column(1))]
-            fp = np.frombuffer(b"".join(wide), np.int64) if words == 1 else np.array([xxhash.xxh64_intdigest(w) for w in wide], np.uint64).view(np.int64)
+            if words == 1:
+                wide = [fingerprint(t, size) for t in binary_texts(batch.column(1))]
+                fp = np.frombuffer(b"".join(wide), np.int64)
+            else:
+                wide, sets = [], []
+                for t in binary_texts(batch.column(1)):
+                    hashes = shingle_hashes(t, size)
+                    wide.append(bits_of(hashes, words))
+                    sets.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes()))
+                fp = np.array(sets, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(fp), pa.array([None] * len(wide) if words == 1 else wide, pa.binary())],
                 names=["doc_id", "k1", "k2", "fp", "wide"],
@@ -123,12 +134,32 @@ class _Forest:
 
 def trie_links(values: np.ndarray, groups: np.ndarray, budget: int = BUDGET, bits: int = BITS, wide: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links inside each group, as positions. values: distinct in a group; sorted by
-    (group, value). The trie's nodes are ranges of positions: bit by bit, a range is cut where the bit sets in.
-    With wide fingerprints (a row of words for each value), a link has at most `most` of their bits differ as
-    well, and equal values may repeat in a group."""
+    (group, value). With wide fingerprints (a row of words for each value), a link has at most `most` of their bits
+    differ as well, and equal values may repeat in a group."""
+    out = [*_walk(values, groups, _Forest(len(values)), budget, bits, wide, most)]
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def trie_pairs(values: np.ndarray, groups: np.ndarray, labels: np.ndarray, nths: np.ndarray, budget: int, bits: int, wide: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links of trie_links between values of different labels, about WALK at a time. nths: which piece of the wide
+    fingerprint a value is. A pair counts where its first piece within the budget is, not at the others."""
+    forest = _Forest(len(values))
+    _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
+    forest.label = first[inverse]
+    small = wide.view(f"u{PIECE // 8}")
+    for x, y in _walk(values, groups, forest, budget, bits, wide, most, unite=False):
+        here = (np.bitwise_count(small[x] ^ small[y]) <= budget).argmax(1) == nths[x]
+        if here.any():
+            yield x[here], y[here]
+
+
+def _walk(values, groups, forest: _Forest, budget: int, bits: int, wide, most: int, unite: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between sets of the forest; with `unite` those of a spanning forest, else all, some more than once.
+    The trie's nodes are ranges of positions: bit by bit, a range is cut where the bit sets in."""
     n = len(values)
     sums = [None] * bits
-    forest, out = _Forest(n), []
     starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
     ends = np.concatenate((starts[1:], [n]))
     big = ends - starts > 1
@@ -155,8 +186,12 @@ def trie_links(values: np.ndarray, groups: np.ndarray, budget: int = BUDGET, bit
             if wide is not None:
                 near = np.bitwise_count(wide[x] ^ wide[y]).sum(1, dtype=np.int64) <= most
                 x, y = x[near], y[near]
+            if not unite:
+                if len(x):
+                    yield x, y
+                continue
             for k in forest.unite(x, y):
-                out.append((x[k], y[k]))
+                yield x[k], y[k]
         # nodes of which all leaves are in one component need no look
         change = np.concatenate(([0], np.cumsum(forest.label[1:] != forest.label[:-1])))
         done = (change[a0] == change[a1 - 1]) & (change[b0] == change[b1 - 1]) & (forest.label[a0] == forest.label[b0])
@@ -177,9 +212,6 @@ def trie_links(values: np.ndarray, groups: np.ndarray, budget: int = BUDGET, bit
         kids = kids[:, (kids[0] < kids[1]) & (kids[2] < kids[3]) & (kids[4] <= budget)]
         if kids.shape[1]:
             stack.append((bit - 1, kids))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
 def _crossed(forest: _Forest, a0, a1, b0, b1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,9 +231,11 @@ def _crossed(forest: _Forest, a0, a1, b0, b1) -> Iterator[tuple[np.ndarray, np.n
 
 
 def _walked(rows: DataFrame, bits: int, most: int) -> DataFrame:
-    """rows: (key, fp, piece long, wide). Links inside each key, as (a, b)."""
+    """rows: (key, fp, piece long, wide). Links inside each key, as (a, b); of rows with (nth, label) as well, all
+    between different labels."""
+    all_ = "label" in rows.columns
 
-    def links(table: pa.Table) -> pa.RecordBatch | None:
+    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
         keys, fps = table.column("key").to_numpy(), table.column("fp").to_numpy()
         pieces = table.column("piece").to_numpy().view(np.uint64)
         order = np.lexsort((pieces, keys))
@@ -210,8 +244,14 @@ def _walked(rows: DataFrame, bits: int, most: int) -> DataFrame:
             raw = b"".join(table.column("wide").to_pylist())
             wide = np.frombuffer(raw, np.uint64).reshape(len(keys), -1)[order]
         fps = fps[order]
-        a, b = trie_links(pieces[order], keys[order], BUDGET, bits, wide, most)
-        return pa.RecordBatch.from_pydict({"a": fps[a], "b": fps[b]}) if len(a) else None
+        if all_:
+            labels, nths = (table.column(c).to_numpy()[order] for c in ("label", "nth"))
+            found = trie_pairs(pieces[order], keys[order], labels, nths, BUDGET, bits, wide, most)
+        else:
+            found = [trie_links(pieces[order], keys[order], BUDGET, bits, wide, most)]
+        for a, b in found:
+            if len(a):
+                yield pa.RecordBatch.from_pydict({"a": fps[a], "b": fps[b]})
 
     def run(batches: Iterator[pa.RecordBatch]):
         held, n = [], 0
@@ -223,12 +263,11 @@ def _walked(rows: DataFrame, bits: int, most: int) -> DataFrame:
                 keys = table.column("key").to_numpy()
                 whole = int(np.searchsorted(keys, keys[-1]))
                 if whole:
-                    if (found := links(table.slice(0, whole))) is not None:
-                        yield found
+                    yield from links(table.slice(0, whole))
                     held = table.slice(whole).combine_chunks().to_batches()
                     n -= whole
-        if held and (found := links(pa.Table.from_batches(held))) is not None:
-            yield found
+        if held:
+            yield from links(pa.Table.from_batches(held))
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
@@ -244,13 +283,15 @@ def _signed(mask: int) -> int:
 
 def fingerprint_links(distinct: DataFrame, pieces: int = 1, most: int = 0) -> DataFrame:
     """distinct: (fp long, wide), no fp twice. Links (a, b) of a forest that joins what all pairs of fingerprints
-    with some piece within the budget, and with at most `most` differing bits in all (0: any), would join."""
+    with some piece within the budget, and with at most `most` differing bits in all (0: any), would join. With a
+    column label in distinct (and pieces): all such pairs of different labels, some more than once."""
+    more = [c for c in distinct.columns if c == "label"]
     bits = BITS if pieces == 1 else PIECE
     if pieces == 1:
         level = distinct.select("fp", F.lit(None).cast("binary").alias("wide"), F.lit(0).alias("nth"), F.col("fp").alias("piece"))
     else:
         values = F.array(*[_piece(F.col("wide"), k) for k in range(pieces)])
-        level = distinct.select("fp", "wide", F.posexplode(values).alias("nth", "piece"))
+        level = distinct.select("fp", "wide", *more, F.posexplode(values).alias("nth", "piece"))
     level = level.withColumn("mask", F.lit(0).cast("long"))
     out, masks = None, [0]
     for depth in range(LEVELS):
@@ -264,7 +305,7 @@ def fingerprint_links(distinct: DataFrame, pieces: int = 1, most: int = 0) -> Da
         if depth < LEVELS - 1:
             large = stored(keyed.groupBy("key").count().filter(F.col("count") > SUBTREE).select("key"), "subtrees")
             large = None if large.isEmpty() else large
-        walked = _walked((keyed if large is None else keyed.join(large, "key", "left_anti")).select("key", "fp", "piece", "wide"), bits, most)
+        walked = _walked((keyed if large is None else keyed.join(large, "key", "left_anti")).select("key", "fp", "piece", "wide", *(["nth", *more] if more else [])), bits, most)
         out = walked if out is None else out.unionByName(walked)
         if large is None:
             break
@@ -278,10 +319,11 @@ def _piece(wide, k: int):
     return F.conv(F.hex(F.substring(wide, size * k + 1, size)), 16, 10).cast("long")
 
 
-def grouped(marked: DataFrame, pieces: int = 1, most: int = 0) -> DataFrame:
-    """marked: (doc_id, fp, wide, more). Adds component_id, the smallest doc_id that fp's links reach."""
+def grouped(marked: DataFrame, links: Callable[[DataFrame], DataFrame] = fingerprint_links) -> DataFrame:
+    """marked: (doc_id, fp, wide, more). Adds component_id, the smallest doc_id that fp's links reach. links gives
+    them, as (a, b), from the distinct (fp, wide)."""
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("wide").alias("wide"))
-    roots = components(fingerprint_links(first.select("fp", "wide"), pieces, most))
+    roots = components(links(first.select("fp", "wide")))
     # only linked fingerprints have a root; the others are components of their own
     linked = first.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first_id")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("root_id"))
@@ -301,21 +343,61 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return grouped(marked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: 64-bit words of a wide fingerprint, and the most of its bits that may differ. Texts of a Jaccard similarity of
-#: 0.8 over five-word shingles differ in about 15 % of the bits, unrelated ones in half.
-WORDS, MOST = 5, 58
+#: 64-bit words of a wide fingerprint, and the most of its bits that a candidate pair may differ in. Texts of a Jaccard
+#: similarity of 0.8 over five-word shingles differ in about 47 of the 320 bits (deviation 6), unrelated ones in half.
+WORDS, MOST = 5, 76
+#: Pairs within so many bits are mostly of a similarity over 0.8, and are verified first.
+SURE = 40
 #: Bits of a wide fingerprint's pieces, one trie each.
 PIECE = 32
 
 
+def shingle_sets(docs: DataFrame, marked: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(fp, shingles array<long>): the distinct shingle hashes of each fp in pairs (a, b), from one of its texts."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, size)) for t in binary_texts(batch.column(1))]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["fp", "shingles"])
+
+    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    one = marked.join(asked, "fp").groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("key")).select("fp", "key.*")
+    k1, k2 = doc_key(F.col("doc_id"), F.col("text"))
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(one, ["k1", "k2"]).select("fp", "text")
+    return texts.mapInArrow(run, "fp long, shingles array<long>").dropDuplicates(["fp"])
+
+
+def verified(docs: DataFrame, marked: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of 0.8 or more."""
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    sets = stored(shingle_sets(docs, marked, pairs, size), "shingles")
+    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    near = common * 9 >= (F.size("of_a") + F.size("of_b")) * 4  # 5 x common >= 4 x union
+    return both.filter(near).select("a", "b")
+
+
+def copy_links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, size: int, pieces: int, most: int) -> DataFrame:
+    """nodes: (fp, wide), one for each set of shingles. Links (a, b) that join what all candidate pairs of a true
+    similarity of 0.8 or more would join: a forest of close candidates is verified first, then every candidate pair
+    that it leaves in different components."""
+    nodes = stored(nodes, "nodes")
+    close = stored(verified(docs, marked, fingerprint_links(nodes, pieces, min(SURE, most)), size), "close")
+    roots = components(close).withColumnRenamed("node", "fp")
+    labelled = stored(nodes.join(roots, "fp", "left").select("fp", "wide", F.coalesce("root", "fp").alias("label")), "labelled")
+    return close.unionByName(verified(docs, marked, fingerprint_links(labelled, pieces, most), size))
+
+
 def one_of_each(docs: DataFrame, size: int = 5, words: int = WORDS, most: int = MOST) -> DataFrame:
     """docs, same columns: of each component the row of the smallest doc_id stays; of equal ids, one row.
 
-    Five-word shingles and a similarity of 0.8: fingerprints of `words` words link when one of their pieces is
-    within the budget and at most `most` bits differ in all. One 64-bit word within three bits would miss most
-    texts of such a similarity."""
+    Texts link when the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Candidates are
+    fingerprints of `words` words with one piece within the budget and at most `most` differing bits in all; one
+    64-bit word within three bits would miss most texts of such a similarity."""
     marked = stored(fingerprints(docs, size, words), "fingerprints")
-    sets = grouped(marked, words * BITS // PIECE, most)
+    sets = grouped(marked, lambda nodes: copy_links(docs, marked, nodes, size, words * BITS // PIECE, most))
     best = sets.groupBy("component").agg(
         F.min_by(F.struct("k1", "k2"), F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("best")
     )

@@ -92,3 +92,52 @@ def test_one_of_each_keeps_columns_and_unlike_texts(spark):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in range(20)] + ["None"])
+
+
+def test_pairs_of_different_labels_are_all_found():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (12, 40), dtype=np.uint8)
+    rows = np.concatenate([base] * 8)
+    for row in rows:
+        for b in rng.integers(0, 320, 30):
+            row[b // 8] ^= 1 << (b % 8)
+    wide = np.unique(rows, axis=0).view(np.uint64)
+    small, n, labels = wide.view(np.uint32), len(wide), rng.integers(0, 5, len(wide))
+    apart = lambda i, j: np.bitwise_count(small[i] ^ small[j])
+    expected = {(i, j) for i, j in combinations(range(n), 2) if labels[i] != labels[j] and apart(i, j).min() <= 3 and apart(i, j).sum() <= 60}
+    found = set()
+    for nth in range(10):
+        order = np.argsort(small[:, nth], kind="stable")
+        same = np.zeros(n, np.int64)
+        new = set()
+        for a, b in simhash.trie_pairs(small[order, nth].astype(np.uint64), same, labels[order], same + nth, 3, 32, wide[order], 60):
+            new |= {tuple(sorted(p)) for p in zip(order[a].tolist(), order[b].tolist())}
+        assert not new & found  # a pair counts at one piece alone
+        found |= new
+    assert len(expected) > 50 and found == expected
+
+
+def test_one_of_each_goes_by_true_similarity(spark):
+    """Pages of one template with a similarity around 0.8: candidates alone would take many below it as copies."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    rows = []
+    for group in range(12):
+        template = [rng.choice(words) for _ in range(150)]
+        for _ in range(6):
+            cut = rng.randint(4, 26)
+            rows.append((len(rows), " ".join([*template[: 150 - cut], *(rng.choice(words) for _ in range(cut))])))
+    rows += [(500, None), (501, ""), (502, rows[0][1].upper())]
+
+    def grams(text):
+        own = (text or "").lower().split()
+        return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+
+    sets = [grams(t) for _, t in rows]
+    pairs = list(combinations(range(len(rows)), 2))
+    jaccard = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0 for i, j in pairs}
+    label = slow_components(len(rows), [p for p in pairs if jaccard[p] >= 0.8])
+    assert sum(0.7 <= j < 0.8 for j in jaccard.values()) > 20 and sum(0.8 <= j < 0.9 for j in jaccard.values()) > 20
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    expected = {min(rows[m][0] for m in range(len(rows)) if label[m] == k) for k in set(label)}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
