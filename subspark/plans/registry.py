@@ -98,7 +98,7 @@ def context_filtered(x):
 
 
 def _halves(x):
-    return [cooc.subword_word(x.lines().filter(f"doc_id % 2 = {k}"), x.words(), 1, 2) for k in (0, 1)]
+    return [cooc.subword_word(x.lines().filter(f"pmod(coalesce(doc_id, 0), 2) = {k}"), x.words(), 1, 2) for k in (0, 1)]
 
 
 def merge_contexts_sum(x):

@@ -31,3 +31,11 @@ def test_query_is_its_sql(spark, tables, name):
     expected = tables.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
     got = [tuple(r) for r in found.select(*columns).collect()]
     assert len(got) > 0 and sorted(map(repr, got)) == sorted(map(repr, expected))
+
+
+def test_halves_take_documents_with_negative_or_no_ids(spark, tmp_path):
+    docs = [(i, "red green blue red") for i in (-3, -2, None, 1, 2)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, 0.5]) for i in range(3)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.subword, r.word): r.n for r in registry.queries()["merge_contexts_sum"](spark, str(tmp_path)).collect()}
+    assert got["bl", "red"] == 5 and got["gr", "blue"] == 5 and got["d", "green"] == 5
