@@ -117,3 +117,14 @@ def test_stages_take_empty_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, path).collect() == []
+
+
+def test_quality_rules_with_a_column_kept(spark, sf_dir):
+    path = sf_dir[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    expected = ids(pipeline.keep_good(spark, docs, path))
+    for name in ("kept", "Kept"):
+        clash = docs.selectExpr("*", f"doc_id = 301 AS {name}")
+        got = pipeline.keep_good(spark, clash, path)
+        assert got.columns == clash.columns and ids(got) == expected and 301 not in expected
