@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,13 +54,22 @@ def words(text: str) -> Iterator[list[str]]:
         start = end
 
 
+def _ends_in_letter(base: str) -> bool:
+    """Whether it does for the library, which takes NFC and lower case first: some letters become a letter and a mark
+    there, and the mark goes with the signs behind it."""
+    last = base[-1]
+    if last.isascii():
+        return last.isalpha()
+    return last.isalpha() and unicodedata.normalize("NFC", last).lower()[-1].isalpha()
+
+
 def core(word: str) -> tuple[str, str]:
     """The pre-token, and the signs after its last letter, if any; those are a pre-token of their own."""
     if MARK in word:
         return word, ""
     base = word.rstrip(SIGNS)
     signs = word[len(base) :]
-    if not base or signs and not base[-1].isalpha():
+    if not base or signs and not _ends_in_letter(base):
         base, signs = word, ""
     if base.isascii() or max(base) < "\u0250" and "\u0130" not in base:
         base = base.lower()

@@ -1,3 +1,6 @@
+import random
+import sys
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -10,6 +13,7 @@ from subspark.llm import packing, pieces, token_counts
 ODD = [
     None, "", " \n\t ", "One", "It's, isn't. We'll...go! <|endoftext|> x<|endoftext|>. <|ENDOFTEXT|> <|startoftext|>",
     "A\x1cb c\x1f.d\x85e f", "İstanbul ΣΑΣ. ²½ x². 中文，字 é. \U0001f600, Ångstrom", "don't." * 300,
+    "PENDİ. KADIKÖYLÜ İ.", "\u0906\u0935\u093e\u095b, \u09dd! \ufb2a?",
     "word " * 5000, "x" * 3000, "1,234.5 a,b.c a.,", "\x00 a\x00b",
 ]
 
@@ -40,6 +44,23 @@ def test_ids_are_the_librarys(library, docs, monkeypatch):
                 assert np.frombuffer(made.ids(row.text), "<u4").tolist() == ids_of(library, row.text)
 
 
+def test_ids_of_random_unicode_are_the_librarys(library):
+    """Letters that end in a mark after NFC and lower case, and random strings of several scripts."""
+    made = pieces.Pieces(pieces.read(None))
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    marked = [c for c in chars if c.isalpha() and not unicodedata.normalize("NFC", c).lower()[-1].isalpha()]
+    assert "\u0130" in marked and "\u095b" in marked
+    rng = random.Random(6)
+    blocks = [(0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x590, 0x700), (0x900, 0xA80), (0x1100, 0x1200), (0x1E00, 0x2100), (0, 0x110000)]
+    pools = [list(" .,'!<=>s\x85\xa0\u3000"), marked, *([c for c in chars[a : min(b, len(chars))]] for a, b in blocks)]
+    texts = [f"a{c}. {c}, {c}" for c in marked]
+    for _ in range(20_000):
+        own = rng.choice(pools)
+        texts.append("".join(rng.choice(own if rng.random() < 0.7 else rng.choice(pools)) for _ in range(rng.randint(1, 12))))
+    expected = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, e in zip(texts, expected) if np.frombuffer(made.ids(t), "<u4").tolist() != e.ids] == []
+
+
 def test_counts_are_the_librarys(library, docs):
     expected = [(r.doc_id, len((r.text or "").encode()), n := len(ids_of(library, r.text)), n > 2048) for r in docs.collect()]
     assert sorted(map(tuple, token_counts.op7(docs).collect()), key=str) == sorted(expected, key=str)
