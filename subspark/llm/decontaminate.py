@@ -2,19 +2,25 @@
 
 The benchmark's items are the index: each item's words extend one automaton. Document words stream
 through it; the longest match that ends at each word shows whether a window of `window` item words, or
-a whole shorter item, ends there. Items are split into blocks of at most `BLOCK_WORDS` words; one
-automaton per block is broadcast, and every document meets every block, so that the broadcast stays
-bounded however large the benchmark is.
+a whole shorter item, ends there. Items are cut into parts of at most `PART_WORDS` words that overlap
+by window - 1, so that each window stands whole in a part, and parts are dealt out over blocks of about
+`BLOCK_WORDS` words. Tasks build the automata, one for each block, and write them to the shared folder.
+Documents meet the blocks one after another, and what is hit is written before the next block's
+automaton takes the place of the last one: one automaton is on the driver, broadcast and in a worker's
+memory at a time, however large the benchmark is. With a single block nothing is written in between.
 
 Nulls: a null text has no words; a null item_id marks words but isn't counted or listed. Items without
-words are ignored. Rows that repeat an item_id count as one item. Extra columns of documents stay.
+words are ignored. Rows that repeat an item_id count as one item; repeated documents each get a row. A
+benchmark without rows hits nothing, and documents without rows give none. Very long texts are scanned
+whole, a text at a time. Extra columns of documents stay; new ones get names that documents don't have.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -23,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from subspark.llm.common import binary_texts, fresh
+from subspark.llm.common import binary_texts, doc_key, fresh, stored
 
 WINDOW = 10
 #: Words of items in one automaton; about 400 bytes a word when broadcast.
 BLOCK_WORDS = 200_000
+#: Most words of an item that stay together.
+PART_WORDS = 5_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z become a-z; what can't be in a word becomes a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -54,8 +62,8 @@ class Automaton:
     #: For a state of at least `window` words: the state that holds its last `window` words.
     level: list[int] = field(default_factory=list)
     #: Items that have the window of such a state; whole items under a window's size that end at a state.
-    holders: dict[int, list] = field(default_factory=dict)
-    short: dict[int, tuple[int, list]] = field(default_factory=dict)
+    holders: dict[int, set] = field(default_factory=dict)
+    short: dict[int, tuple[int, set]] = field(default_factory=dict)
     #: The nearest state on the way of links, itself included, where a short item ends.
     short_up: list[int] = field(default_factory=list)
     least: int = WINDOW
@@ -107,18 +115,18 @@ class Automaton:
             state = 0
             for k, code in enumerate(codes):
                 state = self.nexts[state][code]
-                if k + 1 >= self.window and name not in (have := self.holders.setdefault(self.level[state], [])):
-                    have.append(name)
+                if k + 1 >= self.window:
+                    self.holders.setdefault(self.level[state], set()).add(name)
             if 0 < len(codes) < self.window:
                 # the state of the whole item holds no longer string that starts elsewhere in its last words
-                self.short.setdefault(state, (len(codes), []))[1].append(name)
+                self.short.setdefault(state, (len(codes), set()))[1].add(name)
                 self.least = min(self.least, len(codes))
         self.short_up = [-1] * len(self.size)
         for s in order:
             self.short_up[s] = s if s in self.short else self.short_up[self.link[s]]
 
-    def scan(self, codes: list[int], mark: np.ndarray, base: int, found: set) -> None:
-        """Walk over known words; set hit words in mark and add the items found."""
+    def scan(self, codes: list[int], mark: np.ndarray, base: int, levels: set[int], ends: set[int]) -> None:
+        """Walk over known words; set hit words in mark, and add the states of windows and of short items found."""
         nexts, link, size, window = self.nexts, self.link, self.size, self.window
         state = length = 0
         for k, code in enumerate(codes):
@@ -130,121 +138,166 @@ class Automaton:
                 length += 1
             if length >= window:
                 mark[base + k - window + 1 : base + k + 1] = True
-                found.update(self.holders[self.level[state]])
+                levels.add(self.level[state])
             if self.short and length >= self.least:
                 at = self.short_up[state]
                 while at > 0:
-                    n, names = self.short[at]
+                    n = self.short[at][0]
                     if n <= length:
                         mark[base + k - n + 1 : base + k + 1] = True
-                        found.update(names)
+                        ends.add(at)
                     at = self.short_up[link[at]]
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         n = len(words)
-        mark, found = np.zeros(n, bool), set()
+        mark, levels, ends = np.zeros(n, bool), set(), set()
         if n < self.least:
-            return mark, found
+            return mark, set()
         codes = np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, n)
         edges = np.flatnonzero(np.diff(np.concatenate(([0], (codes >= 0).view(np.int8), [0]))))
         for start, end in zip(edges[::2], edges[1::2], strict=True):
             if end - start >= self.least:
-                self.scan(codes[start:end].tolist(), mark, start, found)
-        return mark, found
+                self.scan(codes[start:end].tolist(), mark, start, levels, ends)
+        return mark, set().union(*(self.holders[x] for x in levels), *(self.short[x][1] for x in ends))
 
 
-def build(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> Automaton:
+def build(items: list[tuple[str | None, list[bytes]]], window: int = WINDOW) -> Automaton:
     made = Automaton(window)
-    coded = [(name, made.add(words_of(text))) for name, text in items]
-    made.finish(coded)
+    made.finish([(name, made.add(words)) for name, words in items])
     return made
 
 
-def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS):
-    """An automaton for each block of items, from an iterator over the rows: the driver holds one block at a time."""
-    held, n = [], 0
-    rows = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("string"), "text")
-    for item_id, text in rows.toLocalIterator():
-        raw = text.encode()
-        count = len(words_of(raw))
-        if held and n + count > most:
-            yield build(held, window)
-            held, n = [], 0
-        held.append((item_id, raw))
-        n += count
-    yield build(held, window)
+def parts_of(words: list[bytes], window: int, most: int = PART_WORDS) -> list[list[bytes]]:
+    """Parts of up to `most` words that have all windows of the item; a short item is one part."""
+    if len(words) <= most:
+        return [words] if words else []
+    return [words[k : k + most] for k in range(0, len(words) - window + 1, most - window + 1)]
+
+
+def automata(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> DataFrame:
+    """(block, made binary): a pickled automaton for each block of item parts, built in tasks."""
+    longest = min(PART_WORDS, max(most, window))
+
+    def parts(batches):
+        for batch in batches:
+            out = []
+            for name, text in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), strict=True):
+                out.extend((name, b" ".join(p), len(p)) for p in parts_of(words_of(text), window, longest))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["name", "part", "n"])
+
+    def made(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = zip(table.column("name").to_pylist(), table.column("part").to_pylist(), strict=True)
+        raw = pickle.dumps(build([(name, part.split(b" ")) for name, part in rows], window), protocol=5)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "made": pa.array([raw], pa.binary())})
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("name"), "text").filter(F.col("text").isNotNull())
+    rows = stored(items.mapInArrow(parts, "name string, part binary, n long").distinct(), "items")
+    blocks = -(-(rows.agg(F.sum("n")).first()[0] or 0) // most)
+    keyed = rows.withColumn("block", F.pmod(F.xxhash64("name", "part"), F.lit(max(blocks, 1))))
+    return stored(keyed.groupBy("block").applyInArrow(made, "block long, made binary"), "automata")
 
 
 FOUND = "n_words long, n_hit long, marks binary, items array<string>"
 
 
-def _marked(docs: DataFrame, automaton, names: list[str]) -> DataFrame:
-    """docs with n_words, the hit words as bits (null without hits) and the items, by the given names."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    at = docs.columns.index("text")
+def _named(names: list[str]):
     fields = _parse_datatype_string(FOUND).fields
     for each, name in zip(fields, names, strict=True):
         each.name = name
+    return fields
+
+
+def _columns(n_words: list[int], marks: list[np.ndarray | None], items: list[list[str]]) -> list[pa.Array]:
+    """The columns of FOUND; marks: hit words, None for none."""
+    hit = [0 if m is None else int(np.count_nonzero(m)) for m in marks]
+    bits = [np.packbits(m).tobytes() if n else None for m, n in zip(marks, hit, strict=True)]
+    return [pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+
+
+def _listed(found: set) -> list[str]:
+    return sorted(x for x in found if x is not None)
+
+
+def _marked(docs: DataFrame, made: bytes | None, names: list[str]) -> DataFrame:
+    """docs with the columns of FOUND, by the given names, of a single automaton."""
+    shared = docs.sparkSession.sparkContext.broadcast(made)
+    at = docs.columns.index("text")
 
     def run(batches):
-        made = shared.value
+        one = pickle.loads(shared.value) if shared.value else build([])
         for batch in batches:
-            n_words, n_hit, marks, items = [], [], [], []
-            for text in binary_texts(batch.column(at)):
-                words = words_of(text)
-                mark, found = made.hits(words)
-                n_words.append(len(words))
-                n_hit.append(int(mark.sum()))
-                marks.append(np.packbits(mark).tobytes() if mark.any() else None)
-                items.append(sorted(x for x in found if x is not None))
-            new = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(marks, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+            found = [(len(words), *one.hits(words)) for words in map(words_of, binary_texts(batch.column(at)))]
+            n_words, marks, items = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [])
+            new = _columns(n_words, marks, [_listed(x) for x in items])
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *_named(names)]))
+
 
+HITS = "k1 long, k2 long, bits binary, items array<string>"
 
-def _merged(a, b):
-    """Of two sets of bits: all of them, and their number."""
-    if a is None or b is None:
-        bits = a if b is None else b
-    else:
-        bits = (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes()
-    return bits, 0 if bits is None else int(np.unpackbits(np.frombuffer(bits, np.uint8)).sum())
 
+def _block_hits(keyed: DataFrame, made: bytes) -> DataFrame:
+    """keyed: (k1, k2, text). HITS of one automaton, of documents that it hits, written to the shared folder."""
+    shared = keyed.sparkSession.sparkContext.broadcast(made)
 
-def _joined(both: DataFrame, names: list[str], more: list[str]) -> DataFrame:
-    """The two blocks' columns as one set."""
-    at = [both.columns.index(n) for n in (names[1], names[2], more[2])]
+    def run(batches):
+        one = pickle.loads(shared.value)
+        for batch in batches:
+            out = []
+            for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_texts(batch.column(2)), strict=True):
+                mark, found = one.hits(words_of(text))
+                if mark.any():
+                    out.append((k1, k2, np.packbits(mark).tobytes(), _listed(found)))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["k1", "k2", "bits", "items"])
+
+    found = stored(keyed.mapInArrow(run, HITS), "hits")
+    shared.destroy()
+    return found
+
+
+def _put_together(docs: DataFrame, hits: DataFrame, names: list[str]) -> DataFrame:
+    """docs with the columns of FOUND from the HITS of all blocks: a row for each block that hits a document."""
+    a, b = fresh(docs, "k1_of_row"), fresh(docs, "k2_of_row")
+    c, d = fresh(docs, "bits_of_row"), fresh(docs, "items_of_row")
+    one = hits.groupBy("k1", "k2").agg(F.collect_set("bits").alias("bits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    k1, k2 = doc_key(F.col("doc_id"), F.col("text"))
+    rows = docs.withColumns({a: k1, b: k2}).join(one.toDF(a, b, c, d), [a, b], "left")
+    rows = rows.select(*[F.col(f"`{n}`") for n in docs.columns], c, d)
+    at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):
         for batch in batches:
-            pairs = [_merged(a.as_py(), b.as_py()) for a, b in zip(batch.column(at[1]), batch.column(at[2]), strict=True)]
-            out = list(batch.columns)
-            out[at[0]] = pa.array([n for _, n in pairs], pa.int64())
-            out[at[1]] = pa.array([bits for bits, _ in pairs], pa.binary())
-            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
+            n_words = [len(words_of(t)) for t in binary_texts(batch.column(at))]
+            marks = []
+            for n, some in zip(n_words, batch.column(width).to_pylist(), strict=True):
+                bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in some]) if some else None
+                marks.append(None if bits is None else np.unpackbits(bits, count=n))
+            new = _columns(n_words, marks, [sorted(x or []) for x in batch.column(width + 1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*batch.schema.names[:width], *names])
 
-    return both.mapInArrow(run, both.schema).withColumn(names[3], F.array_union(names[3], more[3])).drop(*more)
+    return rows.mapInArrow(run, StructType([*docs.schema.fields, *_named(names)]))
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[str]]:
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[str]]:
     """docs with four more columns, whose names are returned: n_words, n_hit, hit words as bits, items found."""
-    names = []
-    for base in ("n_words", "n_hit", "marks", "items"):
-        names.append(fresh(docs, base))
-    out = None
-    for automaton in blocks(benchmark, window):
-        if out is None:
-            out = _marked(docs, automaton, names)
-            continue
-        more = [f"{n}_more" for n in names]
-        out = _joined(_marked(out, automaton, more), names, more)
-    return out, names
+    names = [fresh(docs, base) for base in ("n_words", "n_hit", "marks", "items")]
+    made = automata(benchmark, window, block_words)
+    blocks = sorted(r.block for r in made.select("block").collect())
+    if len(blocks) < 2:
+        return _marked(docs, bytes(made.first().made) if blocks else None, names), names
+    k1, k2 = doc_key(F.col("doc_id"), F.col("text"))
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), "text").filter(F.col("text").isNotNull())
+    each = [_block_hits(keyed, bytes(made.filter(F.col("block") == k).first().made)) for k in blocks]
+    return _put_together(docs, reduce(DataFrame.unionByName, each), names), names
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int = 0, max_coverage: float = 0.5) -> DataFrame:
     """docs, same columns: hit spans of over max_span words are cut out of the text, and documents of which
-    over max_coverage is hit are left out."""
+    over max_coverage is hit are left out. A null text stays."""
     marked, (_, _, marks, _) = mark(docs, benchmark, window)
     at, bits = marked.columns.index("text"), marked.columns.index(marks)
     width = len(docs.columns)

@@ -165,9 +165,11 @@ def benchmark_rows():
     return docs + [(None, items[0][1]), (400, None), (401, ""), (402, items[1][1] + " w" * 20_000), docs[0], (403, items[0][1] + "\n" + items[0][1])], items
 
 
-@pytest.mark.parametrize("block", [200_000, 20])
-def test_benchmark_hits(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (decontaminate.WINDOW, block))
+@pytest.mark.parametrize("block, part", [(200_000, 5_000), (40, 12)])
+def test_benchmark_hits(spark, monkeypatch, block, part):
+    """With small blocks there are over four, and items are cut into parts."""
+    monkeypatch.setattr(decontaminate.mark, "__defaults__", (decontaminate.WINDOW, block))
+    monkeypatch.setattr(decontaminate, "PART_WORDS", part)
     docs, items = benchmark_rows()
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -175,6 +177,27 @@ def test_benchmark_hits(spark, monkeypatch, block):
     assert sorted(map(tuple, decontaminate.op3(table, bench).collect()), key=str) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("block", [200_000, 40])
+def test_marks_beside_columns_of_the_same_names(spark, block):
+    docs, items = benchmark_rows()
+    names = "doc_id long, text string, n_hit string, N_WORDS string, marks string, items string, n_hit_more string, k1_of_row string, bits_of_row string"
+    table = spark.createDataFrame([(*r, *"abcdefg") for r in docs], names).repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    marked, (n_words, n_hit, _, found) = decontaminate.mark(table, bench, block_words=block)
+    assert marked.columns[:9] == table.columns
+    got = sorted(((r.doc_id, r[n_words], r[n_hit], len(r[found]), r.n_hit, r.bits_of_row) for r in marked.collect()), key=str)
+    assert got == sorted(((i, *slow_hits(t, items)[:3], "a", "g") for i, t in docs), key=str)
+
+
+def test_many_items_share_a_passage(spark):
+    """100,000 items in six blocks: the time doesn't grow with the square of their number."""
+    passage = " ".join(f"w{k}" for k in range(10))
+    bench = spark.range(100_000).selectExpr("id AS item_id", f"concat('{passage} own', id) AS text")
+    docs = spark.createDataFrame([(1, f"so {passage} own77 it goes"), (2, passage), (3, passage[:-1])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.op3(docs, bench).collect()}
+    assert got == {1: (14, 11, 100_000), 2: (10, 10, 100_000), 3: (10, 0, 0)}
+
+
 def test_spans_are_cut_out(spark):
     item = "one two three four five six seven eight nine ten eleven"
     rows = [(1, f"Mine before it, {item.title()}! And after it; more words stand here than in the passage, for sure.", "k"), (2, item, "k"), (3, "clean text", None), (4, None, "k")]
