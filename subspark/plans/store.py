@@ -5,16 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+FOLDER = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a folder is set: a temporary one if all of Spark
+    runs on this machine, else one in the warehouse, which executors share."""
+    found = spark.sparkContext.getConf().get(FOLDER) or spark.conf.get(FOLDER, None)
+    if not found:
+        if spark.sparkContext.master.partition("[")[0] == "local":
+            found = "file://" + tempfile.mkdtemp(prefix="subspark-")
+        else:
+            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/subspark-work"
+        spark.conf.set(FOLDER, found)
+    return found.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df from files that all executors share. Where the setting is unset (local use), a temporary folder is set."""
+    """Write df to the shared folder and read it back: later stages neither recompute it nor depend on executors."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="subspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/subspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/subspark-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of one's own, wherever it is stored."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
