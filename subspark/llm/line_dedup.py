@@ -1,13 +1,19 @@
 """Line dedup over levelled sorted runs.
 
-A run is a table of line keys, bucketed and sorted by key, with the number of documents that hold the
-key and the document that keeps it. Each new batch is merged against the runs: a key that none of them
-has is new and its keeper is the batch's largest doc_id; a key they have only adds to the count. The
-batch's keys become a run of level 0, and `fanout` runs of one level are merged into one of the next.
-Bucketed runs join without a shuffle or a sort.
+Lines are hashed once, and the hashes written. A run is a table of line keys, bucketed and sorted by key,
+with the number of documents that hold the key and the document that keeps it. Each new batch is merged
+against the runs: a key that none of them has is new and its keeper is the batch's largest doc_id; a key
+they have only adds to the count. The batch's keys become a run of level 0, and `fanout` runs of one level
+are merged into one of the next. Bucketed runs join without a shuffle or a sort, and are dropped when the
+repeated lines are known.
+
+Batches are ranges of doc_id between quantiles, so that each has about as many documents, wherever ids
+lie: `BATCH` documents, in `LEAST` batches at least and `MOST` at most.
 
 Nulls: a null text is one empty line. A null doc_id counts as one document, smaller than all others.
 Repeated rows of one doc_id count as one document; rows that repeat doc_id and text get equal results.
+An empty table gives no rows. Very long texts are split whole. A common line is counted in its own task
+before it is sent on, and the join that finds its places is one that Spark splits where it is skewed.
 Extra columns are carried along by `drop_lines`, whatever their names.
 """
 
@@ -18,11 +24,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subspark.llm.common import BLANKS, doc_key, fresh, lower_ascii, shared_dir, stored
+from subspark.llm.common import BLANKS, delete, doc_key, fresh, lower_ascii, shared_dir, stored
 
 #: Stands for a null doc_id where document ids are compared.
 NO_ID = -(2**63)
 RUN = "h1 long, h2 long, n_docs long, keeper long"
+#: Documents of a batch, and the least and most batches.
+BATCH, LEAST, MOST = 5_000_000, 4, 32
 
 
 def lines_of(text: Column) -> Column:
@@ -53,6 +61,7 @@ class LineRuns:
         self.fanout = fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
+        self.names: list[str] = []
 
     def _write(self, rows: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -64,6 +73,7 @@ class LineRuns:
             .sortBy("h1", "h2")
             .saveAsTable(name)
         )
+        self.names.append(name)
         return self.spark.table(name)
 
     def add(self, hashes: DataFrame) -> None:
@@ -109,28 +119,38 @@ class LineRuns:
         return self._merged(runs) if runs else self.spark.createDataFrame([], RUN)
 
 
-def id_ranges(docs: DataFrame, batches: int) -> list[Column]:
-    """Conditions that part docs into ranges of doc_id, largest ids first, null ids last."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    doc_id = F.col("doc_id")
-    if low is None or low == high:
-        return [F.lit(True)]
-    cuts = sorted({low + (high - low) * k // batches for k in range(1, batches)} - {low}, reverse=True)
+    def drop(self) -> None:
+        """Tables and files of all runs go."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, f"{shared_dir(self.spark)}/{name}")
+        self.levels, self.names = [[]], []
+
+
+def id_ranges(docs: DataFrame, batches: int | None = None) -> list[Column]:
+    """Conditions on `id` that part docs into batches, largest ids first, null ids last; from the ids alone."""
+    doc_id = F.coalesce("doc_id", F.lit(NO_ID))
+    n = docs.count() if batches is None else 0
+    batches = batches or min(MOST, max(LEAST, -(-n // BATCH)))
+    shares = [k / batches for k in range(1, batches)]
+    cuts = sorted(set(docs.agg(F.percentile_approx(doc_id, shares, 10_000)).first()[0] or []), reverse=True) if shares else []
     out, above = [], None
     for cut in cuts:
-        out.append(doc_id >= cut if above is None else (doc_id >= cut) & (doc_id < above))
+        out.append(F.col("id") > cut if above is None else (F.col("id") > cut) & (F.col("id") <= above))
         above = cut
-    out.append(doc_id.isNull() | (doc_id < above) if above is not None else F.lit(True))
+    out.append(F.lit(True) if above is None else F.col("id") <= above)
     return out
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fanout: int = 3) -> DataFrame:
     """(k1, k2, dropped): for each document that loses lines, their positions from 0."""
+    hashed = stored(line_hashes(docs, min_chars), "line_hashes")
     runs = LineRuns(docs.sparkSession, fanout)
     for chosen in id_ranges(docs, batches):
-        runs.add(line_hashes(docs.filter(chosen), min_chars).select("id", "h1", "h2"))
+        runs.add(hashed.filter(chosen).select("id", "h1", "h2"))
     repeated = stored(runs.all_keys().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "lines")
-    lost = line_hashes(docs, min_chars).join(repeated, ["h1", "h2"]).filter(F.col("id") != F.col("keeper"))
+    runs.drop()
+    lost = hashed.join(repeated, ["h1", "h2"]).filter(F.col("id") != F.col("keeper"))
     return lost.groupBy("k1", "k2").agg(F.collect_set("pos").alias("dropped"))
 
 
