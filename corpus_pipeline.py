@@ -20,10 +20,8 @@ def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    judged = quality_rules.judge(docs)
-    # the verdict has another name where docs has a column kept
-    verdict = judged.columns[len(docs.columns) + list(quality_rules.COLUMNS).index("kept")]
-    return judged.filter(F.col(f"`{verdict}`")).select(*[F.col(f"`{name}`") for name in docs.columns])
+    judged, (kept, _) = quality_rules.verdicts(docs)
+    return judged.filter(F.col(f"`{kept}`")).select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,23 +1,37 @@
 """Quality rules as a short-circuit cascade.
 
-A base check comes first. A document that passes it meets the other rules one by one, and the first
-rule that rejects it ends the cascade. A bounded sample (`PLAN_ROWS` documents) gives each rule's cost
-and rejections; rules run in falling order of rejections per second. The order changes only the time
+A document meets the rules one by one, and the first rule that rejects it ends the cascade. Rules read
+features of the text (its words, repeated words, lines, counts of signs), which are computed when first
+asked for: what an early rule rejects never has the costly ones computed. The base check is one of the
+rules, in two parts: too few words, and too many repeated ones.
+
+The order is planned on a bounded sample: up to `PLAN_ROWS` documents of `PLAN_PARTS` partitions spread
+over the table, picked by hash. It gives the time of each feature and which rules reject which document.
+The next rule is always the one with the most rejections, among sampled documents that no earlier rule
+rejects, for the time of the features that no earlier rule has computed. The order changes only the time
 taken: a document is kept when no rule rejects it, in whatever order.
 
-Nulls: a null text has no words and fails the base check. Extra columns are carried along by `judge`.
+`verdicts` computes no more than the cascade asks for. `judge` also returns the five base counts of every
+document, as its callers need them; the base check then comes first and costs nothing, and the plan
+leaves documents that fail it out.
+
+Nulls: a null text has no words and fails the base check. Repeated rows each get the same verdict. An
+empty table gives no rows. Very long texts are read whole. Extra columns are carried along; new columns
+get names that documents don't have.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import lit
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -27,8 +41,8 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"
-#: Documents that the cascade's order is planned on.
-PLAN_ROWS = 512
+#: Documents that the cascade's order is planned on, the partitions they come from, and one of how many is picked.
+PLAN_ROWS, PLAN_PARTS, PICK = 512, 16, 4
 _BLANK = b" \t\n\x0b\x0c\r"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,6 +67,7 @@ class Page:
 
     @cached_property
     def word_chars(self) -> int:
+        """Code points that aren't white space."""
         starts = int(np.count_nonzero((self.codes & 0xC0) != 0x80))
         return starts - sum(self.text.count(b) for b in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
 
@@ -117,47 +132,98 @@ def repeat_words(words: list[bytes]) -> int:
     return int(np.count_nonzero(np.cumsum(cover[:-1])))
 
 
-def base_failed(page: Page) -> bool:
-    return page.n_words < MIN_WORDS or 100 * page.n_repeat_words > MAX_REPEAT_PERCENT * page.n_words
+#: Features that rules name, and what each reads besides the text.
+READS = {
+    "words": (), "codes": (), "n_words": ("words",), "word_chars": ("codes",), "n_symbols": (), "lines": (), "n_dup_lines": ("lines",),
+    "n_repeat_words": ("words",), "n_capitals": ("codes",), "n_small": ("codes",), "n_bangs": (),
+}
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
+    features: tuple[str, ...]
     rejects: Callable[[Page], bool]
 
+    def needs(self) -> set[str]:
+        return _with_reads(self.features)
+
+
+def _with_reads(features: Iterable[str]) -> set[str]:
+    return set(features).union(*(_with_reads(READS[f]) for f in features))
+
 
+BASE = (
+    Rule("base: words", ("n_words",), lambda p: p.n_words < MIN_WORDS),
+    Rule("base: repeats", ("n_words", "n_repeat_words"), lambda p: 100 * p.n_repeat_words > MAX_REPEAT_PERCENT * p.n_words),
+)
 #: Each rejects a kind of junk: symbol noise, shouting, repeated lines, and strings that aren't words.
 RULES = (
-    Rule("symbols", lambda p: 10 * p.n_symbols > p.n_words),
-    Rule("capitals", lambda p: p.n_capitals > p.n_small),
-    Rule("bangs", lambda p: 10 * p.n_bangs > p.n_words),
-    Rule("lines", lambda p: 10 * p.n_dup_lines > 3 * len(p.lines)),
-    Rule("word_length", lambda p: not 2 * p.n_words <= p.word_chars <= 20 * p.n_words),
+    Rule("symbols", ("n_symbols", "n_words"), lambda p: 10 * p.n_symbols > p.n_words),
+    Rule("capitals", ("n_capitals", "n_small"), lambda p: p.n_capitals > p.n_small),
+    Rule("bangs", ("n_bangs", "n_words"), lambda p: 10 * p.n_bangs > p.n_words),
+    Rule("lines", ("n_dup_lines", "lines"), lambda p: 10 * p.n_dup_lines > 3 * len(p.lines)),
+    Rule("word_length", ("n_words", "word_chars"), lambda p: not 2 * p.n_words <= p.word_chars <= 20 * p.n_words),
 )
 
 
-def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = PLAN_ROWS) -> tuple[int, ...]:
-    """The order of the rules, by rejections per second on a sample of so many rows of one partition."""
+def first_rejection(page: Page, rules: Iterable[Rule]) -> str | None:
+    return next((rule.name for rule in rules if rule.rejects(page)), None)
+
+
+def measured(text: bytes, rules: tuple[Rule, ...]) -> tuple[list[float], list[bool]]:
+    """Seconds of each feature of READS, what it reads computed before, and each rule's verdict."""
+    page, took = Page(text), []
+    for name in READS:  # features stand behind those that they read
+        began = time.perf_counter()
+        getattr(page, name)
+        took.append(time.perf_counter() - began)
+    return took, [bool(rule.rejects(page)) for rule in rules]
+
+
+def sample(docs: DataFrame, rules: tuple[Rule, ...], rows: int = PLAN_ROWS) -> list[tuple[list[float], list[bool]]]:
+    """`measured` of up to `rows` documents, picked by hash in partitions spread evenly over the table."""
+    frame = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(PICK)) == 0)
 
     def measure(batches):
-        took, rejected, left = np.zeros(len(rules)), np.zeros(len(rules)), rows
         for batch in batches:
-            for text in binary_texts(batch.column(0).slice(0, left)):
-                for k, rule in enumerate(rules):
-                    page = Page(text)
-                    began = time.perf_counter()
-                    rejected[k] += rule.rejects(page)
-                    took[k] += time.perf_counter() - began
-            left -= min(left, batch.num_rows)
-        if left < rows:
-            yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "took": took, "rejected": rejected})
-
-    # take() runs the first partition alone, and others only if that one has no rows
-    sample = docs.select("text").mapInArrow(measure, "rule long, took double, rejected double")
-    found = {r.rule: r for r in sample.take(len(rules))}
-    score = [found[k].rejected / (found[k].took + 1e-9) if k in found else 0.0 for k in range(len(rules))]
-    return tuple(sorted(range(len(rules)), key=lambda k: -score[k]))
+            for k in range(0, batch.num_rows, 8):
+                found = [measured(text, rules) for text in binary_texts(batch.column(0).slice(k, 8))]
+                yield pa.RecordBatch.from_pydict({"took": [t for t, _ in found], "rejected": [r for _, r in found]})
+
+    found = frame.mapInArrow(measure, "took array<double>, rejected array<boolean>").rdd
+    n = found.getNumPartitions()
+    parts = sorted({k * n // PLAN_PARTS for k in range(PLAN_PARTS)}) if n else []
+    each = -(-rows // max(len(parts), 1))
+    # a task takes its first rows and stops; no other partition is read
+    return [(r.took, r.rejected) for r in docs.sparkSession.sparkContext.runJob(found, lambda it: list(islice(it, each)), parts)]
+
+
+def plan(seen: list[tuple[list[float], list[bool]]], rules: tuple[Rule, ...], free: Iterable[str] = ()) -> tuple[int, ...]:
+    """The order of the rules, by new rejections per second of new features; `free`: features computed anyway."""
+    rejected = np.array([r for _, r in seen], bool).reshape(len(seen), len(rules))
+    cost = dict(zip(READS, np.array([t for t, _ in seen]).reshape(len(seen), len(READS)).mean(0), strict=True)) if seen else dict.fromkeys(READS, 0.0)
+    have, left, order = _with_reads(free), np.ones(len(seen), bool), []
+    while len(order) < len(rules):
+        rest = [k for k in range(len(rules)) if k not in order]
+        gain = {k: (rejected[left, k].sum() + 0.01) / (sum(cost[f] for f in rules[k].needs() - have) + 1e-9) for k in rest}
+        best = max(rest, key=lambda k: (gain[k], -k))
+        order.append(best)
+        have |= rules[best].needs()
+        left &= ~rejected[:, best]
+    return tuple(order)
+
+
+def planned(docs: DataFrame, rules: tuple[Rule, ...], counts: bool) -> tuple[Rule, ...]:
+    """The cascade: rules in order, the base check among them, or at its beginning where `counts` are wanted."""
+    every = (*BASE, *rules)
+    seen = sample(docs, every)
+    if not counts:
+        return tuple(every[k] for k in plan(seen, every))
+    n = len(BASE)
+    passed = [(took, rejected[n:]) for took, rejected in seen if not any(rejected[:n])]
+    return (*BASE, *(rules[k] for k in plan(passed, rules, COUNTS)))
 
 
 COLUMNS = {
@@ -166,13 +232,14 @@ COLUMNS = {
 }
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with its columns, then the base counts, base_failed, kept and rejected_by (null when kept)."""
+def _judged(docs: DataFrame, rules: tuple[Rule, ...], counts: bool) -> tuple[DataFrame, list[str]]:
+    wanted = list(COLUMNS) if counts else ["kept", "rejected_by"]
     names = []
-    for name in COLUMNS:
+    for name in wanted:
         names.append(fresh(docs.select(*[lit(1).alias(c) for c in [*docs.columns, *names]]), name))
-    order = plan(docs, rules)
-    added = ", ".join(f"`{name}` {kind}" for name, kind in zip(names, COLUMNS.values(), strict=True))
+    cascade = planned(docs, rules, counts)
+    base = {rule.name for rule in BASE}
+    added = ", ".join(f"`{name}` {COLUMNS[kind]}" for name, kind in zip(names, wanted, strict=True))
     tail = arrow_schema(added)
     schema = StructType([*docs.schema.fields, *_parse_datatype_string(added).fields])
     at = docs.columns.index("text")
@@ -182,13 +249,23 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             rows = []
             for text in binary_texts(batch.column(at)):
                 page = Page(text)
-                failed = base_failed(page)
-                by = "base" if failed else next((rules[k].name for k in order if rules[k].rejects(page)), None)
-                rows.append((page.n_words, page.word_chars, page.n_symbols, page.n_dup_lines, page.n_repeat_words, failed, by is None, by))
+                by = first_rejection(page, cascade)
+                rows.append((*(getattr(page, c) for c in COUNTS), by in base, by is None, by) if counts else (by is None, by))
             new = [pa.array([r[k] for r in rows], tail.field(k).type) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema), names
+
+
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with its columns, then the base counts, base_failed, kept and rejected_by (null when kept)."""
+    return _judged(docs, rules, True)[0]
+
+
+def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, list[str]]:
+    """docs with its columns, then kept and rejected_by, and the names of these two. Of several rules that would
+    reject a document, rejected_by has the one that the cascade came to first."""
+    return _judged(docs, rules, False)
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def line_rows():
         lines = [rng.choice(["", "\t", " "]) + (x.upper() if rng.random() < 0.3 and x.isascii() else x) + rng.choice(["", "\r", " \x0b"]) for x in lines]
         rng.shuffle(lines)
         rows.append((i * 3 - 20, "\n".join(lines)))
-    rows += [(None, common[0]), (500, None), (501, ""), (502, "\n\n"), (7, "new text\n" + common[1]), rows[5], rows[5], (503, "x\n" * 3000 + common[0])]
+    rows += [(10**15, common[1]), (None, common[0]), (500, None), (501, ""), (502, "\n\n"), (7, "new text\n" + common[1]), rows[5], rows[5], (503, "x\n" * 3000 + common[0])]
     return rows
 
 
@@ -83,6 +83,17 @@ def test_runs_take_batches_one_by_one(spark):
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     got = {r.h1: (r.n_docs, r.keeper) for r in runs.all_keys().collect()}
     assert got == {1: (2, 9), 2: (3, 9), 3: (2, 8), 4: (2, 5)}
+    names = list(runs.names)
+    assert len(names) == 7 and all(spark.catalog.tableExists(n) for n in names)
+    runs.drop()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_batches_are_of_equal_size_wherever_ids_lie(spark):
+    docs = spark.createDataFrame([(i,) for i in [*range(399), 10**15]], "doc_id long")
+    rows = docs.selectExpr("doc_id AS id")
+    sizes = [rows.filter(c).count() for c in line_dedup.id_ranges(docs)]
+    assert sum(sizes) == 400 and len(sizes) == 4 and max(sizes) < 110
 
 
 def test_lines_of_an_empty_table(spark):
@@ -115,14 +126,39 @@ def test_rules(spark):
     got = quality_rules.judge(docs)
     assert got.columns[:3] == docs.columns
     assert sorted((tuple(r)[:2] + tuple(r)[3:10] for r in got.collect()), key=str) == sorted((r[:2] + slow_rules(r[1]) for r in rows), key=str)
-    orders = [(0, 1, 2, 3, 4), (4, 3, 2, 1, 0)]
-    verdicts = []
-    for order in orders:
-        verdicts.append([next((k for k in order if quality_rules.RULES[k].rejects(quality_rules.Page((t or "").encode()))), None) is None for t in texts])
-    assert verdicts[0] == verdicts[1]
+    every = (*quality_rules.BASE, *quality_rules.RULES)
+    for order in (every, every[::-1]):
+        kept = [quality_rules.first_rejection(quality_rules.Page((t or "").encode()), order) is None for t in texts]
+        assert kept == [slow_rules(t)[-1] for t in texts]
+    lazy, (kept, by) = quality_rules.verdicts(docs)
+    assert (kept, by) == ("kept_", "rejected_by") and lazy.columns == [*docs.columns, kept, by]
+    assert sorted(((r.doc_id, r.text, r.kept, r[kept]) for r in lazy.collect()), key=str) == sorted(((*r, slow_rules(r[1])[-1]) for r in rows), key=str)
     assert quality_rules.op8(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_the_cascade_computes_only_what_it_asks_for(monkeypatch):
+    """Counts how often features are computed: a document that a cheap rule rejects has no words split."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    good = [" ".join(rng.choice(words) for _ in range(200)).encode() for _ in range(20)]
+    junk = [b"SHOUTING ABOUT %d " % k * 60 for k in range(60)]
+    every = (*quality_rules.BASE, *quality_rules.RULES)
+    seen = [quality_rules.measured(t, every) for t in [*good, *junk]]
+    order = [every[k] for k in quality_rules.plan(seen, every)]
+    assert sorted(r.name for r in order) == sorted(r.name for r in every)
+    times = Counter()
+    whole = quality_rules.repeat_words
+    monkeypatch.setattr(quality_rules, "repeat_words", lambda w: times.update(["repeats"]) or whole(w))
+    assert all(quality_rules.first_rejection(quality_rules.Page(t), order) is None for t in good)
+    assert times["repeats"] == len(good)
+    assert all(quality_rules.first_rejection(quality_rules.Page(t), order) for t in junk)
+    assert times["repeats"] == len(good)  # none of the junk came so far
+    # what is computed anyway costs nothing: rules of those counts come before others that reject as much
+    same = [([1.0] * len(quality_rules.READS), [True] * len(quality_rules.RULES))]
+    names = [quality_rules.RULES[k].name for k in quality_rules.plan(same, quality_rules.RULES, quality_rules.COUNTS)]
+    assert names[0] in ("symbols", "lines", "word_length")
+
+
 # benchmark
 
 
