@@ -5,10 +5,12 @@ with their place in the partition, and adds up the partition's tokens. Prefix su
 totals (one number for each task of pass one; at most `PARTS`) give each partition its global offset.
 Pass two cuts the line of all tokens into windows of `SIZE` tokens. A window that lies in one run of
 rows is whole at once; what a run has of its first and last window are boundary records, which are put
-together by window. Only the last window may be padded.
+together by window. A window carries the list of its pieces: which part of which document stands where.
+Only the last window may be padded. Sequences and piece records are both read from the windows.
 
 Nulls: a null text is empty and has only the end token. A null doc_id is packed like any other. Repeated
-rows are packed each. An empty table gives no pieces.
+rows are packed each. An empty table gives no windows. A very long text goes on over as many windows as
+it needs. Other columns of documents aren't read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subspark.llm import pieces as P
-from subspark.llm.common import stored
+from subspark.llm.common import arrow_schema, stored
 
 SIZE, END, PAD = 4096, 2, 0
 #: Most partitions whose offsets are broadcast (24 bytes each).
@@ -66,31 +68,102 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.join(where, "part").withColumn("first", F.col("offset") + F.col("local")).drop("part", "local", "offset")
 
 
-def _cuts(first: int, n: int, size: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces."""
-    edges = [0, *range(size - first % size, n, size), n]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def _windows(rows: DataFrame, size: int) -> DataFrame:
+    """rows: (doc_id, first, n, ids). (sequence_id, ids, docs, starts, lengths, sizes): a row for each window, with lists
+    of its pieces in order: the document, the ids before the piece in it, the piece's ids, and the document's ids."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    lists = f"docs array<{kind}>, starts array<long>, lengths array<long>, sizes array<long>"
+
+    def cut(begin: int, held: list[tuple]) -> pa.RecordBatch:
+        """held: (doc_id, start, n, ids) in a row; the first id stands at `begin`."""
+        docs, before, sizes, ids = zip(*held, strict=True)
+        raw = b"".join(ids)
+        places = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        total = int(places[-1])
+        points = np.union1d(places[:-1], np.arange(-begin % size, total, size))
+        own = np.searchsorted(places, points, "right") - 1
+        starts, lengths = points - places[own] + np.array(before, np.int64)[own], np.diff(np.concatenate((points, [total])))
+        window = (begin + points) // size
+        heads = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
+        edges = np.concatenate((points[heads], [total])).tolist()
+        offsets = pa.array(np.concatenate((heads, [len(points)])), pa.int32())
+        as_lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (starts, lengths, np.array(sizes, np.int64)[own])]
+        of_docs = pa.ListArray.from_arrays(offsets, doc_ids(docs).take(pa.array(own)))
+        cuts = [raw[4 * a : 4 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(window[heads]), pa.array((begin + points[heads]) % size), pa.array(cuts, pa.binary()), of_docs, *as_lists],
+            names=["sequence_id", "offset", "ids", "docs", "starts", "lengths", "sizes"],
+        )
+
+    id_type = arrow_schema(f"doc_id {kind}").field(0).type
+
+    def doc_ids(values) -> pa.Array:
+        return pa.array(values, id_type)
+
+    def run(batches):
+        begin, held, n = 0, [], 0
+        for batch in batches:
+            for doc_id, first, count, ids in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if held and begin + n != first:
+                    yield cut(begin, held)
+                    held, n = [], 0
+                if not held:
+                    begin = first
+                held.append((doc_id, 0, count, ids))
+                n += count
+                if n >= 64 * size:
+                    # the last document goes on in the next record where a window ends inside it
+                    rest = (begin + n) % size
+                    doc_id, start, count, ids = held[-1]
+                    here = len(ids) // 4
+                    if rest < here:
+                        held[-1] = (doc_id, start, count, ids[: 4 * (here - rest)])
+                        yield cut(begin, held)
+                        begin, n = begin + n - rest, rest
+                        held = [(doc_id, start + here - rest, count, ids[4 * (here - rest) :])] if rest else []
+        if held:
+            yield cut(begin, held)
+
+    cuts = rows.select("doc_id", "first", "n", "ids").mapInArrow(run, f"sequence_id long, offset long, ids binary, {lists}")
+    full = F.length("ids") == 4 * size
+    names = ["sequence_id", "ids", "docs", "starts", "lengths", "sizes"]
+    boundary = cuts.filter(~full).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", *names[1:]))).alias("parts"))
+    joined = boundary.select(
+        "sequence_id",
+        F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"),
+        *[F.flatten(F.col(f"parts.{c}")).alias(c) for c in names[2:]],
+    )
+    return cuts.filter(full).select(*names).unionByName(joined)
+
+
+def windows(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:
+    return _windows(placed(tokenised(docs, path, end)), size)
 
 
 def piece_records(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = placed(tokenised(docs, path, end)).select("doc_id", "first", "n", "ids")
+    """One row for each piece of each window: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            at, out = [], []
-            for k, (first, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
-                for start, length in _cuts(first, n, size):
-                    at.append(k)
-                    place = first + start
-                    out.append((start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, place // size, place % size))
+            sequence, ids, of_docs, starts, lengths, sizes = batch.columns
+            times = of_docs.value_lengths().to_numpy(zero_copy_only=False)
+            n = lengths.flatten().to_numpy()
+            ends = np.cumsum(n)
+            first = np.concatenate(([0], ends))[np.cumsum(times) - times]  # ids of the batch before each window
+            offset = ends - n - np.repeat(first, times)
+            crcs, k = [], 0
+            for raw, count in zip(ids, times.tolist(), strict=True):
+                view = memoryview(raw.as_buffer())
+                for a, b in zip(offset[k : k + count].tolist(), n[k : k + count].tolist(), strict=True):
+                    crcs.append(zlib.crc32(view[4 * a : 4 * (a + b)]))
+                k += count
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))],
+                [of_docs.flatten(), starts.flatten(), lengths.flatten(), pa.array(crcs, pa.int64()), sizes.flatten(), pa.array(np.repeat(sequence.to_numpy(), times)), pa.array(offset)],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    return rows.mapInArrow(
+    return windows(docs, path, size, end).mapInArrow(
         run,
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )
@@ -99,47 +172,17 @@ def piece_records(docs: DataFrame, path: str | None = None, size: int = SIZE, en
 def sequences(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END, pad: int = PAD) -> DataFrame:
     """(sequence_id, n_tokens, ids array<long>): the sequences themselves; the last one is padded to `size`, unless
     its tokens number a power of two."""
-    rows = placed(tokenised(docs, path, end)).select("first", "n", "ids")
-
-    def cut(first: int, ids: bytes):
-        for start, length in _cuts(first, len(ids) // 4, size):
-            yield (first + start) // size, (first + start) % size, ids[4 * start : 4 * (start + length)]
 
     def run(batches):
-        begin, held, n = None, [], 0
-        for batch in batches:
-            out = []
-            for first, count, ids in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if begin is None or begin + n != first or n > 64 * size:
-                    if held:
-                        out.extend(cut(begin, b"".join(held)))
-                    begin, held, n = first, [], 0
-                held.append(ids)
-                n += count
-            if out:
-                yield record(out)
-        if held:
-            yield record(list(cut(begin, b"".join(held))))
-
-    def record(out):
-        kinds = (pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["sequence_id", "offset", "ids"])
-
-    def opened(batches):
         for batch in batches:
-            lists = [np.frombuffer(b"".join(x["ids"] for x in v), "<u4").astype(np.int64) for v in batch.column(1).to_pylist()]
+            lists = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in batch.column(1)]
             ids = [np.pad(x, (0, 0 if len(x) & (len(x) - 1) == 0 else size - len(x)), constant_values=pad) for x in lists]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(ids, pa.list_(pa.int64()))],
                 names=["sequence_id", "n_tokens", "ids"],
             )
 
-    cuts = rows.mapInArrow(run, "sequence_id long, offset long, ids binary")
-    full = F.length("ids") == 4 * size
-    one = F.array(F.struct("offset", "ids")).alias("parts")
-    whole = cuts.filter(full).select("sequence_id", one)
-    joined = cuts.filter(~full).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
-    return whole.unionByName(joined).mapInArrow(opened, "sequence_id long, n_tokens long, ids array<long>")
+    return windows(docs, path, size, end).select("sequence_id", "ids").mapInArrow(run, "sequence_id long, n_tokens long, ids array<long>")
 
 
 def op1(docs: DataFrame, path: str | None = None) -> DataFrame:
