@@ -19,6 +19,11 @@ def words(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(r"(\S+)"), F.lit(1))
 
 
+def spaced(line: Column) -> Column:
+    """What stands between single spaces; nothing for two spaces in a row."""
+    return F.filter(F.split(line, " ", -1), lambda w: w != "")
+
+
 def trim_end(line: Column) -> Column:
     return F.regexp_replace(line, r"\s+$", "")
 
@@ -86,6 +91,16 @@ def pairs(items: Column) -> Column:
     )
 
 
+def bucket(text: Column, buckets: int) -> Column:
+    """Number of the hash bucket of a subword in FastText's tables: 32-bit FNV-1a over its bytes, each with its sign."""
+    raw = F.encode(text, "UTF-8")
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long"))
+    signed = F.transform(codes, lambda b: F.when(b > 127, b + F.lit(0xFFFFFF00)).otherwise(b))
+    step = lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+    hashed = F.aggregate(signed, F.lit(2166136261).cast("long"), step)
+    return F.when(F.octet_length(raw) == 0, F.lit(2166136261)).otherwise(hashed) % buckets
+
+
 def clean_pieces(pieces: Column) -> Column:
     """Without pieces that are only marks, and without the mark of a space in front of the others."""
     marks = F.array(*[F.lit(x) for x in (SPACE, "<unk>", "<s>", "</s>")])

@@ -57,6 +57,18 @@ def top_words(counted: DataFrame, most: int) -> DataFrame:
     return best.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1)  # `most` rows
 
 
+def ranked(rows: DataFrame, key: str, prefix: int = 2) -> DataFrame:
+    """rows with id: their place in order of the distinct strings of `key`. Rows are numbered within each beginning of
+    `prefix` characters, after all rows of smaller beginnings, of which there are few."""
+    from pyspark.sql import Window
+
+    start = F.substring(key, 1, prefix).alias("start")
+    before = F.sum("n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy(start).agg(F.count("*").alias("n")).select("start", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("start").orderBy(key)) - 1
+    return rows.withColumn("start", start).join(offsets, "start").select(*rows.columns, (F.col("before") + place).alias("id"))
+
+
 def piece_frequency(segmented: DataFrame) -> DataFrame:
     """segmented: (word, n, pieces). For each piece the counts of the words that contain it."""
     once = segmented.select(F.explode(F.array_distinct("pieces")).alias("piece"), "n")

@@ -1,8 +1,10 @@
 """Inputs that the registered queries share, from the provided tables.
 
-lines: documents.text split at line feeds. words: the commonest tokens, as many as there are embeddings,
-with id = rank - 1 and the embedding of that id. The projection is the same matrix. Edges: all substrings
-of up to LONGEST code points of each word, as often as they occur.
+lines: documents.text split at line feeds. tokens: all that stands between white space in them, with
+counts; segmentation by scores, language models and decoders take these. words: the commonest tokens, as
+many as there are embeddings, with id = rank - 1 and the embedding of that id: a word without a vector
+can't take part in what needs vectors or a fixed word vocabulary. The projection is the same matrix.
+Edges: all substrings of up to LONGEST code points of each word, as often as they occur.
 """
 
 from __future__ import annotations
@@ -15,8 +17,6 @@ from subspark.operators import cooc, counts, linalg, lm, viterbi
 from subspark.plans.store import stored
 
 LONGEST = 4
-#: Words of up to so many code points go to the bigram decoders.
-SHORT = 9
 
 
 class Inputs:
@@ -38,15 +38,19 @@ class Inputs:
     def word_counts(self) -> DataFrame:
         return counts.word_counts(self.lines())
 
+    def tokens(self) -> DataFrame:
+        """(word, n), counted once: all else starts from it."""
+        return self._once("tokens", self.word_counts)
+
     def vectors(self) -> DataFrame:
         e = self.table("embeddings")
         return e.select(F.col("vec_id").cast("int").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
     def words(self) -> DataFrame:
-        """(id, word, n, vec), counted once: all else starts from it."""
+        """(id, word, n, vec)"""
 
         def make():
-            top = counts.top_words(self.word_counts(), self.table("embeddings").count())
+            top = counts.top_words(self.tokens(), self.table("embeddings").count())
             return top.join(self.vectors(), "id").select("id", "word", "n", "vec")
 
         return self._once("words", make)
@@ -59,11 +63,19 @@ class Inputs:
         """(subword, id): the distinct substrings in order."""
 
         def make():
-            found = self.edges().select(F.col("subword").alias("word"), F.lit(0).alias("n")).distinct()
-            return counts.top_words(found, 10_000_000).select(F.col("word").alias("subword"), "id")
+            return counts.ranked(self.edges().select("subword").distinct(), "subword").withColumn("id", F.col("id").cast("int"))
 
         return self._once("subwords", make)
 
+    def pieces(self) -> DataFrame:
+        """(subword, id): the distinct substrings of all tokens in order."""
+
+        def make():
+            found = self.tokens().select(F.explode(T.substrings(F.col("word"), LONGEST)).alias("subword"))
+            return counts.ranked(found.distinct(), "subword")
+
+        return self._once("pieces", make)
+
     def projection(self) -> DataFrame:
         return linalg.long_form(self.vectors())
 
@@ -75,13 +87,13 @@ class Inputs:
         return cooc.edges_times_cooc(self.edges().join(ids, "word"), self.cooc())
 
     def embeddings(self) -> DataFrame:
-        """(subword, dim, x)"""
+        """(subword, vec)"""
         words = self.words()
         return linalg.subword_embeddings(self.stats(), self.subwords(), self.projection(), words.count())
 
     def piece_scores(self) -> DataFrame:
         """(piece, score): log share of each substring among all, by how often it stands in words."""
-        weighted = self.words().select(F.explode(T.substrings(F.col("word"), LONGEST)).alias("piece"), "n")
+        weighted = self.tokens().select(F.explode(T.substrings(F.col("word"), LONGEST)).alias("piece"), "n")
         sums = weighted.groupBy("piece").agg(F.sum("n").alias("n")).filter((F.char_length("piece") > 1) | (F.col("piece") != "e"))
         total = sums.agg(F.sum("n").alias("total"))
         return sums.crossJoin(F.broadcast(total)).select("piece", F.round(F.log(F.col("n") / F.col("total")), 9).alias("score"))
@@ -90,7 +102,7 @@ class Inputs:
         """(word, n, pieces, score), decoded once."""
 
         def make():
-            words = viterbi.scored_words(self.words().select("word", "n"), self.piece_scores(), LONGEST)
+            words = viterbi.scored_words(self.tokens(), self.piece_scores(), LONGEST)
             return viterbi.segment(words, mode, False, LONGEST)
 
         return self._once(f"segmented-{mode}", make)

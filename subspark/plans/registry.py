@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from subspark.functions import text as T
 from subspark.functions import vector as V
-from subspark.operators import cooc, counts, decode, lm, viterbi
+from subspark.operators import cooc, counts, decode, linalg, lm, viterbi
 from subspark.plans import sql, trainer
-from subspark.plans.fixtures import LONGEST, SHORT, Inputs
+from subspark.plans.fixtures import LONGEST, Inputs
 from subspark.streaming.segment import segment_stream
 
 
@@ -39,8 +39,7 @@ def ws_word_counts(x):
 
 
 def word_freq_invocab(x):
-    from_docs = counts.word_counts(x.lines().filter("doc_id % 2 = 0"))
-    return counts.frequencies(x.words().select("word"), from_docs)
+    return counts.frequencies(x.words().select("word"), counts.word_counts(x.lines()))
 
 
 def ngram_corpus(x):
@@ -110,8 +109,10 @@ def merge_contexts_filtered(x):
 
 
 def concat_embeddings(x):
-    v = x.vectors().select("id", F.round(F.col("vec")[0], 6).alias("x0"))
-    return counts.concat([v.filter("id < 100"), v.filter("id >= 50 and id < 200")])
+    """Vectors of all words, and of all pieces, by dimension."""
+    pieces = _vectors_of_pieces(x).withColumnRenamed("piece", "word")
+    tables = [linalg.long_form(t.select("word", "vec"), "word") for t in (x.words(), pieces)]
+    return _rounded(counts.concat(tables), "x")
 
 
 def allowed_edges_inverse(x):
@@ -131,7 +132,7 @@ def row_lognorm(x):
 
 
 def subword_embeddings(x):
-    return _rounded(x.embeddings(), "x")
+    return _rounded(linalg.long_form(x.embeddings(), "subword"), "x")
 
 
 def _vectors_of_pieces(x):
@@ -146,7 +147,7 @@ def word_subword_cosine(x):
 
 
 def mean_vector_fallback(x):
-    asked = x.words().filter("id < 20").select("word").unionByName(x.spark.createDataFrame([("no such word",)], "word string"))
+    asked = x.words().select("word").unionByName(x.spark.createDataFrame([("no such word",)], "word string"))
     found = V.or_mean(asked, x.words().select("word", "vec"), "word")
     return _rounded(found.select("word", F.posexplode("vec").alias("dim", "x")), "x")
 
@@ -162,7 +163,7 @@ def viterbi_maxmin(x):
 def viterbi_wordpiece(x):
     scores = x.piece_scores()
     both = scores.unionByName(scores.select(F.concat(F.lit("##"), "piece").alias("piece"), F.round(F.col("score") - 0.5, 9).alias("score")))
-    words = viterbi.scored_words(x.words().select("word"), both, LONGEST, wordpiece=True)
+    words = viterbi.scored_words(x.tokens().select("word"), both, LONGEST, wordpiece=True)
     return _rounded(_joined(viterbi.segment(words, "sum", True, LONGEST)), "score")
 
 
@@ -183,7 +184,7 @@ def subword_remove_bottom_k(x):
 
 
 def unigram_stats(x):
-    return lm.with_vocab(x.unigrams(), x.subwords().select(F.col("subword").alias("token")))
+    return lm.with_vocab(x.unigrams(), x.pieces().select(F.col("subword").alias("token")))
 
 
 def bigram_stats(x):
@@ -195,11 +196,11 @@ def next_edges(x):
 
 
 def pruned_vocab(x):
-    return lm.used(x.subwords().select("subword"), lm.next_edges(x.segmented()))
+    return lm.used(x.pieces().select("subword"), lm.next_edges(x.segmented()))
 
 
 def _lm(x, add_one):
-    return lm.model(lm.bigrams(x.segmented(), lm.BOUNDARY), x.subwords().count(), add_one)
+    return lm.model(lm.bigrams(x.segmented(), lm.BOUNDARY), x.pieces().count(), add_one)
 
 
 def bigram_lm_mle(x):
@@ -222,13 +223,13 @@ def posterior_scores(x):
 
 
 def reduced_vocab(x):
-    vocab = x.subwords().withColumnRenamed("subword", "token")
+    vocab = x.pieces().withColumnRenamed("subword", "token")
     model = _lm(x, True).withColumn("logp", F.round("logp", 6))
     return lm.reduced(vocab, model, vocab.count() - 300)
 
 
 def expected_counts(x):
-    words = x.words().filter("char_length(word) <= 7").select("word")
+    words = x.tokens().select("word")
     return _rounded(viterbi.expected_counts(viterbi.scored_words(words, x.piece_scores(), LONGEST), LONGEST), "share")
 
 
@@ -237,10 +238,9 @@ def _rounded_lm(x):
 
 
 def _decoded(x, method, **options):
-    pieces = x.subwords().select(F.col("subword").alias("token"))
+    pieces = x.pieces().select(F.col("subword").alias("token"))
     make = decode.table_decoder(_rounded_lm(x), pieces)
-    words = x.words().filter(f"char_length(word) <= {SHORT}").select("word")
-    return _rounded(_joined(decode.decode_words(words, make, method, **options)), "score")
+    return _rounded(_joined(decode.decode_words(x.tokens(), make, method, **options)), "score")
 
 
 def bigram_viterbi_words(x):
@@ -248,7 +248,7 @@ def bigram_viterbi_words(x):
 
 
 def bigram_beam_words(x):
-    return _decoded(x, "beam", width=1000).drop("pieces")
+    return _decoded(x, "beam", width=5)
 
 
 def greedy_words(x):
@@ -256,15 +256,20 @@ def greedy_words(x):
 
 
 def sampled_bigrams(x):
-    make = decode.table_decoder(_rounded_lm(x), x.subwords().select(F.col("subword").alias("token")))
-    drawn = decode.decode_words(x.words().select("word"), make, "sample", seed=3)
+    make = decode.table_decoder(_rounded_lm(x), x.pieces().select(F.col("subword").alias("token")))
+    drawn = decode.decode_words(x.tokens(), make, "sample", seed=3)
     return lm.bigram_observations(drawn)
 
 
+def sampled_options(x):
+    """For each word the pieces of its five best segmentations among ten drawn ones."""
+    words = viterbi.scored_words(x.tokens().select("word"), x.piece_scores(), LONGEST)
+    return _joined(viterbi.options(viterbi.sampled(words, draws=10, seed=3, longest=LONGEST), 5))
+
+
 def segmented_lines(x):
     make = decode.count_decoder(x.unigrams(), x.bigrams())
-    lines = counts.doc_lines(x.table("benchmark").withColumnRenamed("item_id", "doc_id"))
-    return decode.segment_lines(lines, make)
+    return decode.segment_lines(x.lines(), make)
 
 
 def segmented_turns(x):
@@ -293,7 +298,7 @@ ALL = [
     weighted_edges, subword_cooc, row_lognorm, subword_embeddings, word_subword_cosine, mean_vector_fallback, viterbi_sum, viterbi_maxmin,
     viterbi_wordpiece, viterbi_cosine, subword_redundancy, subword_frequency, subword_remove_bottom_k, unigram_stats, bigram_stats, next_edges,
     pruned_vocab, bigram_lm_mle, bigram_lm_addone, bigram_score_backoff, posterior_scores, reduced_vocab, expected_counts,
-    bigram_viterbi_words, bigram_beam_words, greedy_words, sampled_bigrams, segmented_lines, segmented_turns, em_epoch_segmentations,
+    bigram_viterbi_words, bigram_beam_words, greedy_words, sampled_bigrams, sampled_options, segmented_lines, segmented_turns, em_epoch_segmentations,
     em_two_epochs_vocab,
 ]
 
