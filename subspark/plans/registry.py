@@ -162,7 +162,8 @@ def viterbi_maxmin(x):
 
 def viterbi_wordpiece(x):
     scores = x.piece_scores()
-    both = scores.unionByName(scores.select(F.concat(F.lit("##"), "piece").alias("piece"), F.round(F.col("score") - 0.5, 9).alias("score")))
+    inside = scores.select(F.concat(F.lit("##"), "piece").alias("piece"), F.round(F.col("score") - 0.5, 9).alias("score"))
+    both = scores.unionByName(inside).groupBy("piece").agg(F.max("score").alias("score"))  # some words have ## themselves
     words = viterbi.scored_words(x.tokens().select("word"), both, LONGEST, wordpiece=True)
     return _rounded(_joined(viterbi.segment(words, "sum", True, LONGEST)), "score")
 

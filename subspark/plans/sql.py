@@ -25,13 +25,14 @@ CTES = {
     "tedges": f"SELECT word, n, b - 1 AS s, substr(word, b, l) AS piece FROM (SELECT *, unnest(range(1, length(word) - l + 2)) AS b FROM (SELECT *, unnest(range(1, least(length(word), {LONGEST}) + 1)) AS l FROM counted))",
     "psubs": "SELECT piece AS subword, (row_number() OVER (ORDER BY piece) - 1)::BIGINT AS id FROM (SELECT DISTINCT piece FROM tedges)",
     "sc": "SELECT piece, round(ln(n / sum(n) OVER ()), 9) AS score FROM (SELECT piece, sum(n)::BIGINT AS n FROM tedges GROUP BY piece HAVING length(piece) > 1 OR piece <> 'e')",
+    "wsc": "SELECT piece, max(score) AS score FROM (SELECT piece, score FROM sc UNION ALL (SELECT '##' || piece, round(score - 0.5, 9) FROM sc)) GROUP BY piece",
     "pv": "SELECT subword AS piece, embedding::DOUBLE[] AS vec FROM subs JOIN embeddings ON vec_id = subs.id % (SELECT v FROM size)",
     "cos": "SELECT DISTINCT w.word, e.piece, list_cosine_similarity(w.vec, pv.vec) - 1 AS score FROM words w JOIN edges e ON w.word = e.word JOIN pv ON e.piece = pv.piece",
 }
 NEEDS = {
     "toks": ["lines"], "pretoks": ["lines"], "counted": ["toks"], "words": ["counted"], "edges": ["words"], "subs": ["edges"], "near3": ["toks"],
     "near1": ["toks"], "cooc3": ["near3", "words"], "stats": ["edges", "cooc3"], "sums": ["proj"], "totals": ["stats"], "emb": ["subs", "sums", "size", "totals", "proj"],
-    "tedges": ["counted"], "psubs": ["tedges"], "sc": ["tedges"], "pv": ["subs", "size"], "cos": ["edges", "pv"],
+    "tedges": ["counted"], "psubs": ["tedges"], "sc": ["tedges"], "wsc": ["sc"], "pv": ["subs", "size"], "cos": ["edges", "pv"],
 }
 
 
@@ -48,7 +49,7 @@ def _dp(spans: str, joined: str, start: str, prefix: str, words: str = "counted"
 SEGMENTED = {
     "": _dp("SELECT e.word, s, s + length(e.piece) AS e, score FROM tedges e JOIN sc ON e.piece = sc.piece", "d.c[s.s + 1] + s.score", "0", ""),
     "m": _dp("SELECT e.word, s, s + length(e.piece) AS e, score FROM tedges e JOIN sc ON e.piece = sc.piece", "least(d.c[s.s + 1], s.score)", "1e9", "m"),
-    "w": _dp("SELECT e.word, s, s + length(e.piece) AS e, CASE WHEN s > 0 THEN round(score - 0.5, 9) ELSE score END AS score FROM tedges e JOIN sc ON e.piece = sc.piece", "d.c[s.s + 1] + s.score", "0", "w"),
+    "w": _dp("SELECT e.word, s, s + length(e.piece) AS e, score FROM tedges e JOIN wsc ON wsc.piece = CASE WHEN s > 0 THEN '##' ELSE '' END || e.piece", "d.c[s.s + 1] + s.score", "0", "w"),
     "c": _dp("SELECT e.word, s, s + length(e.piece) AS e, coalesce(score, CASE WHEN length(e.piece) = 1 THEN -2 END) AS score FROM edges e LEFT JOIN cos ON e.word = cos.word AND e.piece = cos.piece WHERE score IS NOT NULL OR length(e.piece) = 1", "d.c[s.s + 1] + s.score", "0", "c", "words"),
 }
 #: Each piece cut by its own vector, without itself; a position that no piece reaches counts as before.
@@ -65,7 +66,7 @@ CTES["evec"] = "SELECT subword AS piece, list(x ORDER BY dim) AS vec FROM emb GR
 NEEDS["evec"] = ["emb"]
 for prefix, made in SEGMENTED.items():
     CTES |= made
-    rows, pieces, scores = {"c": ("words", "edges", "cos"), "e": ("words", "edges", "evec")}.get(prefix, ("counted", "tedges", "sc"))
+    rows, pieces, scores = {"c": ("words", "edges", "cos"), "e": ("words", "edges", "evec"), "w": ("counted", "tedges", "wsc")}.get(prefix, ("counted", "tedges", "sc"))
     NEEDS |= {f"{prefix}spans": [pieces, scores], f"{prefix}dp": [rows, f"{prefix}spans"], f"{prefix}back": [f"{prefix}dp"], f"{prefix}seg": [f"{prefix}back", rows]}
 CTES |= {
     "uni": "SELECT token, sum(n)::BIGINT AS n FROM (SELECT unnest(pieces) AS token, n FROM seg UNION ALL SELECT '<w>', n FROM seg) GROUP BY token",

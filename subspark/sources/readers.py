@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from subspark.functions import text as T
 
@@ -17,10 +18,15 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(id, line): ids follow the file's lines from 0."""
-    schema = StructType([StructField("line", StringType()), StructField("id", LongType())])
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    return spark.createDataFrame(rows, schema).select("id", "line")
+    """(id, line): ids follow the lines from 0, through all files of a folder in order of their names. A line's id is its
+    place in its block of a file, behind the lines of the blocks before."""
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    rows = spark.read.text(path).select(F.col("value").alias("line"), *block, F.monotonically_increasing_id().alias("place"))
+    sizes = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()  # a row for each block
+    sizes.sort()
+    before = accumulate((r.n for r in sizes), initial=0)
+    offsets = spark.createDataFrame([(r.file, r.start, n - r.first) for r, n in zip(sizes, before)], "file string, start long, shift long")
+    return rows.join(F.broadcast(offsets), ["file", "start"]).select((F.col("place") + F.col("shift")).alias("id"), "line")
 
 
 def _unique(rows: DataFrame, key: str, what: str) -> DataFrame:
@@ -136,6 +142,57 @@ def dense_counts(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("n > 0").withColumn("n", F.col("n").cast("long"))
 
 
+def npy(spark: SparkSession, path: str) -> DataFrame:
+    """(id, vec) of a two-dimensional .npy file; the format has no parts, so that one task reads it."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                found = np.load(io.BytesIO(raw), allow_pickle=False).astype(float)
+                for k in range(0, len(found), 10_000):
+                    part = found[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part)), pa.int64()), pa.array(list(part), pa.list_(pa.float64()))], names=["id", "vec"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, vec array<double>")
+
+
+def unknown_edges(edges_: DataFrame, words: DataFrame, subwords: DataFrame) -> DataFrame:
+    """edges: (word, subword). What a 0/1 matrix of known words and subwords leaves out: (kind, word, subword) of words
+    that aren't in words (word), with a null subword, and of subwords of known words that aren't in subwords (subword)."""
+    known = edges_.join(words.select("word"), "word", "left_semi")
+    no_word = edges_.select("word").distinct().join(words.select("word"), "word", "left_anti")
+    no_subword = known.select("word", "subword").distinct().join(subwords.select("subword"), "subword", "left_anti")
+    return no_word.select(F.lit("word").alias("kind"), "word", F.lit(None).cast("string").alias("subword")).unionByName(
+        no_subword.select(F.lit("subword").alias("kind"), "word", "subword")
+    )
+
+
+def bucket_vectors(subwords: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
+    """subwords: (subword); buckets: (id, vec), the n hash buckets of a FastText model. (subword, vec)."""
+    keyed = subwords.select("subword", T.bucket(F.col("subword"), n).alias("id"))
+    return keyed.join(buckets.select("id", "vec"), "id").select("subword", "vec")
+
+
+def sentencepiece_vocab(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece) of a SentencePiece model: its pieces without marks, each once."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = spark.createDataFrame([(i, model.id_to_piece(i)) for i in range(model.get_piece_size())], "id int, piece string")
+    cleaned = rows.select("id", F.explode(T.clean_pieces(F.array("piece"))).alias("piece"))
+    return cleaned.groupBy("piece").agg(F.min("id").alias("id")).select("id", "piece")
+
+
+def sampled_piece_counts(words: DataFrame, path: str, draws: int = 10, alpha: float = 0.1, seed: int = 0) -> DataFrame:
+    """words: (word). (subword, word, n): how often each piece stands in `draws` sampled segmentations of a word."""
+    drawn = sentencepiece_edges(words, path, draws, alpha, seed)
+    return drawn.select(F.explode("pieces").alias("subword"), "word").groupBy("subword", "word").agg(F.count("*").alias("n"))
+
+
 def sentencepiece_edges(words: DataFrame, path: str, draws: int = 0, alpha: float = 0.1, seed: int = 0) -> DataFrame:
     """words: (word). (word, pieces) by a SentencePiece model, without marks; with draws, so many sampled ones each."""
     import pyarrow as pa

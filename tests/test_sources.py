@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from subspark.functions import text as T
 from subspark.sources import readers as R
 from subspark.sources import sinks as S
 
@@ -70,6 +71,67 @@ def test_sentencepiece(spark):
     assert drawn.count() == 6
 
 
+def test_numbers_follow_files_and_lines(spark, tmp_path):
+    """The smallest file first, and files of several blocks."""
+    (tmp_path / "many").mkdir()
+    lines = []
+    for k, n in enumerate((1, 3000, 0, 500)):
+        own = [f"line {k} {i}" for i in range(n)]
+        (tmp_path / "many" / f"part-{k}").write_text("".join(f"{x}\n" for x in own))
+        lines += own
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = sorted(map(tuple, R.numbered(spark, str(tmp_path / "many")).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == list(enumerate(lines))
+    assert R.numbered(spark, put(tmp_path, "none", "")).collect() == []
+
+
+def slow_bucket(word, n):
+    h = 2166136261
+    for b in word.encode():
+        h = (h ^ (b | 0xFFFFFF00 if b > 127 else b)) * 16777619 % 2**32
+    return h % n
+
+
+def test_buckets(spark):
+    words = ["", "a", "ab", "é", "straße", "中文", "x" * 50]
+    table = spark.createDataFrame([(w,) for w in words], "subword string")
+    found = {r.subword: r.b for r in table.select("subword", T.bucket(F.col("subword"), 1000).alias("b")).collect()}
+    assert found == {w: slow_bucket(w, 1000) for w in words}
+    buckets = spark.createDataFrame([(i, [float(i)]) for i in range(1000)], "id int, vec array<double>")
+    got = {r.subword: r.vec for r in R.bucket_vectors(table, buckets, 1000).collect()}
+    assert got == {w: [float(found[w])] for w in words}
+
+
+def test_npy(spark, tmp_path):
+    import numpy as np
+
+    found = np.random.default_rng(0).normal(size=(20, 3))
+    np.save(tmp_path / "m.npy", found)
+    assert [r.vec for r in R.npy(spark, str(tmp_path / "m.npy")).orderBy("id").collect()] == found.tolist()
+
+
+def test_unknown_edges(spark):
+    edges = spark.createDataFrame([("ab", "a", 1.0), ("ab", "q", 1.0), ("no", "a", 1.0), ("no", "q", 1.0)], "word string, subword string, weight double")
+    words, subwords = spark.createDataFrame([("ab",)], "word string"), spark.createDataFrame([("a",)], "subword string")
+    assert rows(R.unknown_edges(edges, words, subwords)) == [("subword", "ab", "q"), ("word", "no", None)]
+
+
+def test_sentencepiece_start(spark, tmp_path):
+    model = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    words = spark.createDataFrame([("unbelievable",), ("cats",)], "word string")
+    S.sentencepiece_start(words, model, str(tmp_path))
+    vocab = {r.line for r in R.lines(spark, str(tmp_path / "spvocab")).collect()}  # some pieces end in a carriage return
+    start = {r.word: r.pieces for r in R.segmented_vocab(spark, str(tmp_path / "allowed.init")).collect()}
+    assert set(start) == {"unbelievable", "cats"} and all("".join(p) == w and set(p) <= vocab for w, p in start.items())
+    counted = R.sampled_piece_counts(words, model, draws=4).collect()
+    for word in start:
+        assert sum(len(r.subword) * r.n for r in counted if r.word == word) == 4 * len(word)
+
+
 def test_word2vec_training(spark):
     lines = spark.createDataFrame([("a b c d",)] * 20, "line string")
     got = R.trained_word2vec(lines, dim=5, most=3, epochs=1)
