@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from subspark.llm import resample
 
@@ -18,7 +19,7 @@ def corpus():
     return rows + [(None, "no id"), (500, None), (501, ""), (1, rows[1][1])], labels + [(None, 1, 0), (900, None, 0), (2, 1, 0)]
 
 
-def slow_weights(rows, labels):
+def slow_weights(rows, labels, length=resample.LENGTH):
     target = {i for i, q, t in labels if i is not None and q == 1 and t == 0}
     grams = [resample.Grams()((t or "").encode()) for _, t in rows]
     raw, wanted = np.zeros(resample.BUCKETS), np.zeros(resample.BUCKETS)
@@ -34,7 +35,7 @@ def slow_weights(rows, labels):
             np.add.at(own, found, 1)
         mine = wanted - own
         ratio = (mine + resample.PRIOR * resample.BUCKETS * share) / (mine.sum() + resample.PRIOR * resample.BUCKETS) / share
-        out.append((str(i), round(float(np.log(ratio[found]).mean() * resample.STRENGTH) if len(found) else 0.0, 6)))
+        out.append((str(i), round(float(np.log(ratio[found]).mean() * (len(found) if length is None else length)) if len(found) else 0.0, 6)))
     return out
 
 
@@ -54,6 +55,16 @@ def test_weights_are_those_of_brute_force_and_junk_goes(spark):
     assert again == {(r.doc_id, r.sampling_key, r.kept) for r in got}
 
 
+def test_plain_ratios_ids_of_strings_and_extra_columns(spark):
+    rows, labels = corpus()
+    rows = rows + [(600, "abcde " * 30_000)]
+    docs = spark.createDataFrame([(None if i is None else f"d{i}", t, 1.0, "x") for i, t in rows], "doc_id string, text string, log_weight double, k1 string").repartition(2)
+    marks = spark.createDataFrame([(None if i is None else f"d{i}", q, t) for i, q, t in labels], "doc_id string, quality int, toxic int")
+    got = resample.resample(docs, marks, length=None).collect()
+    expected = [(i if i == "None" else f"d{i}", w) for i, w in slow_weights(rows, labels, None)]
+    assert [(a, pytest.approx(w, abs=1e-5)) for a, w in sorted(expected)] == sorted((str(r.doc_id), r.log_weight) for r in got)
+
+
 def test_kth_largest_is_exact(spark):
     rng = random.Random(1)
     values = [rng.gauss(0, 1) ** 5 for _ in range(500)] + [1.5] * 50
