@@ -12,11 +12,12 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 
-#: Pre-tokens, and words with their stops and capitals, that a worker remembers: the first that it meets.
-CACHE = 150_000
+#: Words with their stops and capitals, and pre-tokens, that a worker remembers: the first that it meets.
+CACHE, CORES = 150_000, 100_000
 #: Pre-tokens that are encoded as one string.
 JOINED = 100
 #: Characters of a text that are split at once.
@@ -76,6 +77,15 @@ def core(word: str) -> tuple[str, str]:
     return base, signs
 
 
+class _Memory(dict):
+    """Ids of words; of those that it doesn't keep, for as long as `more` has them."""
+
+    more: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.more[word]
+
+
 class Pieces:
     """Ids of pre-tokens, remembered."""
 
@@ -86,7 +96,7 @@ class Pieces:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.raw: dict[str, bytes] = {}
+        self.raw = _Memory()
         self.cores: dict[str, bytes] = {}
 
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -112,29 +122,27 @@ class Pieces:
             found.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(rest, single, strict=True))
         return [found[t] for t in tokens]
 
-    def _learn(self, unknown: set[str]) -> dict[str, bytes]:
-        """Ids of words; remembered while there is room."""
+    def _learn(self, unknown: set[str]) -> None:
+        """Ids of words; remembered while there is room, and else until the next call."""
         parts = {w: core(w) for w in unknown}
-        wanted = {p for pair in parts.values() for p in pair if p}
-        new = list(wanted.difference(self.cores))
+        cores = self.cores
+        new = list({p for pair in parts.values() for p in pair if p and p not in cores})
         coded = dict(zip(new, self.encode(new), strict=True))
-        if len(self.cores) < CACHE:
-            self.cores.update(coded)
-        ids = {p: coded[p] if p in coded else self.cores[p] for p in wanted}
-        out = {w: ids[a] + (ids[b] if b else b"") for w, (a, b) in parts.items()}
+        if len(cores) < CORES:
+            cores.update(coded)
+        coded[""] = b""
+        found = {w: (coded[a] if a in coded else cores[a]) + (coded[b] if b in coded else cores[b]) for w, (a, b) in parts.items()}
         if len(self.raw) < CACHE:
-            self.raw.update(out)
-        return out
+            self.raw.update(found)
+        self.raw.more = found
 
     def ids(self, text: str) -> bytes:
         out, raw = [], self.raw
         for some in words(text):
-            unknown = set(some).difference(raw)
+            unknown = set(filterfalse(raw.__contains__, some))
             if unknown:
-                more = self._learn(unknown)
-                out.append(b"".join([more[w] if w in more else raw[w] for w in some]))
-            else:
-                out.append(b"".join(map(raw.__getitem__, some)))
+                self._learn(unknown)
+            out.append(b"".join(map(raw.__getitem__, some)))
         return b"".join(out)
 
 

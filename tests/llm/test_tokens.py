@@ -38,6 +38,7 @@ def test_ids_are_the_librarys(library, docs, monkeypatch):
     made = pieces.Pieces(pieces.read(None))
     for limit, step in ((400_000, 1 << 20), (20, 50)):
         monkeypatch.setattr(pieces, "CACHE", limit)
+        monkeypatch.setattr(pieces, "CORES", limit)
         monkeypatch.setattr(pieces, "SLICE", step)
         for row in docs.collect():
             if row.text:
@@ -97,6 +98,21 @@ def test_pieces_tile_documents_and_sequences(library, docs):
             assert zlib.crc32(np.array(r.ids[p.offset : p.offset + p.length], "<u4").tobytes()) == p.ids_crc32
 
 
+@pytest.mark.parametrize("size", [4096, 16])
+def test_windows_hold_the_line_of_all_tokens(library, docs, size):
+    """Whole windows and those put together from boundary records; small ones end inside documents often."""
+    own = {r.doc_id: np.array([*ids_of(library, r.text), 2], "<u4") for r in docs.collect()}
+    rows = sorted(packing.windows(docs, size=size).collect(), key=lambda r: r.sequence_id)
+    assert [r.sequence_id for r in rows] == list(range(len(rows)))
+    assert all(len(r.ids) == 4 * size for r in rows[:-1])
+    for r in rows:
+        parts = [own[d][s : s + n] for d, s, n in zip(r.docs, r.starts, r.lengths)]
+        assert np.concatenate(parts).tobytes() == bytes(r.ids) and r.sizes == [len(own[d]) for d in r.docs]
+    places = [(d, s, n) for r in rows for d, s, n in zip(r.docs, r.starts, r.lengths)]
+    for (d, s, n), (e, t, _) in zip(places, places[1:]):
+        assert (e, t) == (d, s + n) if s + n < len(own[d]) else t == 0
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.op1(none).collect() == token_counts.op7(none).collect() == packing.sequences(none).collect() == []
