@@ -184,20 +184,12 @@ def measured(text: bytes, rules: tuple[Rule, ...]) -> tuple[list[float], list[bo
 
 def sample(docs: DataFrame, rules: tuple[Rule, ...], rows: int = PLAN_ROWS) -> list[tuple[list[float], list[bool]]]:
     """`measured` of up to `rows` documents, picked by hash in partitions spread evenly over the table."""
-    frame = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(PICK)) == 0)
-
-    def measure(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 8):
-                found = [measured(text, rules) for text in binary_texts(batch.column(0).slice(k, 8))]
-                yield pa.RecordBatch.from_pydict({"took": [t for t, _ in found], "rejected": [r for _, r in found]})
-
-    found = frame.mapInArrow(measure, "took array<double>, rejected array<boolean>").rdd
-    n = found.getNumPartitions()
+    texts = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(PICK)) == 0).rdd
+    n = texts.getNumPartitions()
     parts = sorted({k * n // PLAN_PARTS for k in range(PLAN_PARTS)}) if n else []
     each = -(-rows // max(len(parts), 1))
-    # a task takes its first rows and stops; no other partition is read
-    return [(r.took, r.rejected) for r in docs.sparkSession.sparkContext.runJob(found, lambda it: list(islice(it, each)), parts)]
+    # a task takes its first rows and stops; partitions that aren't named aren't read
+    return docs.sparkSession.sparkContext.runJob(texts, lambda it: [measured((r.text or "").encode(), rules) for r in islice(it, each)], parts)
 
 
 def plan(seen: list[tuple[list[float], list[bool]]], rules: tuple[Rule, ...], free: Iterable[str] = ()) -> tuple[int, ...]:
