@@ -142,22 +142,9 @@ def trie_links(values: np.ndarray, groups: np.ndarray, budget: int = BUDGET, bit
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def trie_pairs(values: np.ndarray, groups: np.ndarray, labels: np.ndarray, nths: np.ndarray, budget: int, bits: int, wide: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links of trie_links between values of different labels, about WALK at a time. nths: which piece of the wide
-    fingerprint a value is. A pair counts where its first piece within the budget is, not at the others."""
-    forest = _Forest(len(values))
-    _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
-    forest.label = first[inverse]
-    small = wide.view(f"u{PIECE // 8}")
-    for x, y in _walk(values, groups, forest, budget, bits, wide, most, unite=False):
-        here = (np.bitwise_count(small[x] ^ small[y]) <= budget).argmax(1) == nths[x]
-        if here.any():
-            yield x[here], y[here]
-
-
-def _walk(values, groups, forest: _Forest, budget: int, bits: int, wide, most: int, unite: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between sets of the forest; with `unite` those of a spanning forest, else all, some more than once.
-    The trie's nodes are ranges of positions: bit by bit, a range is cut where the bit sets in."""
+def _walk(values, groups, forest: _Forest, budget: int, bits: int, wide, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of a spanning forest. The trie's nodes are ranges of positions: bit by bit, a range is cut where the bit
+    sets in."""
     n = len(values)
     sums = [None] * bits
     starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
@@ -186,10 +173,6 @@ def _walk(values, groups, forest: _Forest, budget: int, bits: int, wide, most: i
             if wide is not None:
                 near = np.bitwise_count(wide[x] ^ wide[y]).sum(1, dtype=np.int64) <= most
                 x, y = x[near], y[near]
-            if not unite:
-                if len(x):
-                    yield x, y
-                continue
             for k in forest.unite(x, y):
                 yield x[k], y[k]
         # nodes of which all leaves are in one component need no look
@@ -230,48 +213,50 @@ def _crossed(forest: _Forest, a0, a1, b0, b1) -> Iterator[tuple[np.ndarray, np.n
             yield np.repeat(x, hi2 - lo2), np.tile(np.arange(lo2, hi2), len(x))
 
 
-def _walked(rows: DataFrame, bits: int, most: int) -> DataFrame:
-    """rows: (key, fp, piece long, wide). Links inside each key, as (a, b); of rows with (nth, label) as well, all
-    between different labels."""
-    all_ = "label" in rows.columns
+def _by_key(rows: DataFrame, links: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]], weigh: Callable[[pa.RecordBatch], int]) -> DataFrame:
+    """rows: (key, more). (a, b): links of tables of whole keys, of about TOGETHER by weight."""
 
-    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, fps = table.column("key").to_numpy(), table.column("fp").to_numpy()
-        pieces = table.column("piece").to_numpy().view(np.uint64)
-        order = np.lexsort((pieces, keys))
-        wide = None
-        if most:
-            raw = b"".join(table.column("wide").to_pylist())
-            wide = np.frombuffer(raw, np.uint64).reshape(len(keys), -1)[order]
-        fps = fps[order]
-        if all_:
-            labels, nths = (table.column(c).to_numpy()[order] for c in ("label", "nth"))
-            found = trie_pairs(pieces[order], keys[order], labels, nths, BUDGET, bits, wide, most)
-        else:
-            found = [trie_links(pieces[order], keys[order], BUDGET, bits, wide, most)]
-        for a, b in found:
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for a, b in links(table):
             if len(a):
-                yield pa.RecordBatch.from_pydict({"a": fps[a], "b": fps[b]})
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
     def run(batches: Iterator[pa.RecordBatch]):
         held, n = [], 0
         for batch in batches:
             held.append(batch)
-            n += batch.num_rows
+            n += weigh(batch)
             if n >= TOGETHER:
                 table = pa.Table.from_batches(held)
                 keys = table.column("key").to_numpy()
                 whole = int(np.searchsorted(keys, keys[-1]))
                 if whole:
-                    yield from links(table.slice(0, whole))
+                    yield from found(table.slice(0, whole))
                     held = table.slice(whole).combine_chunks().to_batches()
-                    n -= whole
+                    n = sum(map(weigh, held))
         if held:
-            yield from links(pa.Table.from_batches(held))
+            yield from found(pa.Table.from_batches(held))
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def _walked(rows: DataFrame, bits: int, most: int) -> DataFrame:
+    """rows: (key, fp, piece long, wide). Links inside each key, as (a, b)."""
+
+    def links(table: pa.Table):
+        keys, fps = table.column("key").to_numpy(), table.column("fp").to_numpy()
+        pieces = table.column("piece").to_numpy().view(np.uint64)
+        order = np.lexsort((pieces, keys))
+        wide = None
+        if most:
+            raw = b"".join(table.column("wide").to_pylist())
+            wide = np.frombuffer(raw, np.uint64).reshape(len(keys), -1)[order]
+        a, b = trie_links(pieces[order], keys[order], BUDGET, bits, wide, most)
+        yield fps[order][a], fps[order][b]
+
+    return _by_key(rows, links, lambda batch: batch.num_rows)
+
+
 def _blocks(free: list[int]) -> list[list[int]]:
     """Bit positions in BUDGET + 1 blocks of about equal size."""
     return [part.tolist() for part in np.array_split(np.array(free), BUDGET + 1)]
@@ -283,15 +268,13 @@ def _signed(mask: int) -> int:
 
 def fingerprint_links(distinct: DataFrame, pieces: int = 1, most: int = 0) -> DataFrame:
     """distinct: (fp long, wide), no fp twice. Links (a, b) of a forest that joins what all pairs of fingerprints
-    with some piece within the budget, and with at most `most` differing bits in all (0: any), would join. With a
-    column label in distinct (and pieces): all such pairs of different labels, some more than once."""
-    more = [c for c in distinct.columns if c == "label"]
+    with some piece within the budget, and with at most `most` differing bits in all (0: any), would join."""
     bits = BITS if pieces == 1 else PIECE
     if pieces == 1:
         level = distinct.select("fp", F.lit(None).cast("binary").alias("wide"), F.lit(0).alias("nth"), F.col("fp").alias("piece"))
     else:
         values = F.array(*[_piece(F.col("wide"), k) for k in range(pieces)])
-        level = distinct.select("fp", "wide", *more, F.posexplode(values).alias("nth", "piece"))
+        level = distinct.select("fp", "wide", F.posexplode(values).alias("nth", "piece"))
     level = level.withColumn("mask", F.lit(0).cast("long"))
     out, masks = None, [0]
     for depth in range(LEVELS):
@@ -305,7 +288,7 @@ def fingerprint_links(distinct: DataFrame, pieces: int = 1, most: int = 0) -> Da
         if depth < LEVELS - 1:
             large = stored(keyed.groupBy("key").count().filter(F.col("count") > SUBTREE).select("key"), "subtrees")
             large = None if large.isEmpty() else large
-        walked = _walked((keyed if large is None else keyed.join(large, "key", "left_anti")).select("key", "fp", "piece", "wide", *(["nth", *more] if more else [])), bits, most)
+        walked = _walked((keyed if large is None else keyed.join(large, "key", "left_anti")).select("key", "fp", "piece", "wide"), bits, most)
         out = walked if out is None else out.unionByName(walked)
         if large is None:
             break
@@ -319,75 +302,118 @@ def _piece(wide, k: int):
     return F.conv(F.hex(F.substring(wide, size * k + 1, size)), 16, 10).cast("long")
 
 
-def grouped(marked: DataFrame, links: Callable[[DataFrame], DataFrame] = fingerprint_links) -> DataFrame:
-    """marked: (doc_id, fp, wide, more). Adds component_id, the smallest doc_id that fp's links reach. links gives
-    them, as (a, b), from the distinct (fp, wide)."""
+def groups_of(marked: DataFrame, links: Callable[[DataFrame], DataFrame] = fingerprint_links) -> DataFrame:
+    """marked: (doc_id, fp, wide, more). (fp, component, component_id), with component_id the smallest doc_id that fp's
+    links reach. links gives them, as (a, b), from the distinct (fp, wide)."""
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("wide").alias("wide"))
     roots = components(links(first.select("fp", "wide")))
     # only linked fingerprints have a root; the others are components of their own
     linked = first.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first_id")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("root_id"))
     merged = linked.join(smallest, "root").select("fp", "root", "root_id")
-    named = stored(
+    return stored(
         first.join(merged, "fp", "left").select(
             "fp", F.coalesce("root", "fp").alias("component"), F.coalesce("root_id", "first_id").alias("component_id")
         ),
         "groups",
     )
-    return marked.join(named, "fp", "left")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each document."""
     marked = stored(fingerprints(docs, size), "fingerprints")
-    return grouped(marked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(groups_of(marked), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: 64-bit words of a wide fingerprint, and the most of its bits that a candidate pair may differ in. Texts of a Jaccard
 #: similarity of 0.8 over five-word shingles differ in about 47 of the 320 bits (deviation 6), unrelated ones in half.
 WORDS, MOST = 5, 76
-#: Pairs within so many bits are mostly of a similarity over 0.8, and are verified first.
-SURE = 40
 #: Bits of a wide fingerprint's pieces, one trie each.
 PIECE = 32
+#: Members and shingles of a block of candidates that one task verifies.
+MEMBERS, SHINGLES = 4_000, 1_500_000
 
 
-def shingle_sets(docs: DataFrame, marked: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(fp, shingles array<long>): the distinct shingle hashes of each fp in pairs (a, b), from one of its texts."""
+def shingle_sets(docs: DataFrame, marked: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """classes: (fp, class). (class, fp, shingles array<long>): the distinct shingle hashes of each fp, from one of its
+    texts."""
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, size)) for t in binary_texts(batch.column(1))]
+            sets = [np.unique(shingle_hashes(t, size)) for t in binary_texts(batch.column(2))]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["class", "fp", "shingles"])
 
-    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    one = marked.join(asked, "fp").groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("key")).select("fp", "key.*")
+    one = marked.join(classes, "fp").groupBy("class", "fp").agg(F.min(F.struct("k1", "k2")).alias("key")).select("class", "fp", "key.*")
     k1, k2 = doc_key(F.col("doc_id"), F.col("text"))
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(one, ["k1", "k2"]).select("fp", "text")
-    return texts.mapInArrow(run, "fp long, shingles array<long>").dropDuplicates(["fp"])
-
-
-def verified(docs: DataFrame, marked: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of 0.8 or more."""
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    sets = stored(shingle_sets(docs, marked, pairs, size), "shingles")
-    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    near = common * 9 >= (F.size("of_a") + F.size("of_b")) * 4  # 5 x common >= 4 x union
-    return both.filter(near).select("a", "b")
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(one, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return texts.select("class", "fp", "text").mapInArrow(run, "class long, fp long, shingles array<long>")
+
+
+def near_members(keys: np.ndarray, left: np.ndarray, right: np.ndarray, counts: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the pairs of a key, one of them `left` and the other `right`, whose sets have a Jaccard similarity of
+    0.8 or more. Members are sorted by key; member i has counts[i] of the shingles, in order. What a member has in
+    common with all others of its key is counted at once, from lists of the members that hold each shingle."""
+    with np.errstate(over="ignore"):
+        mixed = shingles.view(np.uint64) ^ (np.repeat(keys, counts).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    owner = np.repeat(np.arange(len(keys)), counts)
+    order = np.argsort(mixed, kind="stable")
+    new = np.concatenate(([True], mixed[order][1:] != mixed[order][:-1])) if len(order) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    times = np.diff(np.concatenate((starts, [len(order)])))
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    holders = owner[order]
+    ends, label, out = np.cumsum(counts), np.arange(len(keys)), []
+    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        for q in range(low, high):
+            if not left[q] or high - low == 1 or (label[low:high] == label[q]).all():
+                continue
+            own = which[ends[q] - counts[q] : ends[q]]
+            n = times[own]
+            at = np.repeat(starts[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            common = np.bincount(holders[at] - low, minlength=high - low)
+            near = right[low:high] & (common * 9 >= (counts[q] + counts[low:high]) * 4)  # 5 x common >= 4 x union
+            near[q - low] = False
+            hits = low + np.flatnonzero(near)
+            while len(hits := hits[label[hits] != label[q]]):
+                out.append((q, hits[0]))
+                label[low:high][label[low:high] == label[hits[0]]] = label[q]
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def verified(sets: DataFrame) -> DataFrame:
+    """sets: (class, fp, shingles). Links (a, b) that join what all pairs of a class with a Jaccard similarity of 0.8 or
+    more would join. A class of over MEMBERS members or SHINGLES shingles is parted into blocks, and each pair of
+    blocks is a task of its own."""
+    sized = sets.groupBy("class").agg(F.count("*").alias("members"), F.sum(F.size("shingles")).alias("total"))
+    parts = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("total") / SHINGLES), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    rows = sets.join(sized.select("class", parts.alias("parts")), "class").withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.xxhash64("class", F.least("own", "other"), F.greatest("own", "other"))
+    keyed = rows.select(key.alias("key"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), "fp", "shingles")
+
+    def links(table: pa.Table):
+        lists = table.column("shingles").combine_chunks()
+        sides = [table.column(c).to_numpy() for c in ("left", "right")]
+        counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        a, b = near_members(table.column("key").to_numpy(), *sides, counts, lists.flatten().to_numpy())
+        fps = table.column("fp").to_numpy()
+        yield fps[a], fps[b]
+
+    return _by_key(keyed, links, lambda batch: 1 + len(batch.column(4).flatten()) // 100)
 
 
 def copy_links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, size: int, pieces: int, most: int) -> DataFrame:
-    """nodes: (fp, wide), one for each set of shingles. Links (a, b) that join what all candidate pairs of a true
-    similarity of 0.8 or more would join: a forest of close candidates is verified first, then every candidate pair
-    that it leaves in different components."""
-    nodes = stored(nodes, "nodes")
-    close = stored(verified(docs, marked, fingerprint_links(nodes, pieces, min(SURE, most)), size), "close")
-    roots = components(close).withColumnRenamed("node", "fp")
-    labelled = stored(nodes.join(roots, "fp", "left").select("fp", "wide", F.coalesce("root", "fp").alias("label")), "labelled")
-    return close.unionByName(verified(docs, marked, fingerprint_links(labelled, pieces, most), size))
+    """nodes: (fp, wide), one for each set of shingles. The trie join gives classes of candidates, within which all
+    pairs are verified."""
+    roots = components(fingerprint_links(stored(nodes, "nodes"), pieces, most))
+    classes = roots.select(F.col("node").alias("fp"), F.col("root").alias("class"))
+    return verified(stored(shingle_sets(docs, marked, classes, size), "shingles"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, words: int = WORDS, most: int = MOST) -> DataFrame:
@@ -395,12 +421,16 @@ def one_of_each(docs: DataFrame, size: int = 5, words: int = WORDS, most: int =
 
     Texts link when the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Candidates are
     fingerprints of `words` words with one piece within the budget and at most `most` differing bits in all; one
-    64-bit word within three bits would miss most texts of such a similarity."""
+    64-bit word within three bits would miss most texts of such a similarity. All pairs of a class of linked candidates
+    are verified. Null and empty texts are copies of one another. An empty table gives no rows; very long texts are
+    compared whole; extra columns stay, whatever their names."""
     marked = stored(fingerprints(docs, size, words), "fingerprints")
-    sets = grouped(marked, lambda nodes: copy_links(docs, marked, nodes, size, words * BITS // PIECE, most))
-    best = sets.groupBy("component").agg(
-        F.min_by(F.struct("k1", "k2"), F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("best")
-    )
+    groups = groups_of(marked, lambda nodes: copy_links(docs, marked, nodes, size, words * BITS // PIECE, most))
+    # the first row of each fingerprint, then of each component: exact copies are put together before they are sent
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+    each = marked.groupBy("fp").agg(F.min(order).alias("best"))
+    best = each.join(groups.select("fp", "component"), "fp").groupBy("component").agg(F.min("best").alias("best"))
+    best = best.select(F.struct("best.k1", "best.k2").alias("best"))
     times = marked.groupBy("k1", "k2").count()
     a, b, c = fresh(docs, "k1_of_row"), fresh(docs, "k2_of_row"), fresh(docs, "times_of_row")
     keep = stored(best.select("best.*").join(times, ["k1", "k2"]).toDF(a, b, c), "kept")

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from subspark.llm import simhash
@@ -94,31 +95,31 @@ def test_one_of_each_keeps_columns_and_unlike_texts(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in range(20)] + ["None"])
 
 
-def test_pairs_of_different_labels_are_all_found():
-    rng = np.random.default_rng(4)
-    base = rng.integers(0, 256, (12, 40), dtype=np.uint8)
-    rows = np.concatenate([base] * 8)
-    for row in rows:
-        for b in rng.integers(0, 320, 30):
-            row[b // 8] ^= 1 << (b % 8)
-    wide = np.unique(rows, axis=0).view(np.uint64)
-    small, n, labels = wide.view(np.uint32), len(wide), rng.integers(0, 5, len(wide))
-    apart = lambda i, j: np.bitwise_count(small[i] ^ small[j])
-    expected = {(i, j) for i, j in combinations(range(n), 2) if labels[i] != labels[j] and apart(i, j).min() <= 3 and apart(i, j).sum() <= 60}
-    found = set()
-    for nth in range(10):
-        order = np.argsort(small[:, nth], kind="stable")
-        same = np.zeros(n, np.int64)
-        new = set()
-        for a, b in simhash.trie_pairs(small[order, nth].astype(np.uint64), same, labels[order], same + nth, 3, 32, wide[order], 60):
-            new |= {tuple(sorted(p)) for p in zip(order[a].tolist(), order[b].tolist())}
-        assert not new & found  # a pair counts at one piece alone
-        found |= new
-    assert len(expected) > 50 and found == expected
-
-
-def test_one_of_each_goes_by_true_similarity(spark):
+def test_near_members_are_those_of_all_pairs():
+    rng = random.Random(4)
+    sets, keys = [], []
+    for key in range(12):
+        base = [rng.getrandbits(63) for _ in range(30)]
+        for _ in range(rng.randint(1, 12)):
+            own = set(base) - set(rng.sample(base, rng.randint(0, 5))) | {rng.getrandbits(63) for _ in range(rng.randint(0, 4))}
+            sets.append(own)
+            keys.append(key)
+        sets.append(set(base[:3]) if key % 2 else set())
+        keys.append(key)
+    n, left, right = len(sets), [rng.random() < 0.6 for _ in sets], [rng.random() < 0.6 for _ in sets]
+    near = lambda i, j: sets[i] | sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    counts, flat = np.array([len(s) for s in sets]), np.array([x for s in sets for x in sorted(s)], np.int64)
+    for sides in ((left, right), ([True] * n, [True] * n)):
+        allowed = lambda i, j: sides[0][i] and sides[1][j] or sides[0][j] and sides[1][i]
+        links = [(i, j) for i, j in combinations(range(n), 2) if keys[i] == keys[j] and allowed(i, j) and near(i, j)]
+        a, b = simhash.near_members(np.array(keys), *map(np.array, sides), counts, flat)
+        assert len(links) > len(a) > 10 and slow_components(n, list(zip(a.tolist(), b.tolist()))) == slow_components(n, links)
+
+
+@pytest.mark.parametrize("members", [4_000, 5])
+def test_one_of_each_goes_by_true_similarity(spark, monkeypatch, members):
     """Pages of one template with a similarity around 0.8: candidates alone would take many below it as copies."""
+    monkeypatch.setattr(simhash, "MEMBERS", members)  # small: classes are parted into blocks
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
     rows = []
