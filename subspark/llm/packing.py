@@ -68,11 +68,25 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.join(where, "part").withColumn("first", F.col("offset") + F.col("local")).drop("part", "local", "offset")
 
 
-def _windows(rows: DataFrame, size: int) -> DataFrame:
-    """rows: (doc_id, first, n, ids). (sequence_id, ids, docs, starts, lengths, sizes): a row for each window, with lists
-    of its pieces in order: the document, the ids before the piece in it, the piece's ids, and the document's ids."""
+NAMES = ["sequence_id", "offset", "ids", "docs", "starts", "lengths", "sizes", "places", "crcs"]
+
+
+def _crcs(raw: bytes, lengths: list[int]) -> list[int]:
+    """CRC-32 of each piece of a window."""
+    view, out, at = memoryview(raw), [], 0
+    for n in lengths:
+        out.append(zlib.crc32(view[at : at + 4 * n]))
+        at += 4 * n
+    return out
+
+
+def _windows(rows: DataFrame, size: int, digest: bool) -> DataFrame:
+    """rows: (doc_id, first, n, ids). A row for each window: sequence_id, ids, and lists of its pieces in order: docs,
+    starts (ids of the document before the piece), lengths, sizes (ids of the document), places in the window, crcs. With `digest`, windows
+    leave their task without ids, else without crcs."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    lists = f"docs array<{kind}>, starts array<long>, lengths array<long>, sizes array<long>"
+    id_type = arrow_schema(f"doc_id {kind}").field(0).type
+    lists = f"docs array<{kind}>, starts array<long>, lengths array<long>, sizes array<long>, places array<long>, crcs array<long>"
 
     def cut(begin: int, held: list[tuple]) -> pa.RecordBatch:
         """held: (doc_id, start, n, ids) in a row; the first id stands at `begin`."""
@@ -85,21 +99,20 @@ def _windows(rows: DataFrame, size: int) -> DataFrame:
         starts, lengths = points - places[own] + np.array(before, np.int64)[own], np.diff(np.concatenate((points, [total])))
         window = (begin + points) // size
         heads = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
-        edges = np.concatenate((points[heads], [total])).tolist()
-        offsets = pa.array(np.concatenate((heads, [len(points)])), pa.int32())
-        as_lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (starts, lengths, np.array(sizes, np.int64)[own])]
-        of_docs = pa.ListArray.from_arrays(offsets, doc_ids(docs).take(pa.array(own)))
-        cuts = [raw[4 * a : 4 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        edges, pieces = np.concatenate((points[heads], [total])).tolist(), np.concatenate((heads, [len(points)]))
+        offsets = pa.array(pieces, pa.int32())
+        as_lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (starts, lengths, np.array(sizes, np.int64)[own], (begin + points) % size)]
+        of_docs = pa.ListArray.from_arrays(offsets, pa.array(docs, id_type).take(pa.array(own)))
+        cuts, crcs, sizes_of = [], [], lengths.tolist()
+        for a, b, p, q in zip(edges[:-1], edges[1:], pieces[:-1].tolist(), pieces[1:].tolist(), strict=True):
+            part = raw[4 * a : 4 * b]
+            done = digest and b - a == size
+            cuts.append(None if done else part)
+            crcs.append(_crcs(part, sizes_of[p:q]) if done else None)
         return pa.RecordBatch.from_arrays(
-            [pa.array(window[heads]), pa.array((begin + points[heads]) % size), pa.array(cuts, pa.binary()), of_docs, *as_lists],
-            names=["sequence_id", "offset", "ids", "docs", "starts", "lengths", "sizes"],
+            [pa.array(window[heads]), pa.array((begin + points[heads]) % size), pa.array(cuts, pa.binary()), of_docs, *as_lists, pa.array(crcs, pa.list_(pa.int64()))], names=NAMES
         )
 
-    id_type = arrow_schema(f"doc_id {kind}").field(0).type
-
-    def doc_ids(values) -> pa.Array:
-        return pa.array(values, id_type)
-
     def run(batches):
         begin, held, n = 0, [], 0
         for batch in batches:
@@ -124,48 +137,43 @@ def _windows(rows: DataFrame, size: int) -> DataFrame:
         if held:
             yield cut(begin, held)
 
-    cuts = rows.select("doc_id", "first", "n", "ids").mapInArrow(run, f"sequence_id long, offset long, ids binary, {lists}")
-    full = F.length("ids") == 4 * size
-    names = ["sequence_id", "ids", "docs", "starts", "lengths", "sizes"]
-    boundary = cuts.filter(~full).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", *names[1:]))).alias("parts"))
+    def whole(batches):
+        for batch in batches:
+            columns = list(batch.columns)
+            if digest:
+                columns[7] = pa.array([_crcs(raw, n) for raw, n in zip(columns[1].to_pylist(), columns[4].to_pylist(), strict=True)], pa.list_(pa.int64()))
+                columns[1] = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    cuts = stored(rows.select("doc_id", "first", "n", "ids").mapInArrow(run, f"sequence_id long, offset long, ids binary, {lists}"), "cuts")
+    full = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n) == size
+    names = [n for n in NAMES if n != "offset"]
+    boundary = cuts.filter(~full).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", *names[1:-1]))).alias("parts"))
     joined = boundary.select(
         "sequence_id",
         F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"),
-        *[F.flatten(F.col(f"parts.{c}")).alias(c) for c in names[2:]],
+        *[F.flatten(F.col(f"parts.{c}")).alias(c) for c in names[2:-1]],
+        F.lit(None).cast("array<long>").alias("crcs"),
     )
-    return cuts.filter(full).select(*names).unionByName(joined)
+    return cuts.filter(full).select(*names).unionByName(joined.mapInArrow(whole, f"sequence_id long, ids binary, {lists}"))
 
 
-def windows(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:
-    return _windows(placed(tokenised(docs, path, end)), size)
+def windows(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END, digest: bool = False) -> DataFrame:
+    return _windows(placed(tokenised(docs, path, end)), size, digest)
 
 
 def piece_records(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:
     """One row for each piece of each window: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            sequence, ids, of_docs, starts, lengths, sizes = batch.columns
-            times = of_docs.value_lengths().to_numpy(zero_copy_only=False)
-            n = lengths.flatten().to_numpy()
-            ends = np.cumsum(n)
-            first = np.concatenate(([0], ends))[np.cumsum(times) - times]  # ids of the batch before each window
-            offset = ends - n - np.repeat(first, times)
-            crcs, k = [], 0
-            for raw, count in zip(ids, times.tolist(), strict=True):
-                view = memoryview(raw.as_buffer())
-                for a, b in zip(offset[k : k + count].tolist(), n[k : k + count].tolist(), strict=True):
-                    crcs.append(zlib.crc32(view[4 * a : 4 * (a + b)]))
-                k += count
-            yield pa.RecordBatch.from_arrays(
-                [of_docs.flatten(), starts.flatten(), lengths.flatten(), pa.array(crcs, pa.int64()), sizes.flatten(), pa.array(np.repeat(sequence.to_numpy(), times)), pa.array(offset)],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
-
-    return windows(docs, path, size, end).mapInArrow(
-        run,
-        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
+    made = windows(docs, path, size, end, digest=True)
+    each = made.select("sequence_id", F.explode(F.arrays_zip("docs", "starts", "lengths", "crcs", "sizes", "places")).alias("p"))
+    return each.select(
+        F.col("p.docs").alias("doc_id"),
+        F.col("p.starts").alias("start"),
+        F.col("p.lengths").alias("length"),
+        F.col("p.crcs").alias("ids_crc32"),
+        F.col("p.sizes").alias("doc_tokens"),
+        "sequence_id",
+        F.col("p.places").alias("offset"),
     )
 
 
