@@ -2,7 +2,7 @@
 
 Strings are dealt out so that equal ones meet: the string at a position goes by the smallest hash of its
 `GRAM`-byte parts, which depends on the string alone. Neighbouring positions mostly have the smallest
-part in common, so what goes out is a run of positions with the text that their strings cover. Equal
+part in common, so what goes out is a run of positions with the text that their strings cover, `RUN` at most. Equal
 runs of a bucket are counted and kept once. A bucket of a single run, in which the
 smallest part occurs once, has no repeats. The other buckets
 are put into shards of about `SHARD` bytes; each shard sorts its suffixes by Larsson-Sadakane refinement
@@ -12,7 +12,7 @@ other. All further steps work with positions, until each text loses its bytes.
 
 Nulls: a null text is empty, and has no strings. A null doc_id stays null. Repeated rows of doc_id and
 text are one text if both are equal: rows that are equal in both still repeat each other and lose the
-bytes. Extra columns are carried along by `drop_repeats`.
+bytes. An empty table gives no rows. Very long texts go out in runs like others. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from subspark.llm.common import arrow_schema, binary_texts, doc_key, fresh, stor
 from subspark.llm.suffix_arrays import found_in, join_texts, repeats_inside, suffix_array
 
 SIZE, GRAM = 200, 32
+#: Most positions of a run: a longer one, as of a text that repeats one byte, goes out in several.
+RUN = 1 << 16
 #: Bytes of text of a shard, and of a part of a bucket that is larger than LARGE shards.
 SHARD, PART, LARGE = 1_000_000, 2_000_000, 3
 #: Bytes of texts that are hashed together.
@@ -80,6 +82,10 @@ def runs_of(texts: list[bytes], size: int = SIZE, gram: int = GRAM) -> tuple[np.
     length = np.diff(np.concatenate((first, [len(least)])))
     keep = here[first]
     first, length = first[keep], length[keep]
+    if (length > RUN).any():
+        times = -(-length // RUN)
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        first, length = np.repeat(first, times) + nth * RUN, np.minimum(np.repeat(length, times) - nth * RUN, RUN)
     whole = b"".join(texts)
     digest = xxhash.xxh3_64_intdigest
     digests = np.fromiter(

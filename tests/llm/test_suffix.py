@@ -56,11 +56,12 @@ def passages():
     return [*out, once + once]
 
 
-@pytest.mark.parametrize("shard", [1_000_000, 3_000])
-def test_same_as_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard, run", [(1_000_000, 1 << 16), (3_000, 40)])
+def test_same_as_brute_force(spark, monkeypatch, shard, run):
+    monkeypatch.setattr(suffix_dedup, "RUN", run)
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
     monkeypatch.setattr(suffix_dedup, "PART", shard)
-    texts = passages()
+    texts = [*passages(), "z" * 150_000, "long " * 20_000]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id " * 50), (0, texts[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     expected = [(r[0], *x) for r, x in zip(rows, slow([t for _, t in rows], 200))]
