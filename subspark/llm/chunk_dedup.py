@@ -8,7 +8,7 @@ or the whole text, so that short phrases stay.
 
 Digests have 64 bits and 18 more, and the chunk's length must match as well.
 
-Nulls: a null text is empty and has no chunks; null doc_ids count as one id above all others. Rows that
+Nulls: a null text is empty and has no chunks, and an empty table gives no rows; very long texts are cut whole; null doc_ids count as one id above all others. Rows that
 repeat doc_id and text are one document, and don't repeat each other. Extra columns are carried along by
 `drop_chunks`.
 """
@@ -183,12 +183,13 @@ def op5(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
             for text, some in zip(batch.column(1), batch.column(2), strict=True):
                 raw, found = opened.decompress(text.as_py(), max_output_size=2**31 - 1), some.as_py() or []
                 gone = whole_characters(raw, removed(found, len(raw), min_span))
-                out.append((len(raw), len(found), sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept_bytes(raw, gone)).hexdigest()))
+                removed_chunks = sum(any(a <= x["start"] + x["length"] - 1 and x["start"] < b for a, b in gone) for x in found) if gone else 0
+                out.append((len(raw), removed_chunks, sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept_bytes(raw, gone)).hexdigest()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c) for c in zip(*out, strict=True))],
-                names=["doc_id", "n_bytes", "n_repeated_chunks", "n_removed", "n_spans", "kept_sha256"],
+                names=["doc_id", "n_bytes", "n_removed_chunks", "n_removed", "n_spans", "kept_sha256"],
             )
 
     return rows.select("doc_id", "packed", chunks).mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_repeated_chunks long, n_removed long, n_spans long, kept_sha256 string"
+        run, f"doc_id {kind}, n_bytes long, n_removed_chunks long, n_removed long, n_spans long, kept_sha256 string"
     )
