@@ -44,7 +44,7 @@ def tokenised(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 some = batch.slice(k, 1000)
-                ids = [known.ids(t.as_py() or "") + tail for t in some.column(1)]
+                ids = [x + tail for x in known.ids_of([t or "" for t in some.column(1).to_pylist()])]
                 sizes = [len(x) // 4 for x in ids]
                 ends = list(accumulate(sizes, initial=local))
                 local = ends.pop()

@@ -12,12 +12,14 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 
 #: Words with their stops and capitals, and pre-tokens, that a worker remembers: the first that it meets.
-CACHE, CORES = 150_000, 100_000
+CACHE, CORES = 150_000, 150_000
+#: Characters of texts whose words are looked up together.
+TOGETHER = 1 << 22
 #: Pre-tokens that are encoded as one string.
 JOINED = 100
 #: Characters of a text that are split at once.
@@ -72,9 +74,7 @@ def core(word: str) -> tuple[str, str]:
     signs = word[len(base) :]
     if not base or signs and not _ends_in_letter(base):
         base, signs = word, ""
-    if base.isascii() or max(base) < "\u0250" and "\u0130" not in base:
-        base = base.lower()
-    return base, signs
+    return base.lower() if base.isascii() else base, signs
 
 
 class _Memory(dict):
@@ -97,7 +97,7 @@ class Pieces:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.raw = _Memory()
-        self.cores: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {"": b""}
 
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -124,14 +124,21 @@ class Pieces:
 
     def _learn(self, unknown: set[str]) -> None:
         """Ids of words; remembered while there is room, and else until the next call."""
-        parts = {w: core(w) for w in unknown}
         cores = self.cores
-        new = list({p for pair in parts.values() for p in pair if p and p not in cores})
+        plain = {w: w.lower() if w.isascii() else w for w in unknown if w.isalpha()}
+        signed = {w: core(w) for w in unknown if w not in plain}
+        wanted = set(plain.values())
+        for base, signs in signed.values():
+            wanted.add(base)
+            wanted.add(signs)
+        new = list(filterfalse(cores.__contains__, wanted))
         coded = dict(zip(new, self.encode(new), strict=True))
-        if len(cores) < CORES:
+        full = len(cores) >= CORES
+        if not full:
             cores.update(coded)
-        coded[""] = b""
-        found = {w: (coded[a] if a in coded else cores[a]) + (coded[b] if b in coded else cores[b]) for w, (a, b) in parts.items()}
+        known = (lambda p: coded[p] if p in coded else cores[p]) if full else cores.__getitem__
+        found = dict(zip(plain, map(known, plain.values()), strict=True))
+        found.update((w, known(a) + known(b)) for w, (a, b) in signed.items())
         if len(self.raw) < CACHE:
             self.raw.update(found)
         self.raw.more = found
@@ -146,6 +153,29 @@ class Pieces:
         return b"".join(out)
 
 
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """ids of each text; what is unknown in many texts is learnt together."""
+        out, group, n = [], [], 0
+        for text in texts:
+            if len(text) >= SLICE:
+                out += self._together(group)
+                out.append(self.ids(text))
+                group, n = [], 0
+                continue
+            group.append(next(words(text), []))
+            n += len(text)
+            if n >= TOGETHER:
+                out += self._together(group)
+                group, n = [], 0
+        return out + self._together(group)
+
+    def _together(self, group: list[list[str]]) -> list[bytes]:
+        unknown = set(filterfalse(self.raw.__contains__, chain.from_iterable(group)))
+        if unknown:
+            self._learn(unknown)
+        return [b"".join(map(self.raw.__getitem__, some)) for some in group]
+
+
 _made: dict[int, Pieces] = {}
 
 

@@ -43,6 +43,8 @@ def test_ids_are_the_librarys(library, docs, monkeypatch):
         for row in docs.collect():
             if row.text:
                 assert np.frombuffer(made.ids(row.text), "<u4").tolist() == ids_of(library, row.text)
+        texts = [row.text or "" for row in docs.collect()]
+        assert [np.frombuffer(x, "<u4").tolist() for x in made.ids_of(texts)] == [ids_of(library, t) for t in texts]
 
 
 def test_ids_of_random_unicode_are_the_librarys(library):
