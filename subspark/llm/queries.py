@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from subspark.llm import chat_format, chunk_dedup, decontaminate, line_dedup, packing, quality_rules, resample, simhash, suffix_dedup, token_counts
+from subspark.llm import chat_format, chunk_dedup, decontaminate, line_dedup, mixing, packing, quality_rules, resample, simhash, suffix_dedup, token_counts
 from subspark.llm.common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_quality_rules": lambda s, d: quality_rules.op8(table(s, d, "documents")).drop("rejected_by"),
         "op9_suffix_dedup": lambda s, d: suffix_dedup.op9(table(s, d, "documents")),
         "op10_line_dedup": lambda s, d: line_dedup.op10(table(s, d, "documents")),
+        "op11_mixing": lambda s, d: mixing.op11(table(s, d, "documents")),
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat_format.ORACLE,
         "op8_quality_rules": quality_rules.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
+        "op11_mixing": mixing.ORACLE,
     }

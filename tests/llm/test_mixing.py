@@ -1,0 +1,105 @@
+import random
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+
+from subspark.llm import mixing
+
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def n_words(text):
+    for c in BLANKS[1:]:
+        text = (text or "").replace(c, " ")
+    return len([w for w in (text or "").split(" ") if w])
+
+
+def slow_targets(sizes):
+    """sizes by source. What is above three times a size is shared again, round after round, in whole fractions."""
+    from fractions import Fraction
+
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    held, shared, free = dict.fromkeys(order, Fraction(0)), Fraction(sum(sizes.values())), set(order)
+    while shared and free:
+        total, given, shared = sum(weight[s] for s in free), shared, Fraction(0)
+        for s in sorted(free, key=str):
+            held[s] += given * weight[s] / total
+        for s in list(free):
+            if held[s] >= 3 * sizes[s]:
+                shared += held[s] - 3 * sizes[s]
+                held[s] = Fraction(3 * sizes[s])
+                free.discard(s)
+    return {s: float(x) for s, x in held.items()}
+
+
+def corpus():
+    rng = random.Random(5)
+    say = lambda n: rng.choice(BLANKS).join(rng.choice(["a", "b c", "d\u0085", "\U0001f600", "eé"]) for _ in range(n))
+    rows = [(i, say(rng.randint(0, 30)), rng.choice(["hot"] * 6 + ["a", "B", "Z", "é", "", None, "￮", "\U0001f600", "tiny"][: 8])) for i in range(300)]
+    rows += [(None, "no id", "a"), (5, "one more", "hot"), rows[3], rows[3], (900, None, "hot"), (901, "", "none"), (902, "x " * 20_000, "hot"), (903, "one", "tiny")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+def test_targets_are_met_exactly(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.op11(docs).collect()
+    assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(i), n_words(t)) for i, t, _ in rows)
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += n_words(t)
+    wanted = slow_targets(sizes)
+    assert any(w == 3 * sizes[s] > 0 for s, w in wanted.items()) and any(w < sizes[s] for s, w in wanted.items())
+    of = {}
+    for i, t, s in rows:
+        of.setdefault((i, n_words(t)), s)
+    taken = Counter()
+    for r in got:
+        s = of[r.doc_id, r.size]
+        assert r.source_size == sizes[s] and r.target == pytest.approx(wanted[s], rel=1e-12) and 0 <= r.taken <= 3 * r.size
+        taken[s] += r.taken
+    assert all(taken[s] == int(wanted[s] + 1e-9) for s in sizes)
+    again = mixing.op11(docs.repartition(2)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
+def test_it_is_its_sql(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", frame.toArrow())
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    expected = con.execute(f"SELECT {', '.join(columns)} FROM ({mixing.ORACLE})").fetchall()
+    assert sorted(map(repr, expected)) == sorted(repr(tuple(r)) for r in mixing.op11(frame).select(*columns).collect())
+
+
+def test_texts_are_mixed_whole_with_all_columns(spark, rows):
+    frame = spark.createDataFrame([(s, i, t, 1.5, "x") for i, t, s in rows], "source string, doc_id long, text string, `a.b` double, copy string").repartition(4)
+    got = mixing.mix(frame)
+    assert got.columns == ["source", "doc_id", "text", "a.b", "copy", "copy_"]
+    found = Counter()
+    cut = 0
+    texts = {(i, t) for i, t, _ in rows}
+    for r in got.collect():
+        found[r.source] += n_words(r.text)
+        assert r.copy == "x" and r["a.b"] == 1.5
+        if (r.doc_id, r.text) not in texts:
+            cut += 1
+            assert any(i == r.doc_id and t.startswith(r.text) for i, t in texts if t)
+    expected = Counter()
+    of = {(i, n_words(t)): s for i, t, s in reversed(rows)}
+    for r in mixing.op11(frame).collect():
+        expected[of[r.doc_id, r.size]] += r.taken
+    assert +found == +expected and 0 < cut <= len(set(of.values()))
+
+
+def test_empty_tables_string_ids_and_no_words(spark):
+    assert mixing.op11(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+    some = spark.createDataFrame([("x", None, "a"), ("y", " ", None)], "doc_id string, text string, source string")
+    assert sorted(tuple(r) for r in mixing.op11(some).collect()) == [("x", 0, 0, 0.0, 0), ("y", 0, 0, 0.0, 0)]
+    assert mixing.mix(some).collect() == []
