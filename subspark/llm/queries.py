@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from subspark.llm import chat_format, chunk_dedup, decontaminate, line_dedup, mixing, packing, quality_rules, resample, simhash, suffix_dedup, token_counts
+from subspark.llm import chat_format, chunk_dedup, decontaminate, divergence, line_dedup, mixing, packing, quality_rules, resample, simhash, suffix_dedup, token_counts
 from subspark.llm.common import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_suffix_dedup": lambda s, d: suffix_dedup.op9(table(s, d, "documents")),
         "op10_line_dedup": lambda s, d: line_dedup.op10(table(s, d, "documents")),
         "op11_mixing": lambda s, d: mixing.op11(table(s, d, "documents")),
+        "op12_divergence": lambda s, d: divergence.op12(table(s, d, "documents")),
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality_rules": quality_rules.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
         "op11_mixing": mixing.ORACLE,
+        "op12_divergence": divergence.ORACLE,
     }
