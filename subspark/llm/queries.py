@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from subspark.llm import chat_format, chunk_dedup, decontaminate, divergence, line_dedup, mixing, packing, quality_rules, resample, simhash, suffix_dedup, token_counts
+from subspark.llm import chat_format, chunk_dedup, decontaminate, divergence, line_dedup, mixing, packing, quality_rules, resample, search, simhash, suffix_dedup, token_counts
 from subspark.llm.common import table
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_line_dedup": lambda s, d: line_dedup.op10(table(s, d, "documents")),
         "op11_mixing": lambda s, d: mixing.op11(table(s, d, "documents")),
         "op12_divergence": lambda s, d: divergence.op12(table(s, d, "documents")),
+        "op13_search": lambda s, d: search.op13(table(s, d, "documents"), table(s, d, "benchmark")),
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_line_dedup": line_dedup.ORACLE,
         "op11_mixing": mixing.ORACLE,
         "op12_divergence": divergence.ORACLE,
+        "op13_search": search.ORACLE,
     }

@@ -1,0 +1,84 @@
+import random
+import re
+from collections import Counter, defaultdict
+from math import floor, log
+
+import numpy as np
+import pytest
+
+from subspark.llm import search
+
+
+def terms_of(text):
+    return re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def slow_ranks(docs, items, top=50):
+    """Each document against each item, in Python's whole numbers."""
+    found = [(i, terms_of(t)) for i, t in docs]
+    n_docs, words = sum(bool(t) for _, t in found), sum(len(t) for _, t in found)
+    holders = Counter(t for _, ts in found for t in set(ts))
+    asked = defaultdict(set)
+    for i, t in items:
+        asked[i] |= set(terms_of(t))
+    out = []
+    for item, own in asked.items():
+        scores = []
+        for doc_id, ts in found:
+            tf = Counter(ts)
+            m = 100 - 50 + (50 * len(ts) * n_docs) // words if words else 0
+            score = sum(floor(1000 * log((2 * n_docs + 2) / (2 * holders[t] + 1))) * (10**9 * tf[t] // (1000 * tf[t] + 20 * m)) for t in own if tf[t])
+            if score > 0:
+                scores.append((-score, doc_id is None, doc_id or 0, doc_id))
+        for rank, (score, _, _, doc_id) in enumerate(sorted(scores, key=lambda x: x[:3])[:top], 1):
+            out.append((item, rank, doc_id, -score))
+    return sorted(out, key=str)
+
+
+def corpus():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abc1é\U0001f600") for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    say = lambda n: rng.choice([" ", "-", "\n"]).join(rng.choice(words).upper() if rng.random() < 0.2 else rng.choice(words) for _ in range(n))
+    docs = [(rng.randint(-500, 10**12), say(rng.randint(0, 40))) for _ in range(300)]
+    docs += [(i, docs[7][1]) for i in range(1000, 1200)] + [(None, docs[7][1]), (None, None), (3, ""), (4, "a " * 30_000 + "b"), docs[9], docs[9]]
+    items = [(k, say(rng.randint(1, 12))) for k in range(15)] + [(20, docs[7][1]), (21, None), (22, "?"), (23, "nowhere else"), (24, "a"), (None, words[0]), (25, words[1]), (25, words[2]), (26, " ".join(words))]
+    return docs, items
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 37, "query_words": 20}, {"top": 3}])
+def test_ranks_are_brute_force(spark, options):
+    docs, items = corpus()
+    frame = spark.createDataFrame([(*r, 0.5) for r in docs], "doc_id long, text string, score double").repartition(4)
+    asked = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, rank int").repartition(2)
+    got = search.ranked(frame, asked, **options)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, got.collect()), key=str) == slow_ranks(docs, items, options.get("top", 50))
+
+
+def test_adders_and_slices_are_sums_and_sorting():
+    rng = np.random.default_rng(6)
+    n_docs, n_terms = 130, 9
+    dense = rng.integers(0, 1 << 36, (n_terms, n_docs)) * (rng.random((n_terms, n_docs)) < 0.4)
+    dense[:, 100:] = dense[:, 99:100]  # ties
+    at, doc = np.nonzero(dense)
+    terms, slices = search.sliced(at, doc, dense[at, doc], n_docs)
+    assert terms.tolist() == list(range(n_terms))
+    rows = [np.arange(9), np.array([1, 4, 7]), np.array([2])]
+    sums = search.added(slices, rows)
+    wanted = np.array([dense[r].sum(axis=0) for r in rows])
+    bits = np.unpackbits(sums.view(np.uint8), axis=2, bitorder="little")[:, :, :n_docs].astype(np.int64)
+    assert (sum(b << k for k, b in enumerate(bits)) == wanted).all()
+    for top in (1, 5, 20, 60, 200):
+        mask = np.unpackbits(search.best(sums, top).view(np.uint8), axis=1, bitorder="little")[:, :n_docs]
+        for own, found in zip(wanted, mask):
+            order = sorted((-s, d) for d, s in enumerate(own.tolist()) if s)[:top]
+            assert np.flatnonzero(found).tolist() == sorted(d for _, d in order)
+
+
+def test_empty_tables_and_string_ids(spark):
+    docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
+    assert search.op13(docs, items).collect() == []
+    assert search.op13(docs, items.limit(0)).collect() == []
+    some = spark.createDataFrame([("y", "a b"), ("x", "a b"), (None, "a b"), ("z", "c c c")], "doc_id string, text string")
+    named = spark.createDataFrame([("q", "A")], "item_id string, text string")
+    assert [(r.item_id, r["rank"], r.doc_id) for r in search.op13(some, named).collect()] == [("q", 1, "x"), ("q", 2, "y"), ("q", 3, None)]
