@@ -34,7 +34,7 @@ from subspark.llm.terms import byte_table, split
 
 TOP = 50
 #: Documents of a block of the index, at most; queries that a block is searched for at once; words of queries that are broadcast at a time.
-BLOCK, AT_ONCE, QUERY_WORDS = 2048, 256, 2_000_000
+BLOCK, AT_ONCE, QUERY_WORDS = 1024, 256, 2_000_000
 #: Damping of frequencies, and the share of a document's length in it, in per cent.
 DAMPING, LENGTH_SHARE = 20, 50
 TABLE = byte_table(UPPER + LOWER + "0123456789")
@@ -106,28 +106,37 @@ def sliced(at: np.ndarray, doc: np.ndarray, impact: np.ndarray, n_docs: int) ->
     return terms, out
 
 
+def _blocks(batches, docs: int, words: int, weight: np.ndarray, block: int):
+    """(number, ids, terms, slices) of each block of a task's documents, which lie in order of their ids."""
+    part, k = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for low in range(0, batch.num_rows, block):
+            some = batch.slice(low, block)
+            some = some.take(pc.sort_indices(some.column(0), null_placement="at_end"))
+            lengths = some.column(2).value_lengths().to_numpy()
+            at, tf = some.column(2).flatten().to_numpy(), some.column(3).flatten().to_numpy()
+            impact = impacts(some.column(1).to_pylist(), lengths, tf, weight[at], docs, words)
+            terms, slices = sliced(at, np.repeat(np.arange(len(lengths)), lengths), impact, some.num_rows)
+            yield (part << 32) + k, some.column(0), terms, slices
+            k += 1
+
+
 def index(posted: DataFrame, docs: int, words: int, weight: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """(block, ids array, terms array<int>, bits int, slices binary): the bit-sliced index, a row for each block. The
-    documents of a block lie in order of their ids."""
+    """(block, ids array, terms array<int>, bits int, slices binary): the bit-sliced index, a row for each block, to be
+    written and searched more than once."""
     shared = posted.sparkSession.sparkContext.broadcast(weight)
     kind = posted.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        part, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for low in range(0, batch.num_rows, block):
-                some = batch.slice(low, block)
-                some = some.take(pc.sort_indices(some.column(0), null_placement="at_end"))
-                lengths = some.column(2).value_lengths().to_numpy()
-                at, tf = some.column(2).flatten().to_numpy(), some.column(3).flatten().to_numpy()
-                impact = impacts(some.column(1).to_pylist(), lengths, tf, shared.value[at], docs, words)
-                terms, slices = sliced(at, np.repeat(np.arange(len(lengths)), lengths), impact, some.num_rows)
-                ids = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(0))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([(part << 32) + k], pa.int64()), ids, pa.array([terms.tolist()], pa.list_(pa.int32())), pa.array([slices.shape[1]], pa.int32()), pa.array([slices.tobytes()], pa.binary())],
-                    names=["block", "ids", "terms", "bits", "slices"],
-                )
-                k += 1
+        for number, ids, terms, slices in _blocks(batches, docs, words, shared.value, block):
+            rows = [
+                pa.array([number], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                pa.array([terms.tolist()], pa.list_(pa.int32())),
+                pa.array([slices.shape[1]], pa.int32()),
+                pa.array([slices.tobytes()], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(rows, names=["block", "ids", "terms", "bits", "slices"])
 
     return posted.mapInArrow(run, f"block long, ids array<{kind}>, terms array<int>, bits int, slices binary")
 
@@ -171,36 +180,51 @@ def best(sums: np.ndarray, top: int) -> np.ndarray:
     return taken
 
 
+def _best_of(blocks, asked: list[tuple[object, list[int]]], top: int):
+    """Record batches (item_id, block, doc_id, score) of the best documents of each block for each query."""
+    names = pa.array([q for q, _ in asked])
+    for number, ids, terms, slices in blocks:
+        place = {t: k for k, t in enumerate(terms.tolist())}
+        found = [(k, rows) for k, (_, own) in enumerate(asked) if (rows := [place[t] for t in own if t in place])]
+        found.sort(key=lambda x: -len(x[1]))
+        for low in range(0, len(found), AT_ONCE):
+            some = found[low : low + AT_ONCE]
+            sums = added(slices, [np.array(rows) for _, rows in some])
+            mask = np.unpackbits(best(sums, top).view(np.uint8), axis=1, bitorder="little")
+            q, d = np.nonzero(mask)
+            score = np.zeros(len(q), np.int64)
+            for b, s in enumerate(sums):
+                score |= ((s[q, d // 64] >> (d % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << b
+            own = np.array([k for k, _ in some])[q]
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(own)), pa.array(np.full(len(q), number)), ids.take(pa.array(d)), pa.array(score)], names=["item_id", "block", "doc_id", "score"]
+            )
+
+
 def searched(indexed: DataFrame, queries: list[tuple[object, list[int]]], item_type: str, top: int = TOP) -> DataFrame:
-    """queries: (item_id, terms by number). (item_id, block, doc_id, score): the best documents of each block."""
+    """queries: (item_id, terms by number). (item_id, block, doc_id, score): the best documents of each block of an index."""
     shared = indexed.sparkSession.sparkContext.broadcast(queries)
     id_type = indexed.schema["ids"].dataType.elementType.simpleString()
 
-    def run(batches):
-        asked = shared.value
-        names = pa.array([q for q, _ in asked])
+    def blocks(batches):
         for batch in batches:
-            for block, ids, terms, bits, raw in zip(*batch.columns, strict=True):
-                ids, terms = ids.values, terms.values.to_numpy()
-                width = -(-len(ids) // 64)
-                slices = np.frombuffer(raw.as_buffer(), np.uint64).reshape(len(terms), bits.as_py(), width)
-                place = {t: k for k, t in enumerate(terms.tolist())}
-                found = [(k, rows) for k, (_, own) in enumerate(asked) if (rows := [place[t] for t in own if t in place])]
-                found.sort(key=lambda x: -len(x[1]))
-                for low in range(0, len(found), AT_ONCE):
-                    some = found[low : low + AT_ONCE]
-                    sums = added(slices, [np.array(rows) for _, rows in some])
-                    mask = np.unpackbits(best(sums, top).view(np.uint8), axis=1, bitorder="little")
-                    q, d = np.nonzero(mask)
-                    score = np.zeros(len(q), np.int64)
-                    for b, s in enumerate(sums):
-                        score |= ((s[q, d // 64] >> (d % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << b
-                    own = np.array([k for k, _ in some])[q]
-                    yield pa.RecordBatch.from_arrays(
-                        [names.take(pa.array(own)), pa.repeat(block, len(q)), ids.take(pa.array(d)), pa.array(score)], names=["item_id", "block", "doc_id", "score"]
-                    )
-
-    return indexed.mapInArrow(run, f"item_id {item_type}, block long, doc_id {id_type}, score long")
+            for number, ids, terms, bits, raw in zip(*batch.columns, strict=True):
+                shape = len(terms), bits.as_py(), -(-len(ids) // 64)
+                yield number.as_py(), ids.values, terms.values.to_numpy(), np.frombuffer(raw.as_buffer(), np.uint64).reshape(shape)
+
+    return indexed.mapInArrow(lambda batches: _best_of(blocks(batches), shared.value, top), f"item_id {item_type}, block long, doc_id {id_type}, score long")
+
+
+def searched_once(posted: DataFrame, docs: int, words: int, weight: np.ndarray, queries: list[tuple[object, list[int]]], item_type: str, top: int = TOP, block: int = BLOCK) -> DataFrame:
+    """The same over an index that isn't kept: a block is built and searched in one task, and then let go."""
+    shared = posted.sparkSession.sparkContext.broadcast((weight, queries))
+    id_type = posted.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        weight, asked = shared.value
+        yield from _best_of(_blocks(batches, docs, words, weight, block), asked, top)
+
+    return posted.mapInArrow(run, f"item_id {item_type}, block long, doc_id {id_type}, score long")
 
 
 def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, block: int = BLOCK, query_words: int = QUERY_WORDS) -> DataFrame:
@@ -217,7 +241,7 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, block: int = BLOCK
             of.setdefault(r.item_id, []).append(terms.setdefault(r.term.encode(), len(terms)))
         posted = postings(docs, list(terms))
         n, total, weight = weights(posted, len(terms))
-        parts.append(searched(index(posted, n, total, weight, block), list(of.items()), kind, top))
+        parts.append(searched_once(posted, n, total, weight, list(of.items()), kind, top, block))
     if not parts:
         return items.sparkSession.createDataFrame([], f"item_id {kind}, rank int, doc_id {id_type}, score long")
     found = parts[0]

@@ -75,6 +75,19 @@ def test_adders_and_slices_are_sums_and_sorting():
             assert np.flatnonzero(found).tolist() == sorted(d for _, d in order)
 
 
+def test_an_index_that_is_kept_finds_the_same(spark):
+    docs, _ = corpus()
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    terms = [b"a", "\U0001f600".encode(), b"ab", b"nowhere"]
+    posted = search.postings(frame, terms)
+    n, words, weight = search.weights(posted, len(terms))
+    queries = [("one", [0]), ("two", [1, 2, 3]), ("none", [3])]
+    kept = search.index(posted, n, words, weight, 64)
+    once = search.searched_once(posted, n, words, weight, queries, "string", 5, 64)
+    rows = [sorted(map(tuple, f.collect()), key=str) for f in (search.searched(kept, queries, "string", 5), once)]
+    assert rows[0] == rows[1] and {r[0] for r in rows[0]} == {"one", "two"}
+
+
 def test_empty_tables_and_string_ids(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert search.op13(docs, items).collect() == []
