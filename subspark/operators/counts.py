@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subspark.functions import text as T
+from subspark.plans.store import stored
 
 
 def doc_lines(docs: DataFrame, *keep: str) -> DataFrame:
@@ -49,24 +50,85 @@ def frequencies(vocab: DataFrame, counted: DataFrame) -> DataFrame:
     return vocab.join(counted, "word", "left").select(*vocab.columns, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def kth_count(rows: DataFrame, by: str, most: int) -> float | int | None:
+    """The largest value that comes after the `most` largest of column `by`, or None if there are no more: rows above it
+    number `most` at most. Ranges of values narrow around it; no list of rows is sorted."""
+    found = _kth(rows.select((-F.col(by)).alias("v")).filter("v is not null"), most + 1)
+    return None if found is None else -found
+
+
+def _kth(values: DataFrame, k: int, least: int = 5_000, shares: int = 50):
+    """The k-th smallest of column v (from 1), or None if there are fewer."""
+    inside = values
+    while True:
+        size, low, high = inside.agg(F.count("*"), F.min("v"), F.max("v")).first()
+        if size < k:
+            return None
+        if low == high:
+            return low
+        if size <= least:
+            return sorted(r.v for r in inside.collect())[k - 1]
+        cuts = inside.agg(F.percentile_approx("v", [i / shares for i in range(shares)], 10_000)).first()[0]
+        cuts = sorted({c for c in cuts if c < high} | {low})  # of values that occur; none is the largest
+        place = F.lit(0)
+        for c in cuts:
+            place = place + (F.col("v") > c).cast("int")
+        counted = dict(inside.groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect())
+        before, at = 0, 0
+        while before + counted.get(at, 0) < k:
+            before += counted.get(at, 0)
+            at += 1
+        inside = inside.filter(place == at)
+        k -= before
+
+
+def least_rows(rows: DataFrame, most: int, by: str, key: str) -> DataFrame:
+    """The `most` rows of least `by`, equal ones in order of the distinct strings of `key`, by a condition on both."""
+    if most <= 0:
+        return rows.limit(0)
+    last = _kth(rows.select(F.col(by).alias("v")), most)
+    if last is None:
+        return rows
+    before = rows.filter(F.col(by) < last).count()
+    end = _kth_string(rows.filter(F.col(by) == last).select(F.col(key).alias("s")), most - before)
+    return rows.filter((F.col(by) < last) | ((F.col(by) == last) & (F.col(key) <= end)))
+
+
+def _kth_string(strings: DataFrame, k: int, least: int = 5_000, step: int = 2) -> str:
+    """The k-th smallest of column s; beginnings of it grow by `step` characters."""
+    start, inside = "", strings
+    while inside.limit(least + 1).count() > least:
+        heads = inside.groupBy(F.substring("s", 1, len(start) + step).alias("head")).agg(F.count("*").alias("n")).collect()
+        for head, n in sorted(heads):
+            if k <= n:
+                break
+            k -= n
+        start = head
+        inside = inside.filter(F.substring("s", 1, len(start)) == start) if len(start) else inside.filter("s = ''")
+        if inside.filter(F.char_length("s") > len(start)).limit(1).count() == 0:
+            return start
+    return sorted(r.s for r in inside.collect())[k - 1]
+
+
 def top_words(counted: DataFrame, most: int) -> DataFrame:
     """(id, word, n): ids in falling order of count, then by word."""
-    from pyspark.sql import Window
+    best = least_rows(counted.withColumn("cost", -F.col("n")), most, "cost", "word")
+    return numbered(best, F.asc("cost"), F.asc("word")).select(F.col("id").cast("int").alias("id"), "word", "n")
 
-    best = counted.orderBy(F.desc("n"), "word").limit(most)
-    return best.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1)  # `most` rows
 
+def numbered(rows: DataFrame, *order) -> DataFrame:
+    """rows with id, their place in this order from 0. They are dealt out by ranges of it; a place is that in the range,
+    behind the rows of all ranges before."""
+    dealt = stored(rows.repartitionByRange(*order).withColumn("range_of_row", F.spark_partition_id()), "ranges")
+    before = F.sum("rows").over(Window.orderBy("range_of_row").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    offsets = dealt.groupBy("range_of_row").agg(F.count("*").alias("rows")).select("range_of_row", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range_of_row").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(offsets), "range_of_row").select(*rows.columns, (F.col("before") + place).alias("id"))
 
-def ranked(rows: DataFrame, key: str, prefix: int = 2) -> DataFrame:
-    """rows with id: their place in order of the distinct strings of `key`. Rows are numbered within each beginning of
-    `prefix` characters, after all rows of smaller beginnings, of which there are few."""
-    from pyspark.sql import Window
 
-    start = F.substring(key, 1, prefix).alias("start")
-    before = F.sum("n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = rows.groupBy(start).agg(F.count("*").alias("n")).select("start", F.coalesce(before, F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("start").orderBy(key)) - 1
-    return rows.withColumn("start", start).join(offsets, "start").select(*rows.columns, (F.col("before") + place).alias("id"))
+def ranked(rows: DataFrame, key: str) -> DataFrame:
+    """rows with id: their place in order of the distinct strings of `key`."""
+    return numbered(rows, F.asc(key))
 
 
 def piece_frequency(segmented: DataFrame) -> DataFrame:

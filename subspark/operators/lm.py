@@ -95,7 +95,9 @@ def posteriors(lm: DataFrame) -> DataFrame:
 
 def bottom(counts: DataFrame, most: int, by: str = "n", key: str = "token") -> DataFrame:
     """The `most` rows of least count among tokens of over one character."""
-    return counts.filter((F.char_length(key) > 1) & (F.col(key) != BOUNDARY)).orderBy(by, key).limit(most)
+    from subspark.operators.counts import least_rows
+
+    return least_rows(counts.filter((F.char_length(key) > 1) & (F.col(key) != BOUNDARY)), most, by, key)
 
 
 def reduced(vocab: DataFrame, lm: DataFrame, keep: int) -> DataFrame:

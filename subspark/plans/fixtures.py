@@ -3,8 +3,9 @@
 lines: documents.text split at line feeds. tokens: all that stands between white space in them, with
 counts; segmentation by scores, language models and decoders take these. words: the commonest tokens, as
 many as there are embeddings, with id = rank - 1 and the embedding of that id: a word without a vector
-can't take part in what needs vectors or a fixed word vocabulary. The projection is the same matrix.
-Edges: all substrings of up to LONGEST code points of each word, as often as they occur.
+can't take part in what needs vectors. The projection is the same matrix. vocabulary: the commonest VOCABULARY
+tokens, for what needs a fixed word vocabulary without vectors. Edges: all substrings of up to LONGEST code
+points of each word, as often as they occur.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from subspark.functions import text as T
 from subspark.operators import cooc, counts, linalg, lm, viterbi
 from subspark.plans.store import stored
 
-LONGEST = 4
+LONGEST, VOCABULARY = 10, 50_000
 
 
 class Inputs:
@@ -55,9 +56,14 @@ class Inputs:
 
         return self._once("words", make)
 
-    def edges(self) -> DataFrame:
+    def vocabulary(self) -> DataFrame:
+        """(id, word, n)"""
+        return self._once("vocabulary", lambda: counts.top_words(self.tokens(), VOCABULARY))
+
+    def edges(self, words: DataFrame | None = None) -> DataFrame:
         """(subword, word, weight)"""
-        return self.words().select(F.explode(T.substrings(F.col("word"), LONGEST)).alias("subword"), "word", F.lit(1.0).alias("weight"))
+        words = self.words() if words is None else words
+        return words.select(F.explode(T.substrings(F.col("word"), LONGEST)).alias("subword"), "word", F.lit(1.0).alias("weight"))
 
     def subwords(self) -> DataFrame:
         """(subword, id): the distinct substrings in order."""
@@ -79,8 +85,9 @@ class Inputs:
     def projection(self) -> DataFrame:
         return linalg.long_form(self.vectors())
 
-    def cooc(self, window: int = 3) -> DataFrame:
-        return cooc.word_word(self.lines(), self.words().select("word", "id"), window)
+    def cooc(self, window: int = 3, words: DataFrame | None = None) -> DataFrame:
+        words = self.words() if words is None else words
+        return cooc.word_word(self.lines(), words.select("word", "id"), window)
 
     def stats(self) -> DataFrame:
         ids = self.words().select("word", F.col("id").alias("word_id"))
@@ -94,16 +101,18 @@ class Inputs:
     def piece_scores(self) -> DataFrame:
         """(piece, score): log share of each substring among all, by how often it stands in words."""
         weighted = self.tokens().select(F.explode(T.substrings(F.col("word"), LONGEST)).alias("piece"), "n")
-        sums = weighted.groupBy("piece").agg(F.sum("n").alias("n")).filter((F.char_length("piece") > 1) | (F.col("piece") != "e"))
+        sums = weighted.groupBy("piece").agg(F.sum("n").alias("n"))
         total = sums.agg(F.sum("n").alias("total"))
         return sums.crossJoin(F.broadcast(total)).select("piece", F.round(F.log(F.col("n") / F.col("total")), 9).alias("score"))
 
+    def scores(self) -> DataFrame:
+        return self._once("scores", self.piece_scores)
+
     def segmented(self, mode: str = "sum") -> DataFrame:
         """(word, n, pieces, score), decoded once."""
 
         def make():
-            words = viterbi.scored_words(self.tokens(), self.piece_scores(), LONGEST)
-            return viterbi.segment(words, mode, False, LONGEST)
+            return viterbi.best_cuts(self.tokens(), self.scores(), mode, False, LONGEST)
 
         return self._once(f"segmented-{mode}", make)
 

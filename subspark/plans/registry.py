@@ -39,7 +39,7 @@ def ws_word_counts(x):
 
 
 def word_freq_invocab(x):
-    return counts.frequencies(x.words().select("word"), counts.word_counts(x.lines()))
+    return counts.frequencies(x.vocabulary().select("word"), counts.word_counts(x.lines()))
 
 
 def ngram_corpus(x):
@@ -59,11 +59,11 @@ def ngram_distinct(x):
 
 
 def _spans(x, wordpiece=False):
-    return x.words().select("word", F.explode(T.spans(F.col("word"), LONGEST, wordpiece)).alias("s")).select("word", F.col("s.start").alias("start"), F.col("s.piece").alias("piece"))
+    return x.vocabulary().select("word", F.explode(T.spans(F.col("word"), LONGEST, wordpiece)).alias("s")).select("word", F.col("s.start").alias("start"), F.col("s.piece").alias("piece"))
 
 
 def substrings_of_vocab(x):
-    found = x.words().select("word", F.explode(T.substrings(F.col("word"), 10)).alias("piece"))
+    found = x.vocabulary().select("word", F.explode(T.substrings(F.col("word"), LONGEST)).alias("piece"))
     return counts.count(found, "word", "piece")
 
 
@@ -81,11 +81,11 @@ def substrings_excluded(x):
 
 
 def cooc_word_word(x):
-    return x.cooc(3)
+    return x.cooc(3, x.vocabulary())
 
 
 def cooc_window_1(x):
-    return x.cooc(1)
+    return x.cooc(1, x.vocabulary())
 
 
 def context_subword_word(x):
@@ -97,7 +97,7 @@ def context_filtered(x):
 
 
 def _halves(x):
-    return [cooc.subword_word(x.lines().filter(f"pmod(coalesce(doc_id, 0), 2) = {k}"), x.words(), 1, 2) for k in (0, 1)]
+    return [cooc.subword_word(x.lines().filter(f"pmod(coalesce(doc_id, 0), 2) = {k}"), x.words(), 3, LONGEST, x.subwords()) for k in (0, 1)]
 
 
 def merge_contexts_sum(x):
@@ -116,11 +116,11 @@ def concat_embeddings(x):
 
 
 def allowed_edges_inverse(x):
-    return x.edges().groupBy("subword").agg(F.count("*").alias("n_edges"), F.count_distinct("word").alias("n_words"))
+    return x.edges(x.vocabulary()).groupBy("subword").agg(F.count("*").alias("n_edges"), F.count_distinct("word").alias("n_words"))
 
 
 def weighted_edges(x):
-    return x.edges().join(x.words().select("word", "n"), "word").groupBy("subword", "word").agg(F.sum(F.col("weight") * F.col("n")).cast("long").alias("n"))
+    return x.edges(x.vocabulary()).join(x.vocabulary().select("word", "n"), "word").groupBy("subword", "word").agg(F.sum(F.col("weight") * F.col("n")).cast("long").alias("n"))
 
 
 def subword_cooc(x):
@@ -161,11 +161,10 @@ def viterbi_maxmin(x):
 
 
 def viterbi_wordpiece(x):
-    scores = x.piece_scores()
+    scores = x.scores()
     inside = scores.select(F.concat(F.lit("##"), "piece").alias("piece"), F.round(F.col("score") - 0.5, 9).alias("score"))
     both = scores.unionByName(inside).groupBy("piece").agg(F.max("score").alias("score"))  # some words have ## themselves
-    words = viterbi.scored_words(x.tokens().select("word"), both, LONGEST, wordpiece=True)
-    return _rounded(_joined(viterbi.segment(words, "sum", True, LONGEST)), "score")
+    return _rounded(_joined(viterbi.best_cuts(x.tokens().select("word"), both, "sum", True, LONGEST)), "score")
 
 
 def viterbi_cosine(x):
@@ -231,7 +230,7 @@ def reduced_vocab(x):
 
 def expected_counts(x):
     words = x.tokens().select("word")
-    return _rounded(viterbi.expected_counts(viterbi.scored_words(words, x.piece_scores(), LONGEST), LONGEST), "share")
+    return _rounded(viterbi.expected_counts(viterbi.scored_words(words, x.scores(), LONGEST), LONGEST), "share")
 
 
 def _rounded_lm(x):
@@ -264,7 +263,7 @@ def sampled_bigrams(x):
 
 def sampled_options(x):
     """For each word the pieces of its five best segmentations among ten drawn ones."""
-    words = viterbi.scored_words(x.tokens().select("word"), x.piece_scores(), LONGEST)
+    words = viterbi.scored_words(x.tokens().select("word"), x.scores(), LONGEST)
     return _joined(viterbi.options(viterbi.sampled(words, draws=10, seed=3, longest=LONGEST), 5))
 
 

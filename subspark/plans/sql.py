@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from subspark.functions.text import PRETOKEN
-from subspark.plans.fixtures import LONGEST
+from subspark.plans.fixtures import LONGEST, VOCABULARY
 
 CTES = {
     "lines": "SELECT doc_id, lang, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents)",
@@ -11,11 +11,14 @@ CTES = {
     "pretoks": f"SELECT doc_id, lang, line_no, unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM (SELECT *, regexp_extract_all('▁' || replace(line, ' ', '▁'), '{PRETOKEN}') AS ts FROM lines)",
     "counted": "SELECT token AS word, count(*)::BIGINT AS n FROM toks GROUP BY token",
     "words": "SELECT id::INT AS id, word, n, embedding::DOUBLE[] AS vec FROM (SELECT *, row_number() OVER (ORDER BY n DESC, word) - 1 AS id FROM counted) JOIN embeddings ON vec_id = id",
+    "vocab": f"SELECT id::INT AS id, word, n FROM (SELECT *, row_number() OVER (ORDER BY n DESC, word) - 1 AS id FROM counted) WHERE id < {VOCABULARY}",
+    "vedges": f"SELECT word, n, b - 1 AS s, substr(word, b, l) AS piece FROM (SELECT *, unnest(range(1, length(word) - l + 2)) AS b FROM (SELECT *, unnest(range(1, least(length(word), {LONGEST}) + 1)) AS l FROM vocab))",
     "size": "SELECT count(*) AS v FROM embeddings",
     "edges": f"SELECT word, id, n, vec, b - 1 AS s, substr(word, b, l) AS piece FROM (SELECT *, unnest(range(1, length(word) - l + 2)) AS b FROM (SELECT *, unnest(range(1, least(length(word), {LONGEST}) + 1)) AS l FROM words))",
     "subs": "SELECT piece AS subword, (row_number() OVER (ORDER BY piece) - 1)::INT AS id FROM (SELECT DISTINCT piece FROM edges)",
     "near3": "SELECT a.doc_id, a.token AS word, b.token AS context FROM toks a JOIN toks b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 3",
     "near1": "SELECT a.doc_id, a.token AS word, b.token AS context FROM toks a JOIN toks b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND abs(a.pos - b.pos) = 1",
+    "vcooc": "SELECT a.id AS row_id, b.id AS col_id, count(*)::BIGINT AS n FROM near3 JOIN vocab a ON near3.word = a.word JOIN vocab b ON near3.context = b.word GROUP BY ALL",
     "cooc3": "SELECT a.id AS row_id, b.id AS col_id, count(*)::BIGINT AS n FROM near3 JOIN words a ON near3.word = a.word JOIN words b ON near3.context = b.word GROUP BY ALL",
     "stats": "SELECT piece AS subword, col_id, sum(k * c.n)::BIGINT AS n FROM (SELECT id, piece, count(*) AS k FROM edges GROUP BY ALL) e JOIN cooc3 c ON e.id = c.row_id GROUP BY ALL",
     "proj": "SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings",
@@ -24,14 +27,14 @@ CTES = {
     "emb": "SELECT s.subword, sums.dim, (ln(1e-5) - ln(coalesce(total, 0) + v * 1e-5)) * column_sum + coalesce(added, 0) AS x FROM subs s CROSS JOIN sums CROSS JOIN size LEFT JOIN totals t ON s.subword = t.subword LEFT JOIN (SELECT subword, dim, sum((ln(n + 1e-5) - ln(1e-5)) * x) AS added FROM stats JOIN proj ON col_id = id GROUP BY ALL) a ON s.subword = a.subword AND sums.dim = a.dim",
     "tedges": f"SELECT word, n, b - 1 AS s, substr(word, b, l) AS piece FROM (SELECT *, unnest(range(1, length(word) - l + 2)) AS b FROM (SELECT *, unnest(range(1, least(length(word), {LONGEST}) + 1)) AS l FROM counted))",
     "psubs": "SELECT piece AS subword, (row_number() OVER (ORDER BY piece) - 1)::BIGINT AS id FROM (SELECT DISTINCT piece FROM tedges)",
-    "sc": "SELECT piece, round(ln(n / sum(n) OVER ()), 9) AS score FROM (SELECT piece, sum(n)::BIGINT AS n FROM tedges GROUP BY piece HAVING length(piece) > 1 OR piece <> 'e')",
+    "sc": "SELECT piece, round(ln(n / sum(n) OVER ()), 9) AS score FROM (SELECT piece, sum(n)::BIGINT AS n FROM tedges GROUP BY piece)",
     "wsc": "SELECT piece, max(score) AS score FROM (SELECT piece, score FROM sc UNION ALL (SELECT '##' || piece, round(score - 0.5, 9) FROM sc)) GROUP BY piece",
     "pv": "SELECT subword AS piece, embedding::DOUBLE[] AS vec FROM subs JOIN embeddings ON vec_id = subs.id % (SELECT v FROM size)",
     "cos": "SELECT DISTINCT w.word, e.piece, list_cosine_similarity(w.vec, pv.vec) - 1 AS score FROM words w JOIN edges e ON w.word = e.word JOIN pv ON e.piece = pv.piece",
 }
 NEEDS = {
     "toks": ["lines"], "pretoks": ["lines"], "counted": ["toks"], "words": ["counted"], "edges": ["words"], "subs": ["edges"], "near3": ["toks"],
-    "near1": ["toks"], "cooc3": ["near3", "words"], "stats": ["edges", "cooc3"], "sums": ["proj"], "totals": ["stats"], "emb": ["subs", "sums", "size", "totals", "proj"],
+    "near1": ["toks"], "vocab": ["counted"], "vedges": ["vocab"], "vcooc": ["near3", "vocab"], "cooc3": ["near3", "words"], "stats": ["edges", "cooc3"], "sums": ["proj"], "totals": ["stats"], "emb": ["subs", "sums", "size", "totals", "proj"],
     "tedges": ["counted"], "psubs": ["tedges"], "sc": ["tedges"], "wsc": ["sc"], "pv": ["subs", "size"], "cos": ["edges", "pv"],
 }
 
@@ -77,7 +80,7 @@ CTES |= {
     "lm0": "SELECT prev, token, ln(n) - ln(sum(n) OVER (PARTITION BY prev) + nv) AS logp, -ln(sum(n) OVER (PARTITION BY prev) + nv) AS default_logp FROM bib, nv",
     "lm1": "SELECT prev, token, ln(n + 1) - ln(sum(n) OVER (PARTITION BY prev) + nv) AS logp, -ln(sum(n) OVER (PARTITION BY prev) + nv) AS default_logp FROM bib, nv",
     "ctx": f"SELECT piece AS subword, context AS word, sum(k * n)::BIGINT AS n FROM (SELECT word, context, count(*) AS n FROM near3 WHERE context IN (SELECT word FROM words) GROUP BY ALL) p JOIN (SELECT word, piece, count(*) AS k FROM (SELECT word, substr(word, b, l) AS piece FROM (SELECT word, l, unnest(range(1, length(word) - l + 2)) AS b FROM (SELECT word, unnest(range(1, least(length(word), {LONGEST}) + 1)) AS l FROM counted))) GROUP BY ALL) e USING (word) WHERE piece IN (SELECT subword FROM subs) GROUP BY ALL",
-    "halves": "SELECT piece AS subword, context AS word, sum(k * n)::BIGINT AS n FROM (SELECT word, context, count(*) AS n FROM near1 WHERE context IN (SELECT word FROM words) GROUP BY ALL) p JOIN (SELECT word, piece, count(*) AS k FROM (SELECT word, substr(word, b, l) AS piece FROM (SELECT word, l, unnest(range(1, length(word) - l + 2)) AS b FROM (SELECT word, unnest(range(1, least(length(word), 2) + 1)) AS l FROM counted))) GROUP BY ALL) e USING (word) GROUP BY ALL",
+    "halves": "SELECT * FROM ctx",
     "lmr": "SELECT prev, token, round(logp, 6) AS logp FROM lm1",
     # cells of pieces by where they end: (start, end, piece, score, start of the piece before); equal scores take the smallest start
     "cells": f"SELECT word, 0 AS i, [{{'s': 0, 'e': 0, 't': '###', 'v': 0.0::DOUBLE, 'k': 0}}] AS c FROM counted UNION ALL SELECT word, i + 1, list_concat(c, coalesce(list(one) FILTER (WHERE one IS NOT NULL), [])) FROM (SELECT word, i, c, CASE WHEN max(b) IS NOT NULL THEN {{'s': e, 'e': i + 1, 't': substr(word, e + 1, i + 1 - e), 'v': max(b).v, 'k': -max(b).n}} END AS one FROM (SELECT a.word, a.i, a.c, a.x.e AS e, CASE WHEN logp IS NOT NULL THEN {{'v': round(a.x.v + logp, 9), 'n': -a.x.s}} END AS b FROM (SELECT word, i, c, unnest(c) AS x FROM cells WHERE i < length(word)) a LEFT JOIN lmr ON prev = a.x.t AND token = substr(a.word, a.x.e + 1, a.i + 1 - a.x.e) WHERE a.x.e > a.i - {LONGEST} OR a.x.e = 0) GROUP BY word, i, c, e) GROUP BY word, i, c",
@@ -92,7 +95,7 @@ CTES |= {
 }
 NEEDS |= {
     "uni": ["seg"], "pairs": ["seg"], "bi": ["pairs"], "bib": ["bi"], "nv": ["psubs"], "lm0": ["bib", "nv"], "lm1": ["bib", "nv"], "ctx": ["near3", "words", "subs", "counted"],
-    "halves": ["near1", "words", "counted"], "lmr": ["lm1"], "cells": ["counted", "lmr"], "lasts": ["cells"], "trace": ["lasts"], "best": ["trace", "counted"], "gstep": ["counted", "lmr"],
+    "halves": ["ctx"], "lmr": ["lm1"], "cells": ["counted", "lmr"], "lasts": ["cells"], "trace": ["lasts"], "best": ["trace", "counted"], "gstep": ["counted", "lmr"],
     "fwd": ["counted", "spans"], "bwd": ["counted", "spans"], "expected": ["fwd", "bwd"],
 }
 
@@ -123,24 +126,24 @@ ORACLES = {
     "pretok_vocab_by_lang": with_("pretoks", "SELECT lang, token, count(*)::BIGINT AS n FROM pretoks GROUP BY ALL"),
     "pretok_tokens": with_("pretoks", "SELECT doc_id, line_no, pos, token FROM pretoks"),
     "ws_word_counts": with_("counted", "SELECT * FROM counted"),
-    "word_freq_invocab": with_("words", "SELECT w.word, count(t.token)::BIGINT AS n FROM words w LEFT JOIN toks t ON w.word = t.token GROUP BY w.word"),
+    "word_freq_invocab": with_("vocab", "SELECT w.word, count(t.token)::BIGINT AS n FROM vocab w LEFT JOIN toks t ON w.word = t.token GROUP BY w.word"),
     "ngram_corpus": with_("pretoks", _ngrams(PRE, 4)),
     "ngram_strict": with_("pretoks", _ngrams(PRE, 4, True)),
     "ngram_vocab_weighted": with_("counted", _ngrams("counted", 8)),
     "ngram_distinct": with_("pretoks", f"SELECT ngram FROM ({_ngrams(PRE, 4)})"),
-    "substrings_of_vocab": with_("words", "SELECT word, substr(word, b, l) AS piece, count(*)::BIGINT AS n FROM (SELECT word, l, unnest(range(1, length(word) - l + 2)) AS b FROM (SELECT word, unnest(range(1, least(length(word), 10) + 1)) AS l FROM words)) GROUP BY ALL"),
-    "substrings_invocab": with_("subs", "SELECT word, s AS start, piece, subs.id FROM edges JOIN subs ON piece = subword"),
-    "substrings_wordpiece": with_("edges", "SELECT word, s AS start, CASE WHEN s > 0 THEN '##' ELSE '' END || piece AS piece FROM edges"),
-    "substrings_excluded": with_("subs", "SELECT word, s AS start, piece FROM edges JOIN subs ON piece = subword WHERE subs.id % 3 <> 0"),
-    "cooc_word_word": with_("cooc3", "SELECT * FROM cooc3"),
-    "cooc_window_1": with_("near1 words", "SELECT a.id AS row_id, b.id AS col_id, count(*)::BIGINT AS n FROM near1 JOIN words a ON near1.word = a.word JOIN words b ON near1.context = b.word GROUP BY ALL"),
+    "substrings_of_vocab": with_("vedges", "SELECT word, piece, count(*)::BIGINT AS n FROM vedges GROUP BY ALL"),
+    "substrings_invocab": with_("vedges subs", "SELECT word, s AS start, piece, subs.id FROM vedges JOIN subs ON piece = subword"),
+    "substrings_wordpiece": with_("vedges", "SELECT word, s AS start, CASE WHEN s > 0 THEN '##' ELSE '' END || piece AS piece FROM vedges"),
+    "substrings_excluded": with_("vedges subs", "SELECT word, s AS start, piece FROM vedges LEFT JOIN subs ON piece = subword WHERE subs.id IS NULL OR subs.id % 3 <> 0"),
+    "cooc_word_word": with_("vcooc", "SELECT * FROM vcooc"),
+    "cooc_window_1": with_("near1 vocab", "SELECT a.id AS row_id, b.id AS col_id, count(*)::BIGINT AS n FROM near1 JOIN vocab a ON near1.word = a.word JOIN vocab b ON near1.context = b.word GROUP BY ALL"),
     "context_subword_word": with_("ctx", "SELECT * FROM ctx"),
     "context_filtered": with_("ctx", "SELECT * FROM ctx WHERE subword IN (SELECT subword FROM ctx GROUP BY subword HAVING length(subword) = 1 OR (count(*) >= 3 AND sum(n) >= 50))"),
     "merge_contexts_sum": with_("halves", "SELECT * FROM halves"),
     "merge_contexts_filtered": with_("halves", "SELECT * FROM halves WHERE subword IN (SELECT subword FROM halves GROUP BY subword HAVING length(subword) = 1 OR (count(*) >= 2 AND sum(n) >= 20))"),
     "concat_embeddings": with_("words pv", "SELECT word, dim::INT AS dim, round(x, 6) + 0.0 AS x, shard FROM (SELECT word, unnest(range(len(vec))) AS dim, unnest(vec) AS x, 0 AS shard FROM words UNION ALL SELECT piece, unnest(range(len(vec))), unnest(vec), 1 FROM pv)"),
-    "allowed_edges_inverse": with_("edges", "SELECT piece AS subword, count(*)::BIGINT AS n_edges, count(DISTINCT word)::BIGINT AS n_words FROM edges GROUP BY piece"),
-    "weighted_edges": with_("edges", "SELECT piece AS subword, word, sum(n)::BIGINT AS n FROM edges GROUP BY ALL"),
+    "allowed_edges_inverse": with_("vedges", "SELECT piece AS subword, count(*)::BIGINT AS n_edges, count(DISTINCT word)::BIGINT AS n_words FROM vedges GROUP BY piece"),
+    "weighted_edges": with_("vedges", "SELECT piece AS subword, word, sum(n)::BIGINT AS n FROM vedges GROUP BY ALL"),
     "subword_cooc": with_("stats", "SELECT * FROM stats"),
     "row_lognorm": with_("stats size", "SELECT subword, col_id, round(ln(n + 1e-5) - ln(sum(n) OVER (PARTITION BY subword) + v * 1e-5), 6) + 0.0 AS log_share, round(ln(1e-5) - ln(sum(n) OVER (PARTITION BY subword) + v * 1e-5), 6) + 0.0 AS log_rest FROM stats, size"),
     "subword_embeddings": with_("emb", "SELECT subword, dim, round(x, 6) + 0.0 AS x FROM emb"),
