@@ -109,24 +109,15 @@ def reduced(vocab: DataFrame, lm: DataFrame, keep: int) -> DataFrame:
     return vocab.join(gone.select("token"), "token", "left_anti")
 
 
-def dot_product_model(embeddings: DataFrame, weights: DataFrame) -> DataFrame:
+def dot_product_model(embeddings: DataFrame, weights: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """embeddings, weights: (token, vec). (prev, token, logp): log softmax of the products of prev's embedding with all
-    weights, which is as many rows as pairs of tokens: for vocabularies of thousands."""
-    from subspark.functions import vector as V
-
-    a = embeddings.select(F.col("token").alias("prev"), "vec")
-    b = weights.select("token", F.col("vec").alias("w"))
-    # a full table of pairs is what the model is; the smaller side goes to all tasks, in blocks of rows
-    pairs = a.join(F.broadcast(b) if b.count() <= 100_000 else b, F.lit(True))
-    logits = pairs.select("prev", "token", V.dot(F.col("vec"), F.col("w")).alias("x"))
-    return _softmax(logits)
-
-
-def _softmax(logits: DataFrame) -> DataFrame:
-    top = logits.groupBy("prev").agg(F.max("x").alias("top"))
-    shifted = logits.join(top, "prev")
-    total = shifted.groupBy("prev").agg(F.log(F.sum(F.exp(F.col("x") - F.col("top")))).alias("rest"))
-    return shifted.join(total, "prev").select("prev", "token", (F.col("x") - F.col("top") - F.col("rest")).alias("logp"))
+    weights, for `pairs` (prev, token). Without pairs, for all: that is a table for vocabularies of thousands."""
+    from subspark.operators.estimator import pair_scores
+
+    if pairs is None:
+        each = weights.select("token")
+        pairs = embeddings.select(F.col("token").alias("prev")).join(F.broadcast(each) if each.count() <= 100_000 else each, F.lit(True))
+    return pair_scores(pairs, embeddings, weights)
 
 
 def closed_form(embeddings: DataFrame, counts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from subspark.functions import text as T
 from subspark.functions import vector as V
-from subspark.operators import cooc, counts, decode, linalg, lm, viterbi
+from subspark.operators import cooc, counts, decode, estimator, linalg, lm, skipgram, viterbi
 from subspark.plans import sql, trainer
 from subspark.plans.fixtures import LONGEST, Inputs
 from subspark.streaming.segment import segment_stream
@@ -291,6 +291,35 @@ def em_two_epochs_vocab(x):
     return last.edges.groupBy("subword").agg(F.count("*").alias("n_edges"))
 
 
+def solved_projection(x):
+    """The inverse of the words' log co-occurrence, times their vectors."""
+    words = x.words()
+    return _rounded(linalg.projection_from_cooc(x.cooc(), words, words.count()), "x", places=4)
+
+
+def em_solved_projection(x):
+    """The refinement loop with the projection that it solves for."""
+    made = trainer.train(x.lines(), x.words(), x.edges(), None, 1, longest=LONGEST)[0].segmented
+    return _rounded(_joined(made), "score", places=4)
+
+
+def trained_bigrams(x):
+    """Scores of all observed bigrams by a model that is trained on them."""
+    pairs = lm.bigrams(x.segmented(), lm.BOUNDARY)
+    used = pairs.select(F.col("prev").alias("token")).union(pairs.select("token")).distinct()
+    made = estimator.train(pairs, used, dims=32, epochs=4, rate=0.05)
+    return _rounded(estimator.pair_scores(pairs, made.tokens.select("token", "vec"), made.tokens.selectExpr("token", "weights AS vec", "bias")), "logp", places=4)
+
+
+def em_skipgram_segmentations(x):
+    """The refinement loop from trained vectors: skip-grams with buckets, and the inverse of their output matrix."""
+    words = x.words().select("id", "word", "n")
+    made = skipgram.train(x.cooc(), words, dims=32, epochs=5)
+    with_vectors = words.join(made.words.select("id", "vec"), "id")
+    cut = trainer.train(x.lines(), with_vectors, x.edges(), linalg.pseudo_inverse(made.output), 1, longest=LONGEST)[0].segmented
+    return _rounded(_joined(cut), "score", places=4)
+
+
 ALL = [
     pretok_vocab, pretok_vocab_by_lang, pretok_tokens, ws_word_counts, word_freq_invocab, ngram_corpus, ngram_strict, ngram_vocab_weighted,
     ngram_distinct, substrings_of_vocab, substrings_invocab, substrings_wordpiece, substrings_excluded, cooc_word_word, cooc_window_1,
@@ -299,7 +328,7 @@ ALL = [
     viterbi_wordpiece, viterbi_cosine, subword_redundancy, subword_frequency, subword_remove_bottom_k, unigram_stats, bigram_stats, next_edges,
     pruned_vocab, bigram_lm_mle, bigram_lm_addone, bigram_score_backoff, posterior_scores, reduced_vocab, expected_counts,
     bigram_viterbi_words, bigram_beam_words, greedy_words, sampled_bigrams, sampled_options, segmented_lines, segmented_turns, em_epoch_segmentations,
-    em_two_epochs_vocab,
+    em_two_epochs_vocab, solved_projection, em_solved_projection, trained_bigrams, em_skipgram_segmentations,
 ]
 
 
