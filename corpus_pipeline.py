@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), with docs what the stage before kept. All but the last return the
 columns of documents. n_chars follows the text where a stage changes it.
+
+Nulls in any column, empty tables, very long texts, ties and rows that repeat are dealt with as the stage's operator
+says; a null text has no words, so that the quality rules reject it. Extra columns go through all stages but the last
+whatever their names, those with dots and those that helpers have included.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from subspark.llm.common import stored, table
 
 def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
     chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
-    return docs.withColumn("n_chars", chars).select(*columns) if "n_chars" in columns else docs.select(*columns)
+    return docs.select(*[chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
