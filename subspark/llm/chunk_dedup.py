@@ -8,9 +8,10 @@ or the whole text, so that short phrases stay.
 
 Digests have 64 bits and 18 more, and the chunk's length must match as well.
 
-Nulls: a null text is empty and has no chunks, and an empty table gives no rows; very long texts are cut whole; null doc_ids count as one id above all others. Rows that
+Nulls: a null text is empty and has no chunks, and stays null; an empty table gives no rows; very long texts are cut
+whole; null doc_ids count as one id above all others. Ids that aren't whole numbers count in their order. Rows that
 repeat doc_id and text are one document, and don't repeat each other. Extra columns are carried along by
-`drop_chunks`.
+`drop_chunks`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subspark.llm.common import fresh, stored
+from subspark.llm.common import numbered_ids, plainly, stored
 from subspark.llm.suffix_dedup import TOGETHER, _grouped, kept_bytes, packed, window_minima
 
 REACH, MIN_SPAN = 24, 100
@@ -102,8 +103,8 @@ def all_chunks(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "digest long, id long, k1 long, place long")
 
 
-def _keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
-    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID)), F.xxhash64(doc_id, text)
+def _keys(number: str) -> tuple[Column, Column]:
+    return F.coalesce(F.col(number), F.lit(NO_ID)), F.xxhash64("doc_id", "text")
 
 
 def repeated_chunks(keyed: DataFrame) -> DataFrame:
@@ -144,36 +145,42 @@ def whole_characters(text: bytes, gone: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def _with_chunks(docs: DataFrame) -> tuple[DataFrame, str]:
-    ident, k1 = _keys(F.col("doc_id"), F.col("text"))
+def _with_chunks(docs: DataFrame) -> DataFrame:
+    """docs: plain columns. With packed texts and the repeated chunks, in columns of these names."""
+    docs = numbered_ids(docs, "number_of_row")
+    ident, k1 = _keys("number_of_row")
     found = repeated_chunks(docs.select(ident.alias("id"), k1.alias("k1"), F.col("text")))
-    a, b, c = fresh(docs, "id_of_row"), fresh(docs, "k1_of_row"), fresh(docs, "chunks_of_row")
-    return packed(docs.withColumns({a: ident, b: k1})).join(found.toDF(a, b, c), [a, b], "left"), c
+    keys = ["id_of_row", "k1_of_row"]
+    return packed(docs.withColumns({"id_of_row": ident, "k1_of_row": k1})).join(found.toDF(*keys, "chunks"), keys, "left")
 
 
 def drop_chunks(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     """docs, same columns, without the repeated chunks."""
-    rows, chunks = _with_chunks(docs)
-    names = docs.columns
+    plain = plainly(docs)
+    names = plain.columns
     at = names.index("text")
+    rows = _with_chunks(plain.withColumn("no_text", F.col("text").isNull()))
 
     def run(batches):
         opened = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for text, some in zip(batch.column(at), batch.column(len(names)), strict=True):
+            for text, some, none in zip(batch.column(at), batch.column(len(names)), batch.column(len(names) + 1).to_pylist(), strict=True):
+                if none:
+                    out.append(None)
+                    continue
                 raw = opened.decompress(text.as_py(), max_output_size=2**31 - 1)
                 out.append(kept_bytes(raw, whole_characters(raw, removed(some.as_py() or [], len(raw), min_span))).decode())
             columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    picked = rows.select(*[F.col("packed") if n == "text" else F.col(f"`{n}`") for n in names], chunks)
-    return picked.mapInArrow(run, docs.schema)
+    picked = rows.select(*[F.col("packed") if n == "text" else F.col(n) for n in names], "chunks", "no_text")
+    return picked.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op5(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
-    rows, chunks = _with_chunks(docs.select("doc_id", "text"))
+    rows = _with_chunks(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -190,6 +197,6 @@ def op5(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed_chunks", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return rows.select("doc_id", "packed", chunks).mapInArrow(
+    return rows.select("doc_id", "packed", "chunks").mapInArrow(
         run, f"doc_id {kind}, n_bytes long, n_removed_chunks long, n_removed long, n_spans long, kept_sha256 string"
     )

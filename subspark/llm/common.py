@@ -62,6 +62,34 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+def plainly(docs: DataFrame) -> DataFrame:
+    """docs with plain names for all columns but doc_id and text: none is like a helper's, and none has a dot."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)])
+
+
+def map_carried(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow with columns that are carried under plain names, so that theirs may have dots; by place, not name."""
+    names = [f"c{k}" for k in range(len(schema.fields))]
+
+    def renamed(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+
+    plain = rows.toDF(*[f"c{k}" for k in range(len(rows.columns))])
+    fields = [T.StructField(n, f.dataType) for n, f in zip(names, schema.fields, strict=True)]
+    return plain.mapInArrow(renamed, T.StructType(fields)).toDF(*schema.names)
+
+
+def numbered_ids(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a whole number for doc_id: itself, or where ids aren't whole numbers their place in order; null stays."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    from subspark.operators.counts import numbered
+
+    ids = numbered(docs.select("doc_id").filter("doc_id is not null").distinct(), F.asc("doc_id")).toDF("id_of_doc", name)
+    return docs.join(ids, docs["doc_id"] == ids["id_of_doc"], "left").drop("id_of_doc")
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

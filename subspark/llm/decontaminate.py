@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from subspark.llm.common import binary_texts, doc_key, fresh, stored
+from subspark.llm.common import binary_texts, doc_key, fresh, map_carried, stored
 
 WINDOW = 10
 #: Words of items in one automaton; about 400 bytes a word when broadcast.
@@ -232,7 +232,7 @@ def _marked(docs: DataFrame, made: bytes | None, names: list[str]) -> DataFrame:
             new = _columns(n_words, marks, [_listed(x) for x in items])
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *_named(names)]))
+    return map_carried(docs, run, StructType([*docs.schema.fields, *_named(names)]))
 
 
 HITS = "k1 long, k2 long, bits binary, items array<string>"
@@ -279,7 +279,7 @@ def _put_together(docs: DataFrame, hits: DataFrame, names: list[str]) -> DataFra
             new = _columns(n_words, marks, [sorted(x or []) for x in batch.column(width + 1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*batch.schema.names[:width], *names])
 
-    return rows.mapInArrow(run, StructType([*docs.schema.fields, *_named(names)]))
+    return map_carried(rows, run, StructType([*docs.schema.fields, *_named(names)]))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[str]]:
@@ -320,7 +320,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
             columns = [pa.array(texts, pa.string()) if k == at else left.column(k) for k in range(width)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
 
-    return marked.mapInArrow(run, docs.schema)
+    return map_carried(marked, run, docs.schema)
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]], hit: np.ndarray, max_span: int) -> bytes:

@@ -14,7 +14,7 @@ Nulls: a null text is one empty line. A null doc_id counts as one document, smal
 Repeated rows of one doc_id count as one document; rows that repeat doc_id and text get equal results.
 An empty table gives no rows. Very long texts are split whole. A common line is counted in its own task
 before it is sent on, and the join that finds its places is one that Spark splits where it is skewed.
-Extra columns are carried along by `drop_lines`, whatever their names.
+Extra columns are carried along by `drop_lines`, whatever their names. Ids that aren't whole numbers count in their order.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subspark.llm.common import BLANKS, delete, doc_key, fresh, lower_ascii, shared_dir, stored
+from subspark.llm.common import BLANKS, delete, doc_key, fresh, lower_ascii, numbered_ids, shared_dir, stored
 
 #: Stands for a null doc_id where document ids are compared.
 NO_ID = -(2**63)
@@ -42,11 +42,11 @@ def line_key(line: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(k1, k2, id, pos, h1, h2): one row for each line whose key is long enough."""
+    """docs: (doc_id, text, number). (k1, k2, id, pos, h1, h2): one row for each line whose key is long enough."""
     k1, k2 = doc_key(F.col("doc_id"), F.col("text"))
     keys = F.transform(lines_of(F.col("text")), line_key)
     rows = docs.select(
-        k1.alias("k1"), k2.alias("k2"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.posexplode(keys).alias("pos", "key")
+        k1.alias("k1"), k2.alias("k2"), F.coalesce("number", F.lit(NO_ID)).alias("id"), F.posexplode(keys).alias("pos", "key")
     )
     return rows.filter(F.char_length("key") >= min_chars).select(
         "k1", "k2", "id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2")
@@ -128,8 +128,8 @@ class LineRuns:
 
 
 def id_ranges(docs: DataFrame, batches: int | None = None) -> list[Column]:
-    """Conditions on `id` that part docs into batches, largest ids first, null ids last; from the ids alone."""
-    doc_id = F.coalesce("doc_id", F.lit(NO_ID))
+    """docs: (number, more). Conditions on `id` that part docs into batches, largest ids first, null ids last; from the ids alone."""
+    doc_id = F.coalesce("number", F.lit(NO_ID))
     n = docs.count() if batches is None else 0
     batches = batches or min(MOST, max(LEAST, -(-n // BATCH)))
     shares = [k / batches for k in range(1, batches)]
@@ -144,6 +144,7 @@ def id_ranges(docs: DataFrame, batches: int | None = None) -> list[Column]:
 
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fanout: int = 3) -> DataFrame:
     """(k1, k2, dropped): for each document that loses lines, their positions from 0."""
+    docs = numbered_ids(docs.select("doc_id", "text"), "number")
     hashed = stored(line_hashes(docs, min_chars), "line_hashes")
     runs = LineRuns(docs.sparkSession, fanout)
     for chosen in id_ranges(docs, batches):

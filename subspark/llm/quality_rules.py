@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import lit
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from subspark.llm.common import arrow_schema, binary_texts, fresh
+from subspark.llm.common import arrow_schema, binary_texts, fresh, map_carried
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -246,7 +246,7 @@ def _judged(docs: DataFrame, rules: tuple[Rule, ...], counts: bool) -> tuple[Dat
             new = [pa.array([r[k] for r in rows], tail.field(k).type) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema), names
+    return map_carried(docs, run, schema), names
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -89,3 +89,20 @@ def test_removal_is_that_of_brute_force(spark, words):
 
 def test_empty_table(spark):
     assert chunk_dedup.op5(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_string_ids_null_texts_and_names_of_helpers(spark, words):
+    rng = random.Random(4)
+    passage = " ".join(rng.choice(words) for _ in range(120))
+    rows = [(f"d{k}", f"{k} " * 40 + passage + f" {k * 7}" * 40) for k in range(10, 16)] + [(None, "own " + passage), ("none", None), ("empty", "")]
+    docs = spark.createDataFrame([(t, i, 1, 2, 3) for i, t in rows], "text string, doc_id string, `a.b` int, packed int, chunks int").repartition(3)
+    got = chunk_dedup.drop_chunks(docs)
+    assert got.columns == docs.columns
+    found = {r.doc_id: r.text for r in got.collect()}
+    order = [(k, t) for k, (_, t) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or "")))]
+    names = sorted((i for i, _ in rows), key=lambda i: (i is None, i or ""))
+    numbers = spark.createDataFrame(order, "doc_id long, text string")
+    assert found == {names[r.doc_id]: r.text for r in chunk_dedup.drop_chunks(numbers).collect()}
+    assert found["none"] is None and found["empty"] == "" and passage in found["d10"] and passage not in found["d11"]
+    assert all(r["a.b"] == 1 and r.packed == 2 and r.chunks == 3 for r in got.collect())
+    assert len(chunk_dedup.op5(docs).collect()) == len(rows)

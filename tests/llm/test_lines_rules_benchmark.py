@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from subspark.llm import decontaminate, line_dedup, quality_rules
 
@@ -75,6 +76,17 @@ def test_lines(spark, batches):
     assert op == sorted(((i, n, d, digest(t)) for i, n, d, t in slow_lines(rows)), key=str)
 
 
+def test_lines_of_documents_with_string_ids(spark):
+    rows = [(None if i is None else f"d{i:020d}" if i >= 0 else f"-{i + 500:020d}", t) for i, t in line_rows()]
+    order = sorted({i for i, _ in rows if i is not None})
+    numbers = [(None if i is None else order.index(i), t) for i, t in rows]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id string, text string, `a.b` int").repartition(3)
+    got = line_dedup.drop_lines(docs)
+    assert got.columns[:3] == docs.columns
+    expected = [(None if i is None else order[i], n, d, t) for i, n, d, t in slow_lines(numbers)]
+    assert sorted(((r[0], r[3], r[4], r[1] or "") for r in got.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_runs_take_batches_one_by_one(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     for ids, keys in (([9], [1, 2]), ([7, 8], [2, 3]), ([5], [1, 4]), ([2], [4])):
@@ -92,7 +104,7 @@ def test_runs_take_batches_one_by_one(spark):
 def test_batches_are_of_equal_size_wherever_ids_lie(spark):
     docs = spark.createDataFrame([(i,) for i in [*range(399), 10**15]], "doc_id long")
     rows = docs.selectExpr("doc_id AS id")
-    sizes = [rows.filter(c).count() for c in line_dedup.id_ranges(docs)]
+    sizes = [rows.filter(c).count() for c in line_dedup.id_ranges(docs.withColumn("number", F.col("doc_id")))]
     assert sum(sizes) == 400 and len(sizes) == 4 and max(sizes) < 110
 
 

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from subspark.llm import pieces, simhash
@@ -128,3 +129,29 @@ def test_quality_rules_with_a_column_kept(spark, sf_dir):
         clash = docs.selectExpr("*", f"doc_id = 301 AS {name}")
         got = pipeline.keep_good(spark, clash, path)
         assert got.columns == clash.columns and ids(got) == expected and 301 not in expected
+
+
+def test_stages_carry_columns_with_dots_and_names_of_helpers(spark, sf_dir):
+    path = sf_dir[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    more = {"a.b": 1, "k1_of_row": 2, "n_words": 3, "marks": 4, "number": 5, "C0": 6, "times_of_row": 7, "dropped_of_row": 8}
+    wide = docs.select("*", *[F.lit(v).alias(k) for k, v in more.items()])
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, wide, path)
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert all(r[k] == v for r in rows for k, v in more.items())
+        plain = stage(spark, docs, path)
+        assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(((r.doc_id, r.text) for r in plain.collect()), key=str), name
+    assert pipeline.pack(spark, wide, path).count() == pipeline.pack(spark, docs, path).count()
+
+
+def test_stages_take_texts_that_are_all_null(spark, sf_dir):
+    path = sf_dir[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(5).withColumn("text", F.lit(None).cast("string"))
+    named = dict(pipeline.STAGES)
+    assert named["quality rules"](spark, docs, path).collect() == []
+    assert [r.text for r in named["line dedup"](spark, docs, path).collect()] == [None] * 5
+    assert len(named["near copies"](spark, docs, path).collect()) == 1
+    assert [r.text for r in named["decontamination"](spark, docs, path).collect()] == [None] * 5
+    assert sum(r.length for r in named["packing"](spark, docs, path).collect()) == 5
