@@ -142,8 +142,7 @@ def _vectors_of_pieces(x):
 
 
 def word_subword_cosine(x):
-    found = viterbi.cosine_scores(x.words().select("word", "vec"), _vectors_of_pieces(x), LONGEST)
-    return _rounded(found.select("word", F.explode("scores").alias("piece", "score")), "score")
+    return _rounded(viterbi.cosine_rows(x.words().select("word", "vec"), _vectors_of_pieces(x), LONGEST), "score")
 
 
 def mean_vector_fallback(x):
@@ -168,7 +167,7 @@ def viterbi_wordpiece(x):
 
 
 def viterbi_cosine(x):
-    return _rounded(_joined(viterbi.cosine_segment(x.words().select("word", "vec"), _vectors_of_pieces(x), LONGEST).drop("vec")), "score")
+    return _rounded(_joined(viterbi.cosine_segment(x.words().select("word", "vec"), _vectors_of_pieces(x), LONGEST)), "score")
 
 
 def subword_redundancy(x):
