@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER = "spark.checkpoint.dir"
+#: Paths written since the beginning of each open `temporary` block, the innermost last.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get(FOLDER) or spark.conf.get(FOLDER, None)
     if not found:
         if spark.sparkContext.master.partition("[")[0] == "local":
-            found = "file://" + tempfile.mkdtemp(prefix="subspark-")
+            own = tempfile.mkdtemp(prefix="subspark-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            found = "file://" + own
         else:
             found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/subspark-work"
         spark.conf.set(FOLDER, found)
@@ -27,10 +35,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later stages neither recompute it nor depend on executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/subspark-{name}-{uuid.uuid4().hex}"
+    for paths in _OPEN:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside the block are deleted at its end: results read from them lazily, so write or collect
+    results inside it."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN[:] = [each for each in _OPEN if each is not paths]
+        for path in paths:
+            delete(spark, path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of one's own, wherever it is stored."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from subspark.functions import text as T
@@ -22,11 +20,10 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     place in its block of a file, behind the lines of the blocks before."""
     block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
     rows = spark.read.text(path).select(F.col("value").alias("line"), *block, F.monotonically_increasing_id().alias("place"))
-    sizes = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()  # a row for each block
-    sizes.sort()
-    before = accumulate((r.n for r in sizes), initial=0)
-    offsets = spark.createDataFrame([(r.file, r.start, n - r.first) for r, n in zip(sizes, before)], "file string, start long, shift long")
-    return rows.join(F.broadcast(offsets), ["file", "start"]).select((F.col("place") + F.col("shift")).alias("id"), "line")
+    sizes = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))  # a row for each block
+    offsets = sizes.select("file", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(offsets, ["file", "start"]).select((F.col("place") + F.col("shift")).alias("id"), "line")
 
 
 def _unique(rows: DataFrame, key: str, what: str) -> DataFrame:

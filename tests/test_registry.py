@@ -39,3 +39,22 @@ def test_halves_take_documents_with_negative_or_no_ids(spark, tmp_path):
     spark.createDataFrame([(i, [1.0, 0.5]) for i in range(3)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r.subword, r.word): r.n for r in registry.queries()["merge_contexts_sum"](spark, str(tmp_path)).collect()}
     assert got["bl", "red"] == 5 and got["gr", "blue"] == 5 and got["d", "green"] == 5
+
+
+def test_stored_tables_go_at_the_end_of_a_block(spark):
+    from pyspark.errors import AnalysisException
+
+    from subspark.plans.store import stored, temporary
+
+    outside = stored(spark.range(5), "kept")
+    with temporary(spark):
+        with temporary(spark):
+            inner = stored(spark.range(7), "inner")
+            assert inner.count() == 7
+        again = stored(spark.range(3), "again")
+        assert again.count() == 3
+    assert outside.count() == 5
+    for gone in (inner, again):
+        path = gone.inputFiles()[0].rsplit("/", 1)[0]
+        with pytest.raises(AnalysisException):
+            spark.read.parquet(path).count()
