@@ -61,14 +61,15 @@ def pair_step(learn: bool):
     return step
 
 
-def train(counts: DataFrame, tokens: DataFrame, dims: int = 64, epochs: int = 30, batches: int = 4, patience: int = 3, rate: float = 0.02, held_out: float = 0.05, seed: int = 0) -> Trained:
+def train(counts: DataFrame, tokens: DataFrame, dims: int = 64, epochs: int = 30, batches: int = 4, patience: int = 3, rate: float = 0.02, held_out: float = 0.05, seed: int = 0, start: DataFrame | None = None) -> Trained:
     """counts: (prev, token, n), tokens: (token), all that occur in counts or may.
 
     Of a pair's observations a share of `held_out` is held out, rounded by a hash of it and the seed, and the others belong
     to one of the `batches` of each epoch. Pairs of one prev lie in one task, so that its scores over all tokens are
     found once for a batch. Training ends after `epochs`, or
     `patience` of them without a better loss on the held-out pairs; the best parameters count. All tokens' vectors must
-    fit in a task (gradients.MOST numbers)."""
+    fit in a task (gradients.MOST numbers). start: tokens of an earlier training (token, vec, weights, bias), from which
+    tokens that it has go on."""
     from subspark.operators.counts import ranked
 
     spark = counts.sparkSession
@@ -77,6 +78,12 @@ def train(counts: DataFrame, tokens: DataFrame, dims: int = 64, epochs: int = 30
     rng = np.random.default_rng(seed)
     params = {"vec": rng.normal(0, 1 / np.sqrt(dims), (size, dims)), "weights": rng.normal(0, 1 / np.sqrt(dims), (size, dims)), "bias": np.zeros(size)}
     bounded(params)
+    if start is not None:
+        before = ids.join(start.select("token", "vec", "weights", "bias"), "token").select("id", "vec", "weights", "bias").toArrow()
+        at = before.column(0).to_numpy()
+        for name, column in zip(params, before.columns[1:], strict=True):
+            if len(at):
+                params[name][at] = np.array(column.to_pylist())
     draw = F.pmod(F.xxhash64("prev", "token", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     pairs = (
         counts.groupBy("prev", "token").agg(F.sum("n").alias("n")).withColumn("draw", draw)
@@ -170,3 +177,52 @@ def _block_scores(heads: DataFrame, block: pa.Table, low: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(prev, pa.string()), pa.array(token, pa.string()), pa.array(x, pa.float64())], names=["prev", "token", "x"])
 
     return heads.select("prev", "asked", "vec").mapInArrow(run, "prev string, token string, x double")
+
+
+def posteriors(embeddings: DataFrame, weights: DataFrame, cells: int = CELLS) -> DataFrame:
+    """embeddings: (token, vec), weights: (token, vec, bias if it has one). (token, score): the log of the sum of a token's
+    probabilities after each prev. Blocks of weights meet blocks of embeddings in tasks; sums by token leave them."""
+    from subspark.operators.counts import ranked
+
+    bias = F.col("bias") if "bias" in weights.columns else F.lit(0.0)
+    numbered = stored(ranked(weights.select("token", F.col("vec").cast("array<double>").alias("w"), bias.alias("bias")), "token"), "weights")
+    size, dims = numbered.count(), numbered.select(F.max(F.size("w"))).first()[0] or 1
+    step = max(1, cells // dims)
+    n = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heads = stored(embeddings.select(F.col("token").alias("prev"), F.array().cast("array<struct<id:long,token:string>>").alias("asked"), F.col("vec").cast("array<double>").alias("vec")).repartition(n, "prev"), "embeddings")
+    blocks = [numbered.filter((F.col("id") >= low) & (F.col("id") < low + step)).select("id", "w", "bias", "token").orderBy("id").toArrow() for low in range(0, size, step)]
+    if not blocks:
+        return embeddings.sparkSession.createDataFrame([], "token string, score double")
+    sums = _block_scores(heads, blocks[0], 0)
+    for k, block in enumerate(blocks[1:], 1):
+        sums = sums.unionByName(_block_scores(heads, block, k * step))
+    tops = sums.groupBy("prev").agg(F.max("x").alias("top"), F.collect_list("x").alias("xs"))  # a number for each block
+    rest = tops.select("prev", (F.col("top") + F.log(F.aggregate(F.transform("xs", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x))).alias("rest"))
+    shifted = stored(heads.join(rest, "prev").select("prev", "vec", "rest"), "normalised")
+    parts = [_token_sums(shifted, block) for block in blocks]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    top = F.max("x").alias("top")
+    best = found.groupBy("token").agg(top, F.collect_list("x").alias("xs"))  # a number for each task
+    return best.select("token", (F.col("top") + F.log(F.aggregate(F.transform("xs", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x))).alias("score"))
+
+
+def _token_sums(heads: DataFrame, block: pa.Table) -> DataFrame:
+    """heads: (prev, vec, rest). (token, x): the log of the block's tokens' probabilities, summed over a task's rows."""
+    shared = heads.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        w = np.array(shared.value.column(1).to_pylist())
+        bias = shared.value.column(2).to_numpy()
+        total = np.full(len(w), -np.inf)
+        many = max(1, SCORES // max(len(w), 1))
+        for batch in batches:
+            for low in range(0, batch.num_rows, many):
+                some = batch.slice(low, many)
+                logs = np.array(some.column(1).to_pylist()) @ w.T + bias - some.column(2).to_numpy()[:, None]
+                total = np.logaddexp(total, np.logaddexp.reduce(logs, axis=0))
+        if np.isfinite(total).any():
+            yield pa.RecordBatch.from_arrays([shared.value.column(3).combine_chunks(), pa.array(total)], names=["token", "x"])
+
+    return heads.select("prev", "vec", "rest").mapInArrow(run, "token string, x double")

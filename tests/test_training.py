@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from subspark.operators import cooc, counts, estimator, gradients, linalg, lm, skipgram
+from subspark.sources import sinks
 
 
 def slow_loss(params, rows):
@@ -74,6 +75,13 @@ def test_training_stops_early_at_the_best_held_out_loss(spark):
         assert len(got) == len(rows) + 1
         for r in got:
             assert r.logp == pytest.approx(wanted[at[r.prev], at[r.token]], abs=1e-9)
+    with_bias = made.tokens.selectExpr("token", "weights AS vec", "bias")
+    for cells in (estimator.CELLS, 80):
+        found = {r.token: r.score for r in estimator.posteriors(made.tokens.select("token", "vec"), with_bias, cells).collect()}
+        assert found == pytest.approx({t: float(np.log(np.exp(wanted[:, k]).sum())) for t, k in at.items()})
+    # training that goes on starts where the earlier one was best
+    again = estimator.train(counts, tokens, dims=8, epochs=1, batches=1, rate=1e-9, held_out=0.15, start=made.tokens)
+    assert again.history[0][1] == pytest.approx(min(held), abs=1e-5)
     # better on held-out pairs than the closed form on the same embeddings
     out = counts.selectExpr("prev", "token", "n", "cast(floor(n * 0.15 + pmod(xxhash64(prev, token, 0), 1000000) / 1000000) AS bigint) AS held")
     closed = lm.closed_form(made.tokens.select("token", "vec"), out.selectExpr("prev", "token", "n - held AS n").filter("n > 0"))
@@ -125,7 +133,7 @@ def test_negatives_follow_their_shares():
     assert (drawn == skipgram.negatives_of(np.arange(4000), np.arange(4000) * 7, 5, ends, 3, 1)).all()
 
 
-def test_words_of_a_kind_get_near_vectors_and_unknown_words_too(spark):
+def test_words_of_a_kind_get_near_vectors_and_unknown_words_too(spark, tmp_path):
     rng = random.Random(3)
     kinds = [[f"{stem}{end}" for end in ("a", "o", "is", "ont", "ez", "ly")] for stem in ("walk", "grün", "solve")]
     lines = [" ".join(rng.choice(kinds[k % 3]) for _ in range(8)) for k in range(90)]
@@ -147,3 +155,8 @@ def test_words_of_a_kind_get_near_vectors_and_unknown_words_too(spark):
     inverse = np.linalg.pinv(output)
     for r in linalg.pseudo_inverse(made.output).collect():
         assert r.x == pytest.approx(inverse[r.dim, r.id], abs=1e-6)
+    sinks.trained_vectors(made, f"{tmp_path}/made")
+    lines = lambda name: [r.value for r in spark.read.text(f"{tmp_path}/made.{name}").collect()]
+    assert set(lines("vocab")) == set(vec) and len(lines("txt")) == 19
+    rows = np.array([[float(x) for x in line.split()] for line in lines("out_inv.txt")])
+    assert rows.shape == (6, 18) and np.allclose(np.sort(rows.ravel()), np.sort(inverse.ravel()), atol=1e-6)
