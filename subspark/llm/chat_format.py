@@ -8,8 +8,9 @@ behind their first character, and each backslash is doubled, so that `unescape`
 
 Nulls: a null text is empty; a null role is the empty role, which no machine accepts; rows of a null
 conv_id are one conversation. Roles that the template doesn't name are formatted as `other` turns with
-their name; their conversation is not valid. Repeated rows are turns of their own. Extra columns aren't
-read.
+their name; their conversation is not valid. Repeated rows are turns of their own. An empty table gives no
+conversations but those that the query adds. A very long text is one turn, held once in its task. Ids are
+whole numbers, or strings of such. Extra columns aren't read.
 """
 
 from __future__ import annotations

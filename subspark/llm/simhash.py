@@ -13,7 +13,9 @@ A block value that holds over `SUBTREE` fingerprints is dealt out again by block
 no task gets a large group.
 
 Nulls: a null text has no shingles, and the fingerprint 0, which links like any other. A null doc_id
-takes part, and is never the smallest of a component unless all are null. Repeated rows are copies.
+takes part, and is never the smallest of a component unless all are null. Repeated rows are copies. An empty
+table gives no rows. Very long texts are hashed as a whole in their task. Ids may have any type that has an
+order; extra columns aren't read by `near_duplicates` and are carried by `one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -284,18 +286,31 @@ def fingerprint_links(distinct: DataFrame, pieces: int = 1, most: int = 0) -> Da
         dealt = level.withColumn("mask", F.explode(news[F.col("mask")]))
         masks = sorted({t for to in plans.values() for t in to})
         keyed = dealt.withColumn("key", F.xxhash64("nth", "mask", F.col("piece").bitwiseAND(F.col("mask"))))
-        large = None
-        if depth < LEVELS - 1:
-            large = stored(keyed.groupBy("key").count().filter(F.col("count") > SUBTREE).select("key"), "subtrees")
-            large = None if large.isEmpty() else large
-        walked = _walked((keyed if large is None else keyed.join(large, "key", "left_anti")).select("key", "fp", "piece", "wide"), bits, most)
-        out = walked if out is None else out.unionByName(walked)
-        if large is None:
+        large = stored(keyed.groupBy("key").count().filter(F.col("count") > SUBTREE), "subtrees")
+        large = None if large.isEmpty() else large
+        parts = [keyed if large is None else keyed.join(large, "key", "left_anti")]
+        if large is not None and depth == LEVELS - 1:
+            parts.append(_parted(keyed, large))
+        for part in parts:
+            walked = _walked(part.select("key", "fp", "piece", "wide"), bits, most)
+            out = walked if out is None else out.unionByName(walked)
+        if large is None or depth == LEVELS - 1:
             break
         level = stored(keyed.join(large, "key", "left_semi").drop("key").dropDuplicates(["fp", "nth", "mask"]), "subtree_rows")
     return out
 
 
+def _parted(keyed: DataFrame, large: DataFrame) -> DataFrame:
+    """keyed: (key, fp, more), large: (key, count). The rows of large keys, which no further bits part: in parts of about
+    SUBTREE / 2 by hash, each two of which are a group, so that no task holds a whole key."""
+    sized = large.select("key", F.ceil(F.col("count") * 2 / SUBTREE).cast("int").alias("parts"))
+    rows = keyed.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # a part's own group would be part of each of its others
+    rows = rows.filter((F.col("own") != F.col("other")) | (F.col("parts") == 1))
+    return rows.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+
+
 def _piece(wide, k: int):
     """The k-th PIECE bits of a fingerprint, as a long."""
     size = PIECE // 8

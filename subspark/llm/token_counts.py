@@ -6,7 +6,9 @@ Which pre-tokens these are changes the work only, not the counts. All others go
 pre-token, times) rows; their distinct pre-tokens are counted once each, in as many tasks as there are,
 and joined back, and a document's counts are summed. Ids are never kept or sent.
 
-Nulls: a null text is empty and has 0 tokens. A null doc_id stays null. Repeated rows each get a row.
+Nulls: a null text is empty and has 0 tokens. A null doc_id stays null. Repeated rows each get a row. An empty
+table gives no rows. A very long text is cut into pre-tokens as a whole in its task, and its rows go out in
+parts. Ids may have any type; extra columns aren't read.
 """
 
 from __future__ import annotations

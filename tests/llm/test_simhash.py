@@ -76,6 +76,8 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch):
     assert sorted(map(tuple, simhash.op2(docs).collect()), key=key) == sorted(expected, key=key)
     monkeypatch.setattr(simhash, "SUBTREE", 4)  # groups of over four fingerprints are dealt out again
     assert sorted(map(tuple, simhash.op2(docs).collect()), key=key) == sorted(expected, key=key)
+    monkeypatch.setattr(simhash, "LEVELS", 1)  # or, where no level is left, parted
+    assert sorted(map(tuple, simhash.op2(docs).collect()), key=key) == sorted(expected, key=key)
 
 
 def test_empty_table(spark):
