@@ -144,3 +144,23 @@ def test_one_of_each_goes_by_true_similarity(spark, monkeypatch, members):
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     expected = {min(rows[m][0] for m in range(len(rows)) if label[m] == k) for k in set(label)}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
+
+
+def test_recall_of_candidates_among_pairs_of_a_similarity_of_08_to_085():
+    """Pairs of texts of 60 to 400 words whose five-word shingles are alike by 0.8 to 0.85: how many are candidates."""
+    rng = random.Random(11)
+    found = n = 0
+    while n < 300:
+        size = rng.randint(60, 400)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        other = list(base)
+        for _ in range(max(1, round(size * rng.uniform(0.005, 0.03)))):
+            other[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+        a, b = ({" ".join(t[k : k + 5]) for k in range(len(t) - 4)} for t in (base, other))
+        if not 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            continue
+        n += 1
+        x, y = (np.frombuffer(simhash.fingerprint(" ".join(t).encode(), 5, simhash.WORDS), np.uint32) for t in (base, other))
+        bits = np.bitwise_count(x ^ y)
+        found += bool(bits.min() <= simhash.BUDGET and bits.sum() <= simhash.MOST)
+    assert found / n >= 0.96
