@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -62,6 +64,15 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: idle workers stay for a while, beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def plainly(docs: DataFrame) -> DataFrame:
     """docs with plain names for all columns but doc_id and text: none is like a helper's, and none has a dot."""
     return docs.toDF(*[c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)])
@@ -74,6 +85,7 @@ def map_carried(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Itera
     def renamed(batches):
         for batch in run(batches):
             yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+        release()
 
     plain = rows.toDF(*[f"c{k}" for k in range(len(rows.columns))])
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, schema.fields, strict=True)]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subspark.llm import pieces as P
-from subspark.llm.common import arrow_schema, stored
+from subspark.llm.common import arrow_schema, release, stored
 
 SIZE, END, PAD = 4096, 2, 0
 #: Most partitions whose offsets are broadcast (24 bytes each).
@@ -52,6 +52,7 @@ def tokenised(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
                     [pa.array([part] * len(ids), pa.int32()), some.column(0), pa.array(ends, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
                     names=["part", "doc_id", "local", "n", "ids"],
                 )
+        release()
 
     rows = docs.select("doc_id", "text").mapInArrow(run, f"part int, doc_id {kind}, local long, n long, ids binary")
     return stored(rows, "tokens")
@@ -136,6 +137,7 @@ def _windows(rows: DataFrame, size: int, digest: bool) -> DataFrame:
                         held = [(doc_id, start + here - rest, count, ids[4 * (here - rest) :])] if rest else []
         if held:
             yield cut(begin, held)
+        release()
 
     def whole(batches):
         for batch in batches:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subspark.llm.common import binary_texts, doc_key, fresh, lowered, stored
+from subspark.llm.common import binary_texts, doc_key, fresh, lowered, release, stored
 from subspark.llm.components import components
 
 SEED, BUDGET, BITS = 42, 3, 64
@@ -238,6 +238,8 @@ def _by_key(rows: DataFrame, links: Callable[[pa.Table], Iterator[tuple[np.ndarr
                     n = sum(map(weigh, held))
         if held:
             yield from found(pa.Table.from_batches(held))
+        held = []
+        release()
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
