@@ -37,6 +37,14 @@ def bigrams(segmented: DataFrame, mark: str = WORD, close: str | None = None) ->
     return pair.groupBy("p.prev", "p.token").agg(F.sum("n").cast("long").alias("n")).select("prev", "token", "n")
 
 
+def folded(counts: DataFrame, vocab: DataFrame, unknown: str = "<unk>") -> DataFrame:
+    """counts: (prev, token, n), vocab: (token). Counts with all tokens that the vocabulary lacks as one."""
+    known = vocab.select(F.col("token").alias("known")).distinct()
+    out = counts.join(known, F.col("prev") == F.col("known"), "left").select(F.coalesce("known", F.lit(unknown)).alias("prev"), "token", "n")
+    out = out.join(known, F.col("token") == F.col("known"), "left").select("prev", F.coalesce("known", F.lit(unknown)).alias("token"), "n")
+    return out.groupBy("prev", "token").agg(F.sum("n").alias("n"))
+
+
 def bigram_observations(segmented: DataFrame) -> DataFrame:
     """One (prev, token) row for each pair, with the boundary before the first piece and none behind the last."""
     items = F.concat(F.array(F.lit(BOUNDARY)), F.col("pieces"))

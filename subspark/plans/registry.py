@@ -9,6 +9,7 @@ from subspark.functions import vector as V
 from subspark.operators import cooc, counts, decode, estimator, linalg, lm, skipgram, viterbi
 from subspark.plans import sql, trainer
 from subspark.plans.fixtures import LONGEST, Inputs
+from subspark.plans.store import stored
 from subspark.streaming.segment import segment_stream
 
 
@@ -303,10 +304,11 @@ def em_solved_projection(x):
 
 
 def trained_bigrams(x):
-    """Scores of all observed bigrams by a model that is trained on them."""
-    pairs = lm.bigrams(x.segmented(), lm.BOUNDARY)
-    used = pairs.select(F.col("prev").alias("token")).union(pairs.select("token")).distinct()
-    made = estimator.train(pairs, used, dims=32, epochs=4, rate=0.05)
+    """Scores of all observed bigrams of the 5,000 commonest pieces, and of the others as one, by a model trained on them."""
+    common = counts.top_words(x.unigrams().withColumnRenamed("token", "word"), 5_000).select(F.col("word").alias("token"))
+    vocab = stored(common.union(x.spark.createDataFrame([(lm.BOUNDARY,), ("<unk>",)], "token string")).distinct(), "estimator_vocabulary")
+    pairs = stored(lm.folded(lm.bigrams(x.segmented(), lm.BOUNDARY), vocab), "folded_bigrams")
+    made = estimator.train(pairs, vocab, dims=32, epochs=8, rate=0.05)
     return _rounded(estimator.pair_scores(pairs, made.tokens.select("token", "vec"), made.tokens.selectExpr("token", "weights AS vec", "bias")), "logp", places=4)
 
 

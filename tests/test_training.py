@@ -160,3 +160,11 @@ def test_words_of_a_kind_get_near_vectors_and_unknown_words_too(spark, tmp_path)
     assert set(lines("vocab")) == set(vec) and len(lines("txt")) == 19
     rows = np.array([[float(x) for x in line.split()] for line in lines("out_inv.txt")])
     assert rows.shape == (6, 18) and np.allclose(np.sort(rows.ravel()), np.sort(inverse.ravel()), atol=1e-6)
+
+
+def test_tokens_outside_a_vocabulary_count_as_one(spark):
+    rows = [("a", "b", 2), ("a", "x", 1), ("y", "x", 3), ("z", "x", 4), ("y", "b", 5), ("###", "y", 6)]
+    table = spark.createDataFrame(rows, "prev string, token string, n bigint")
+    vocab = spark.createDataFrame([("a",), ("b",), ("###",)], "token string")
+    got = {(r.prev, r.token): r.n for r in lm.folded(table, vocab).collect()}
+    assert got == {("a", "b"): 2, ("a", "<unk>"): 1, ("<unk>", "<unk>"): 7, ("<unk>", "b"): 5, ("###", "<unk>"): 6}
