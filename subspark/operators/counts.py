@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +40,41 @@ def ngrams(lines: DataFrame, order: int = 4, overcount: bool = True) -> DataFram
     return ngrams_weighted(pretoken_vocab(lines).withColumnRenamed("token", "word"), order, overcount)
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt out over all tasks: a table of few bytes that makes many rows would else be read by one or two."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def substring_counts(words: DataFrame, longest: int = 10, held_most: int = 1_000_000) -> DataFrame:
+    """words: (word, n). (piece, n): for all substrings of up to `longest` characters, how often they occur. Tasks add up
+    their words' substrings before they are sent."""
+
+    def run(batches):
+        held: dict[str, int] = {}
+
+        def out():
+            names, values = list(held), list(held.values())
+            for low in range(0, len(names), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(names[low : low + 100_000], pa.string()), pa.array(values[low : low + 100_000], pa.int64())], names=["piece", "n"])
+
+        for batch in batches:
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i in range(len(w)):
+                    for j in range(i + 1, min(len(w), i + longest) + 1):
+                        piece = w[i:j]
+                        held[piece] = held.get(piece, 0) + n
+                if len(held) > held_most:
+                    yield from out()
+                    held.clear()
+        yield from out()
+
+    found = spread(words.select("word", F.col("n").cast("long")).filter("word is not null and n is not null"), "word").mapInArrow(run, "piece string, n long")
+    return found.groupBy("piece").agg(F.sum("n").alias("n"))
+
+
 def ngrams_weighted(vocab: DataFrame, order: int = 8, overcount: bool = True) -> DataFrame:
     """vocab: (word, n). (ngram, n)."""
-    found = vocab.select(F.explode(T.ngrams(F.col("word"), order, overcount)).alias("ngram"), "n")
+    found = spread(vocab, "word").select(F.explode(T.ngrams(F.col("word"), order, overcount)).alias("ngram"), "n")
     return found.groupBy("ngram").agg(F.sum("n").alias("n"))
 
 

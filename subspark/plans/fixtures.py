@@ -77,8 +77,7 @@ class Inputs:
         """(subword, id): the distinct substrings of all tokens in order."""
 
         def make():
-            found = self.tokens().select(F.explode(T.substrings(F.col("word"), LONGEST)).alias("subword"))
-            return counts.ranked(found.distinct(), "subword")
+            return counts.ranked(self.piece_counts().select(F.col("piece").alias("subword")), "subword")
 
         return self._once("pieces", make)
 
@@ -98,10 +97,13 @@ class Inputs:
         words = self.words()
         return linalg.subword_embeddings(self.stats(), self.subwords(), self.projection(), words.count())
 
+    def piece_counts(self) -> DataFrame:
+        """(piece, n): the substrings of all tokens, and how often they stand in words."""
+        return self._once("piece_counts", lambda: counts.substring_counts(self.tokens(), LONGEST))
+
     def piece_scores(self) -> DataFrame:
         """(piece, score): log share of each substring among all, by how often it stands in words."""
-        weighted = self.tokens().select(F.explode(T.substrings(F.col("word"), LONGEST)).alias("piece"), "n")
-        sums = weighted.groupBy("piece").agg(F.sum("n").alias("n"))
+        sums = self.piece_counts()
         total = sums.agg(F.sum("n").alias("total"))
         return sums.crossJoin(F.broadcast(total)).select("piece", F.round(F.log(F.col("n") / F.col("total")), 9).alias("score"))
 
