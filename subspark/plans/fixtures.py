@@ -34,7 +34,10 @@ class Inputs:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def lines(self, *keep: str) -> DataFrame:
-        return counts.doc_lines(self.table("documents").select("doc_id", "text", *keep), *keep)
+        docs = self.table("documents").select("doc_id", "text", *keep)
+        if len(docs.inputFiles()) < self.spark.sparkContext.defaultParallelism:
+            docs = counts.spread(docs)  # a small file is read by one task
+        return counts.doc_lines(docs, *keep)
 
     def word_counts(self) -> DataFrame:
         return counts.word_counts(self.lines())

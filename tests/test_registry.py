@@ -38,7 +38,7 @@ def test_halves_take_documents_with_negative_or_no_ids(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, [1.0, 0.5]) for i in range(3)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r.subword, r.word): r.n for r in registry.queries()["merge_contexts_sum"](spark, str(tmp_path)).collect()}
-    assert got["bl", "red"] == 5 and got["gr", "blue"] == 5 and got["d", "green"] == 5
+    assert got["bl", "red"] == 10 and got["gr", "blue"] == 5 and got["d", "green"] == 10
 
 
 def test_stored_tables_go_at_the_end_of_a_block(spark):
