@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from subspark.functions.memory import release
 from subspark.plans.store import delete, shared_dir, stored  # noqa: F401
 
 #: Bytes that part words: space, and tab to carriage return.
@@ -64,15 +63,6 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
-def release() -> None:
-    """Give memory that a task has freed back to the system: idle workers stay for a while, beside those of later stages."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim is not None:
-        trim(0)
-
-
 def plainly(docs: DataFrame) -> DataFrame:
     """docs with plain names for all columns but doc_id and text: none is like a helper's, and none has a dot."""
     return docs.toDF(*[c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)])
