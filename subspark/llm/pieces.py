@@ -12,12 +12,16 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
+import pyarrow as pa
 
-#: Words with their stops and capitals, and pre-tokens, that a worker remembers: the first that it meets.
-CACHE, CORES = 150_000, 150_000
+#: Words and pre-tokens that a worker remembers: so many of the first that it meets, and later, up to CACHE, those that it meets again.
+CORES, CACHE = 100_000, 300_000
+#: Places where a hash tells that a word was met.
+MET = 1 << 22
 #: Characters of texts whose words are looked up together.
 TOGETHER = 1 << 22
 #: Pre-tokens that are encoded as one string.
@@ -60,7 +64,11 @@ def words(text: str) -> Iterator[list[str]]:
 def _ends_in_letter(base: str) -> bool:
     """Whether it does for the library, which takes NFC and lower case first: some letters become a letter and a mark
     there, and the mark goes with the signs behind it."""
-    last = base[-1]
+    return _is_letter(base[-1])
+
+
+@lru_cache(10_000)
+def _is_letter(last: str) -> bool:
     if last.isascii():
         return last.isalpha()
     return last.isalpha() and unicodedata.normalize("NFC", last).lower()[-1].isalpha()
@@ -77,15 +85,6 @@ def core(word: str) -> tuple[str, str]:
     return base.lower() if base.isascii() else base, signs
 
 
-class _Memory(dict):
-    """Ids of words; of those that it doesn't keep, for as long as `more` has them."""
-
-    more: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.more[word]
-
-
 class Pieces:
     """Ids of pre-tokens, remembered."""
 
@@ -96,8 +95,8 @@ class Pieces:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.raw = _Memory()
-        self.cores: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
+        self.met = bytearray(MET)
 
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -122,39 +121,43 @@ class Pieces:
             found.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(rest, single, strict=True))
         return [found[t] for t in tokens]
 
-    def _learn(self, unknown: set[str]) -> None:
-        """Ids of words; remembered while there is room, and else until the next call."""
-        cores = self.cores
-        plain = {w: w.lower() if w.isascii() else w for w in unknown if w.isalpha()}
-        signed = {w: core(w) for w in unknown if w not in plain}
-        wanted = set(plain.values())
-        for base, signs in signed.values():
-            wanted.add(base)
-            wanted.add(signs)
-        new = list(filterfalse(cores.__contains__, wanted))
+    def _remember(self, found: dict[str, bytes]) -> None:
+        known, met = self.known, self.met
+        for word, ids in found.items():
+            if len(known) < CORES:
+                known[word] = ids
+            elif len(known) < CACHE:
+                place = hash(word) % MET
+                if met[place]:
+                    known[word] = ids
+                met[place] = 1
+            else:
+                return
+
+    def _learn(self, unknown: list[str]) -> list[bytes]:
+        """Ids of distinct words. A pre-token has the same ids as a word, so that both are remembered together."""
+        known = self.known
+        parts = [(w.lower() if w.isascii() else w, "") if w.isalpha() else core(w) for w in unknown]
+        found = [known.get(base) for base, _ in parts]
+        signs = {after for _, after in parts}
+        new = list({base for (base, _), x in zip(parts, found, strict=True) if x is None} | {after for after in signs if after not in known})
         coded = dict(zip(new, self.encode(new), strict=True))
-        full = len(cores) >= CORES
-        if not full:
-            cores.update(coded)
-        known = (lambda p: coded[p] if p in coded else cores[p]) if full else cores.__getitem__
-        found = dict(zip(plain, map(known, plain.values()), strict=True))
-        found.update((w, known(a) + known(b)) for w, (a, b) in signed.items())
-        if len(self.raw) < CACHE:
-            self.raw.update(found)
-        self.raw.more = found
+        ends = {after: coded[after] if after in coded else known[after] for after in signs}
+        out = [(coded[base] if x is None else x) + ends[after] for (base, after), x in zip(parts, found, strict=True)]
+        self._remember(coded | dict(zip(unknown, out, strict=True)))
+        return out
 
-    def ids(self, text: str) -> bytes:
-        out, raw = [], self.raw
-        for some in words(text):
-            unknown = set(filterfalse(raw.__contains__, some))
-            if unknown:
-                self._learn(unknown)
-            out.append(b"".join(map(raw.__getitem__, some)))
-        return b"".join(out)
+    def _of_words(self, distinct: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, distinct))
+        unknown = [w for w, x in zip(distinct, found, strict=True) if x is None]
+        learnt = iter(self._learn(unknown) if unknown else ())
+        return [next(learnt) if x is None else x for x in found]
 
+    def ids(self, text: str) -> bytes:
+        return b"".join(self._together([some])[0] for some in words(text))
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        """ids of each text; what is unknown in many texts is learnt together."""
+        """ids of each text; words of many texts are looked up together, each distinct one once."""
         out, group, n = [], [], 0
         for text in texts:
             if len(text) >= SLICE:
@@ -170,10 +173,18 @@ class Pieces:
         return out + self._together(group)
 
     def _together(self, group: list[list[str]]) -> list[bytes]:
-        unknown = set(filterfalse(self.raw.__contains__, chain.from_iterable(group)))
-        if unknown:
-            self._learn(unknown)
-        return [b"".join(map(self.raw.__getitem__, some)) for some in group]
+        coded = pa.array(chain.from_iterable(group), pa.string()).dictionary_encode()
+        if not len(coded):
+            return [b""] * len(group)
+        of = self._of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at = coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, of), np.int64, len(of)) // 4
+        starts, each = np.cumsum(sizes) - sizes, sizes[at]
+        ends = np.cumsum(each)
+        place = np.repeat(starts[at] - ends + each, each) + np.arange(ends[-1])
+        raw = np.frombuffer(b"".join(of), "<u4")[place].tobytes()
+        bounds = (4 * np.append(0, ends)[list(accumulate(map(len, group), initial=0))]).tolist()
+        return [raw[low:high] for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _made: dict[int, Pieces] = {}

@@ -118,3 +118,14 @@ def test_windows_hold_the_line_of_all_tokens(library, docs, size):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.op1(none).collect() == token_counts.op7(none).collect() == packing.sequences(none).collect() == []
+
+
+def test_words_that_come_again_are_remembered_when_the_first_ones_are_not(library, monkeypatch):
+    monkeypatch.setattr(pieces, "CORES", 0)
+    made = pieces.Pieces(pieces.read(None))
+    texts, asked = ["Seldom, the seldom word.", "the word; seldom"], []
+    encode = made.encode
+    monkeypatch.setattr(made, "encode", lambda tokens: asked.append(len(tokens)) or encode(tokens))
+    for _ in range(4):
+        assert [np.frombuffer(x, "<u4").tolist() for x in made.ids_of(texts)] == [ids_of(library, t) for t in texts]
+    assert asked[0] == 6 and len(asked) == 2  # seldom, the, word and three signs, twice
