@@ -52,7 +52,7 @@ def tokenised(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
                     [pa.array([part] * len(ids), pa.int32()), some.column(0), pa.array(ends, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
                     names=["part", "doc_id", "local", "n", "ids"],
                 )
-        release()
+        release(keep=P.held())
 
     rows = docs.select("doc_id", "text").mapInArrow(run, f"part int, doc_id {kind}, local long, n long, ids binary")
     return stored(rows, "tokens")

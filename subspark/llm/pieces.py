@@ -18,6 +18,8 @@ from itertools import accumulate, chain
 import numpy as np
 import pyarrow as pa
 
+from subspark.functions.memory import HELD
+
 #: Words and pre-tokens that a worker remembers: so many of the first that it meets, and later, up to CACHE, those that it meets again.
 CORES, CACHE = 100_000, 300_000
 #: Places where a hash tells that a word was met.
@@ -188,6 +190,8 @@ class Pieces:
 
 
 _made: dict[int, Pieces] = {}
+#: Stays from task to task, until a task of another kind ends in the worker.
+HELD.append(_made)
 
 
 def pieces(spec: str) -> Pieces:
@@ -195,3 +199,7 @@ def pieces(spec: str) -> Pieces:
     if hash(spec) not in _made:
         _made[hash(spec)] = Pieces(spec)
     return _made[hash(spec)]
+
+
+def held() -> dict[int, Pieces]:
+    return _made

@@ -349,6 +349,8 @@ WORDS, MOST = 5, 76
 PIECE = 32
 #: Members and shingles of a block of candidates that one task verifies.
 MEMBERS, SHINGLES = 4_000, 1_500_000
+#: Holders of a member's shingles that are counted at once.
+AT_ONCE = 400_000
 
 
 def shingle_sets(docs: DataFrame, marked: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -373,15 +375,18 @@ def near_members(keys: np.ndarray, left: np.ndarray, right: np.ndarray, counts:
     0.8 or more. Members are sorted by key; member i has counts[i] of the shingles, in order. What a member has in
     common with all others of its key is counted at once, from lists of the members that hold each shingle."""
     with np.errstate(over="ignore"):
-        mixed = shingles.view(np.uint64) ^ (np.repeat(keys, counts).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    owner = np.repeat(np.arange(len(keys)), counts)
-    order = np.argsort(mixed, kind="stable")
-    new = np.concatenate(([True], mixed[order][1:] != mixed[order][:-1])) if len(order) else np.zeros(0, bool)
+        mixed = np.repeat(keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), counts)
+    mixed ^= shingles.view(np.uint64)
+    order = np.argsort(mixed, kind="stable").astype(np.int32)
+    mixed = mixed[order]
+    new = np.concatenate(([True], mixed[1:] != mixed[:-1])) if len(order) else np.zeros(0, bool)
+    del mixed
     starts = np.flatnonzero(new)
     times = np.diff(np.concatenate((starts, [len(order)])))
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    holders = owner[order]
+    which = np.empty(len(order), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    holders = np.repeat(np.arange(len(keys), dtype=np.int32), counts)[order]
+    del order, new
     ends, label, out = np.cumsum(counts), np.arange(len(keys)), []
     edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -389,9 +394,11 @@ def near_members(keys: np.ndarray, left: np.ndarray, right: np.ndarray, counts:
             if not left[q] or high - low == 1 or (label[low:high] == label[q]).all():
                 continue
             own = which[ends[q] - counts[q] : ends[q]]
-            n = times[own]
-            at = np.repeat(starts[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            common = np.bincount(holders[at] - low, minlength=high - low)
+            common, step = np.zeros(high - low, np.int64), max(1, AT_ONCE // (high - low))
+            for k in range(0, len(own), step):
+                n = times[own[k : k + step]]
+                at = np.repeat(starts[own[k : k + step]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                common += np.bincount(holders[at] - low, minlength=high - low)
             near = right[low:high] & (common * 9 >= (counts[q] + counts[low:high]) * 4)  # 5 x common >= 4 x union
             near[q - low] = False
             hits = low + np.flatnonzero(near)

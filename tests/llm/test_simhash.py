@@ -164,3 +164,20 @@ def test_recall_of_candidates_among_pairs_of_a_similarity_of_08_to_085():
         bits = np.bitwise_count(x ^ y)
         found += bool(bits.min() <= simhash.BUDGET and bits.sum() <= simhash.MOST)
     assert found / n >= 0.96
+
+
+def test_a_block_of_near_copies_takes_little_memory_beside_its_shingles():
+    """Many texts of equal shingles but for a few: of each member the holders of all its shingles are some 400 times
+    the members."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    members, size = 1000, 400
+    shingles = np.tile(rng.integers(0, 1 << 62, size), members)
+    shingles[rng.choice(len(shingles), 15 * members, replace=False)] = rng.integers(0, 1 << 62, 15 * members)
+    every = np.ones(members, bool)
+    tracemalloc.start()
+    a, _ = simhash.near_members(np.full(members, 7), every, every, np.full(members, size), shingles)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == members - 1 and peak < 5 * shingles.nbytes
