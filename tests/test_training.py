@@ -162,6 +162,26 @@ def test_words_of_a_kind_get_near_vectors_and_unknown_words_too(spark, tmp_path)
     assert rows.shape == (6, 18) and np.allclose(np.sort(rows.ravel()), np.sort(inverse.ravel()), atol=1e-6)
 
 
+@pytest.mark.parametrize("pairs", [skipgram.PAIRS, 40])
+def test_vectors_beyond_the_bound_are_trained_as_tables(spark, monkeypatch, pairs):
+    rng = random.Random(4)
+    words = [f"{stem}{end}" for stem in ("walk", "grün") for end in ("a", "is", "ez")] + ["x"]
+    table = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(8)),) for _ in range(12)], "line string")
+    vocab = counts.top_words(counts.word_counts(table), 100)
+    near = cooc.word_word(table, vocab, 2)
+    train = lambda: skipgram.train(near, vocab, dims=3, epochs=1, batches=2, negatives=2, buckets=50, rate=0.1, seed=7)
+    rows = lambda made: [{r[0]: r[-1] for r in t.collect()} for t in (made.words, made.buckets, made.output)]
+    wanted = train()
+    monkeypatch.setattr(gradients, "MOST", 10)
+    monkeypatch.setattr(skipgram, "PAIRS", pairs)  # cells of several groups, too
+    found = train()
+    assert found.losses == pytest.approx(wanted.losses)
+    for one, other in zip(rows(found), rows(wanted), strict=True):
+        assert one.keys() == other.keys()
+        for key, vec in one.items():
+            assert vec == pytest.approx(other[key], abs=1e-7)
+
+
 def test_tokens_outside_a_vocabulary_count_as_one(spark):
     rows = [("a", "b", 2), ("a", "x", 1), ("y", "x", 3), ("z", "x", 4), ("y", "b", 5), ("###", "y", 6)]
     table = spark.createDataFrame(rows, "prev string, token string, n bigint")
