@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subspark.functions import text as T
+from subspark.operators.counts import merged
 
 WORD, WORD_END, BOUNDARY = "<w>", "</w>", "###"
 
@@ -19,7 +20,7 @@ def unigrams(segmented: DataFrame) -> DataFrame:
 
 def with_vocab(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """vocab: (token). A row for each of its tokens, 0 for those without counts."""
-    return vocab.join(counts, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+    return vocab.join(merged(counts), "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def inside(segmented: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def next_edges(segmented: DataFrame) -> DataFrame:
 
 def used(vocab: DataFrame, edges: DataFrame) -> DataFrame:
     """vocab: (subword). Those that some word still uses."""
-    return vocab.join(edges.select("subword").distinct(), "subword", "left_semi")
+    return vocab.join(merged(edges.select("subword").distinct()), "subword", "left_semi")
 
 
 def model(counts: DataFrame, n_vocab: int, add_one: bool = False) -> DataFrame:
@@ -74,9 +75,9 @@ def backoff_scores(pairs: DataFrame, one: DataFrame, two: DataFrame) -> DataFram
     total = one.agg(F.sum("n").alias("total"))
     some = one.filter("n > 0")
     joined = (
-        pairs.join(some.select(F.col("token").alias("prev"), F.col("n").alias("n_prev")), "prev", "left")
-        .join(some.select("token", F.col("n").alias("n_token")), "token", "left")
-        .join(two.select("prev", "token", F.col("n").alias("n_pair")), ["prev", "token"], "left")
+        pairs.join(merged(some.select(F.col("token").alias("prev"), F.col("n").alias("n_prev"))), "prev", "left")
+        .join(merged(some.select("token", F.col("n").alias("n_token"))), "token", "left")
+        .join(merged(two.select("prev", "token", F.col("n").alias("n_pair"))), ["prev", "token"], "left")
         .crossJoin(F.broadcast(total))  # one row
     )
     score = (
@@ -97,7 +98,7 @@ def uniform(vocab_size: int) -> float:
 def posteriors(lm: DataFrame) -> DataFrame:
     """lm: (prev, token, logp). (token, score): log of the sum of a token's probabilities over all prev."""
     top = lm.groupBy("token").agg(F.max("logp").alias("top"))
-    joined = lm.join(top, "token")
+    joined = lm.join(merged(top), "token")
     return joined.groupBy("token").agg((F.max("top") + F.log(F.sum(F.exp(F.col("logp") - F.col("top"))))).alias("score"))
 
 
@@ -112,7 +113,7 @@ def reduced(vocab: DataFrame, lm: DataFrame, keep: int) -> DataFrame:
     """vocab: (id, token). What is left in order of id when the tokens of lowest posterior score go; single characters
     and the boundary stay. Tokens without a score go first."""
     size = vocab.count()
-    scored = vocab.join(posteriors(lm), "token", "left")
+    scored = vocab.join(merged(posteriors(lm)), "token", "left")
     gone = bottom(scored.withColumn("score", F.coalesce("score", F.lit(-1e300))), max(0, size - keep), "score")
     return vocab.join(gone.select("token"), "token", "left_anti")
 
